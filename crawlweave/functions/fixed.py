@@ -10,11 +10,19 @@ WS_SET = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
 WS = f"[{WS_SET}]"
+# the same set without the plain space
+WS_ODD_SET = (
+    r"\t\n\x0b\f\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
 WORD_SET = r"\p{L}\p{N}_"
 CONTENT_DROP = f'[^{WORD_SET}{WS_SET}.,!?;:()\\-"]'
 TITLE_DROP = f'[^{WORD_SET}{WS_SET}.,!?()\\-"]'
 CONTROL = r"[\x00-\x08\x0e-\x1b]"
 TOKEN = f"[{WORD_SET}]+"
+AFTER_WORD, BEFORE_WORD = f"(?<=[{WORD_SET}])", f"(?=[{WORD_SET}])"
+WORD_START, WORD_END = f"(?<![{WORD_SET}])", f"(?![{WORD_SET}])"
+BORDER = f"(?:{AFTER_WORD}{WORD_END}|{WORD_START}{BEFORE_WORD})"
 
 # --- fixed values: contact patterns --------------------------------------------------
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"

@@ -47,13 +47,14 @@ def live_markup(html: Column) -> Column:
 
 
 def _unquote(c: Column) -> Column:
-    return unescape(F.regexp_replace(c, r"""^["']|["']$""", ""))
+    quoted = c.startswith('"') | c.startswith("'")
+    return unescape(F.when(quoted, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c))
 
 
 def _absolute(live: Column, pattern: str, url: Column) -> Column:
     raw = F.transform(find_all(live, pattern, 1), _unquote)
     full = let(base_parts(url), lambda base: F.transform(raw, lambda h: resolve_in(base, h)))
-    return F.sort_array(F.array_distinct(F.filter(full, is_valid_url)))
+    return F.sort_array(F.filter(F.array_distinct(full), is_valid_url))
 
 
 # The functions below take ``live`` = live_markup(html), so that it is computed once per page.

@@ -9,10 +9,13 @@ from crawlweave.functions import fixed as K
 from crawlweave.functions.urls import is_valid_url
 
 
-def _hits(text: Column, words) -> Column:
-    low = F.lower(text)
+INDICATORS = {"product": K.PRODUCT_WORDS, "contact": K.CONTACT_WORDS, "news": K.NEWS_WORDS}
+
+
+def indicator_hits(low: Column, kind: str) -> Column:
+    """How many of the words of a content type occur in the lower-cased text."""
     total = F.lit(0)
-    for w in words:
+    for w in INDICATORS[kind]:
         total = total + F.contains(low, F.lit(w)).cast("int")
     return total
 
@@ -21,9 +24,8 @@ def _present(c: Column) -> Column:
     return F.coalesce(c, F.lit("")) != ""
 
 
-def content_type(text: Column) -> Column:
-    """(content_type, three flags, is_blog_post, confidence_score) as a struct."""
-    product, contact, news = (_hits(text, w) for w in (K.PRODUCT_WORDS, K.CONTACT_WORDS, K.NEWS_WORDS))
+def content_type(product: Column, contact: Column, news: Column) -> Column:
+    """(content_type, three flags, is_blog_post, confidence_score) as a struct, from the hits per type."""
     top = F.greatest(product, contact, news)
     kind = (
         F.when(top == 0, "article")

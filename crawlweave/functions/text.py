@@ -24,8 +24,12 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
+WS_RUN = f"(?:[{K.WS_ODD_SET}][{K.WS_SET}]*| [{K.WS_SET}]+)"
+
+
 def collapse_ws(c: Column) -> Column:
-    return F.regexp_replace(c, K.WS + "+", " ")
+    """Whitespace runs to one space; single plain spaces are left alone, not rewritten."""
+    return F.regexp_replace(c, WS_RUN, " ")
 
 
 def clean_text(c: Column) -> Column:
@@ -42,7 +46,7 @@ def clean_content(c: Column) -> Column:
 def clean_title(c: Column) -> Column:
     out = _s(c)
     for suffix in K.TITLE_SUFFIXES:
-        out = F.when(out.endswith(suffix), F.left(out, F.length(out) - len(suffix))).otherwise(out)
+        out = F.regexp_replace(out, suffix.replace("|", r"\|") + r"\z", "")
     return F.regexp_replace(F.trim(collapse_ws(out)), K.TITLE_DROP, "")
 
 
@@ -50,6 +54,36 @@ def find_all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(_s(c), F.lit(pattern), F.lit(group))
 
 
+def _java(pattern: str, first: str = "", end: bool = True) -> str:
+    """``\\b`` as a border of Unicode words on every Java version.
+
+    Where the pattern begins with a word character (class ``first``) or ends with one, one
+    look-around is enough, and testing ``first`` before it rejects most places cheaply.
+    """
+    if first and pattern.startswith(r"\b"):
+        pattern = f"(?={first}){K.WORD_START}{pattern[2:]}"
+    if end and pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + K.WORD_END
+    return pattern.replace(r"\b", K.BORDER)
+
+
+EMAIL = _java(K.EMAIL, end=False)
+COMPANIES = tuple(_java(p, "[A-Z]", end="\\.?" not in p) for p in K.COMPANY_PATTERNS)
+PLACES = tuple(_java(p, r"[A-Z\d]") for p in K.PLACE_PATTERNS)
+PHONE_DASHED, PHONE_PAREN = _java(K.PHONE_MULTI_DASHED, r"\d"), _java(K.PHONE_MULTI_PAREN)
+# text every match of the pattern contains; checked first, since most texts hold none
+COMPANY_HINTS = (" (?:Inc|LLC|Corp|Co|Ltd)", " & ", "[A-Z]{3}")
+PLACE_HINTS = (", [A-Z]{2}", ", [A-Z]{2}", "[0-9]{5}")
+
+
+def _where(hint: Column, found: Column) -> Column:
+    return F.when(hint, found).otherwise(F.array().cast("array<string>"))
+
+
+def _has(c: Column, text: str) -> Column:
+    return F.contains(_s(c), F.lit(text))
+
+
 def _distinct_sorted(a: Column) -> Column:
     return F.sort_array(F.array_distinct(a))
 
@@ -64,29 +98,29 @@ def _digits(c: Column) -> Column:
 
 
 def emails(c: Column) -> Column:
-    return _distinct_sorted(find_all(c, K.EMAIL))
+    return _where(_has(c, "@"), _distinct_sorted(find_all(c, EMAIL)))
 
 
 def phones_us(c: Column) -> Column:
     """3-3-4 numbers in document order, repeats kept."""
-    return F.transform(find_all(c, K.PHONE_US), lambda m: _dashed(_digits(m)))
+    found = F.transform(find_all(c, K.PHONE_US), lambda m: _dashed(_digits(m)))
+    return _where(c.rlike("[0-9]{4}"), found)
 
 
 def phones_multi(c: Column) -> Column:
     """Union of the four number shapes."""
     us = F.transform(find_all(c, K.PHONE_MULTI_US), lambda m: F.right(_digits(m), F.lit(10)))
     intl = F.transform(find_all(c, K.PHONE_MULTI_INTL), _digits)
-    return _distinct_sorted(
-        F.concat(us, intl, find_all(c, K.PHONE_MULTI_DASHED), find_all(c, K.PHONE_MULTI_PAREN))
-    )
+    found = F.concat(us, intl, find_all(c, PHONE_DASHED), find_all(c, PHONE_PAREN))
+    return _where(c.rlike("[0-9]"), _distinct_sorted(found))
 
 
 def text_urls(c: Column) -> Column:
-    return _distinct_sorted(find_all(c, K.TEXT_URL))
+    return _where(_has(c, "://"), _distinct_sorted(find_all(c, K.TEXT_URL)))
 
 
 def social_handles(c: Column) -> Column:
-    return _distinct_sorted(find_all(c, K.SOCIAL, 1))
+    return _where(_has(c, "@"), _distinct_sorted(find_all(c, K.SOCIAL, 1)))
 
 
 def tokens(c: Column) -> Column:
@@ -95,9 +129,12 @@ def tokens(c: Column) -> Column:
 
 
 def keyword_tokens(c: Column) -> Column:
-    """ASCII words of three letters or more that are not stop words, repeats kept."""
-    stop = _words(K.STOP_WORDS)
-    return F.filter(tokens(c), lambda w: w.rlike("^[a-z]{3,}$") & ~F.array_contains(stop, w))
+    """ASCII words of three letters or more that are not stop words, repeats kept.
+
+    Look-around makes this one pass of the pattern, without a test per token.
+    """
+    stop = f"(?!(?:{'|'.join(w for w in K.STOP_WORDS if len(w) > 2)}){K.WORD_END})"
+    return find_all(F.lower(_s(c)), f"(?=[a-z]){K.WORD_START}{stop}[a-z]{{3,}}{K.WORD_END}")
 
 
 def keywords(c: Column, limit: int = K.KEYWORD_LIMIT) -> Column:
@@ -131,17 +168,17 @@ def keyword_count(c: Column, limit: int = K.KEYWORD_LIMIT) -> Column:
     return F.least(F.size(F.array_distinct(keyword_tokens(c))), F.lit(limit))
 
 
-def _first_groups(c: Column, patterns) -> Column:
-    return F.concat(*[find_all(c, p, 1) for p in patterns])
+def _first_groups(c: Column, patterns, hints) -> Column:
+    return F.concat(*[_where(c.rlike(h), find_all(c, p, 1)) for p, h in zip(patterns, hints)])
 
 
 def companies(c: Column) -> Column:
-    found = F.filter(_first_groups(c, K.COMPANY_PATTERNS), lambda x: F.length(x) > 2)
+    found = F.filter(_first_groups(c, COMPANIES, COMPANY_HINTS), lambda x: F.length(x) > 2)
     return F.slice(_distinct_sorted(found), 1, K.ENTITY_LIMIT)
 
 
 def places(c: Column) -> Column:
-    return F.slice(_distinct_sorted(_first_groups(c, K.PLACE_PATTERNS)), 1, K.ENTITY_LIMIT)
+    return F.slice(_distinct_sorted(_first_groups(c, PLACES, PLACE_HINTS)), 1, K.ENTITY_LIMIT)
 
 
 ENTITY_KINDS = {
@@ -163,21 +200,16 @@ def entities(c: Column) -> Column:
     return F.create_map(*args)
 
 
-def split_words(c: Column) -> Column:
-    return F.filter(F.split(_s(c), K.WS + "+"), lambda w: w != "")
-
-
 def word_count(c: Column) -> Column:
-    return F.size(split_words(c))
+    return F.regexp_count(collapse_ws(_s(c)), F.lit("[^ ]+"))
 
 
 def paragraph_count(c: Column) -> Column:
     return F.when(_s(c) == "", 0).otherwise(F.regexp_count(c, F.lit("\n\n")) + 1)
 
 
-def reading_minutes(c: Column) -> Column:
-    wc = word_count(c)
-    return F.when(_s(c) == "", 0).otherwise(F.greatest(F.lit(1), F.floor(wc / 200).cast("int")))
+def reading_minutes(c: Column, words: Column) -> Column:
+    return F.when(_s(c) == "", 0).otherwise(F.greatest(F.lit(1), F.floor(words / 200).cast("int")))
 
 
 def language_by_words(c: Column) -> Column:
@@ -186,12 +218,24 @@ def language_by_words(c: Column) -> Column:
 
 
 def language_by_letters(c: Column) -> Column:
-    out = F.when(F.length(_s(c)) < 100, "unknown")
+    """First rule with one of its letters in the text; plain ASCII text skips the rules."""
+    out = F.when(F.length(_s(c)) < 100, "unknown").when(F.octet_length(c) == F.length(c), "en")
     for code, letters in K.LANGUAGE_LETTERS:
-        out = out.when(c.rlike(f"[{letters}]"), code)
+        out = out.when(c.rlike(f"[{_ranges(letters)}]"), code)
     return out.otherwise("en")
 
 
+def _ranges(letters: str) -> str:
+    """The letters as character ranges, which Java tests faster than single characters."""
+    runs: list[list[int]] = []
+    for code in sorted({ord(x) for x in letters}):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+
+
 def content_hash(c: Column) -> Column:
     return F.sha2(F.lower(clean_text(c)), 256)
 

@@ -97,30 +97,35 @@ def _drop_dots(path: Column) -> Column:
 def base_parts(url: Column) -> Column:
     """What ``resolve_in`` needs of the page URL, computed once per page."""
     path = part(url, 3)
+    scheme = F.lower(part(url, 1))
     return F.struct(
         url.alias("url"),
-        F.lower(part(url, 1)).alias("scheme"),
-        part(url, 2).alias("netloc"),
-        F.when(path == "", F.lit("/")).otherwise(path).alias("path"),
+        scheme.alias("scheme"),
+        F.concat(scheme, F.lit("://"), part(url, 2)).alias("origin"),
+        F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")).alias("folder"),
     )
 
 
 def resolve_in(base: Column, href: Column) -> Column:
-    """Absolute form of ``href`` as found on the page described by ``base_parts``."""
-    origin = F.concat(base["scheme"], F.lit("://"), base["netloc"])
-    href_path = F.regexp_extract(href, r"^[^?#]*", 0)
-    href_rest = F.regexp_extract(href, r"(?s)[?#].*$", 0)
-    joined = F.when(href.startswith("/"), href_path).otherwise(
-        F.concat(F.regexp_replace(base["path"], "[^/]*$", ""), href_path)
-    )
-    dotted = joined.rlike(r"(^|/)\.\.?(/|$)")
+    """Absolute form of ``href`` as found on the page described by ``base_parts``.
+
+    The frequent shapes come first and need no pattern.
+    """
+    has_dots = F.contains(href, F.lit("./")) | href.endswith("/..") | href.endswith("/.") | href.isin(".", "..")
+    rooted = href.startswith("/") & ~href.startswith("//")
+    path = F.regexp_extract(href, r"^[^?#]*", 0)
+    rest = F.regexp_extract(href, r"(?s)[?#].*$", 0)
+    joined = F.when(rooted, path).otherwise(F.concat(base["folder"], path))
     return (
-        F.when(href == "", base["url"])
-        .when(href.rlike(HAS_SCHEME), href)
+        F.when(href.startswith("https://") | href.startswith("http://"), href)
+        .when(rooted & ~has_dots, F.concat(base["origin"], href))
+        .when(href == "", base["url"])
         .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
         .when(href.startswith("?"), F.concat(F.regexp_replace(base["url"], r"[?#].*$", ""), href))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base["url"], "#.*$", ""), href))
-        .otherwise(F.concat(origin, F.when(dotted, _drop_dots(joined)).otherwise(joined), href_rest))
+        .when(href.rlike(HAS_SCHEME), href)
+        .when(has_dots, F.concat(base["origin"], _drop_dots(joined), rest))
+        .otherwise(F.concat(base["origin"], base["folder"], href))
     )
 
 

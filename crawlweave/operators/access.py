@@ -25,14 +25,11 @@ def filter_jobs(
 
 
 def _page(df: DataFrame, key: str, page: int, page_size: int) -> DataFrame:
-    """One page, newest first, with the paging facts on each row.
-
-    The total is a one-row aggregate, so its cross join adds one column and no pairs.
-    """
-    total = df.groupBy().agg(F.count("*").alias("total"))
+    """One page, newest first, with the paging facts on each row; the total is a scalar subquery."""
+    total = df.groupBy().agg(F.count("*")).scalar()
     rows = df.orderBy(F.desc("created_at"), key).offset((page - 1) * page_size).limit(page_size)
     return (
-        rows.join(F.broadcast(total))
+        rows.withColumn("total", total)
         .withColumn("has_next", F.col("total") > page * page_size)
         .withColumn("has_previous", F.lit(page > 1))
     )

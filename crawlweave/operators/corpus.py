@@ -102,11 +102,12 @@ def document_frequency(docs: DataFrame) -> DataFrame:
 def language_report(docs: DataFrame) -> DataFrame:
     """Declared against detected language per source."""
     return (
-        docs.select(
+        docs.withColumn("clean_text", X.clean_text(F.col("text")))
+        .select(
             "source",
             "lang",
             X.language_by_words(F.col("text")).alias("lang_by_words"),
-            X.language_by_letters(X.clean_text(F.col("text"))).alias("lang_by_letters"),
+            X.language_by_letters(F.col("clean_text")).alias("lang_by_letters"),
         )
         .groupBy("source", "lang", "lang_by_words", "lang_by_letters")
         .agg(F.count("*").alias("n_docs"))
@@ -115,13 +116,13 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 def content_stats(docs: DataFrame) -> DataFrame:
     c = F.col("text")
-    return docs.select(
+    return docs.withColumn("word_count", X.word_count(c)).select(
         "doc_id",
         "source",
-        X.word_count(c).alias("word_count"),
+        "word_count",
         F.length(c).alias("char_count"),
         X.paragraph_count(c).alias("paragraph_count"),
-        X.reading_minutes(c).alias("reading_time_minutes"),
+        X.reading_minutes(c, F.col("word_count")).alias("reading_time_minutes"),
     )
 
 

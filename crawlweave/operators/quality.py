@@ -20,29 +20,45 @@ def _entity_sizes(body: Column) -> Column:
     return F.create_map(*args)
 
 
-def with_quality(records: DataFrame, source: str = "cleaned", content: str = "content") -> DataFrame:
+def with_quality(
+    records: DataFrame, source: str = "cleaned", content: str = "content", keep_entities: bool = False
+) -> DataFrame:
     """Adds clean_content, entity_sizes, quality and content_analysis; nothing is shuffled.
 
     Needs ``content`` and ``links``. Entities come from the cleaned text unless
-    ``source='raw'``.
+    ``source='raw'``; their values are only built with ``keep_entities``.
     """
     raw = F.coalesce(F.col(content), F.lit(""))
     body = F.col("clean_content") if source == "cleaned" else raw
+    out = records.withColumn("clean_content", X.clean_content(raw))
+    if keep_entities:
+        out = out.withColumn("extracted_entities", X.entities(body))
+    sizes = F.transform_values("extracted_entities", lambda _, v: F.size(v)) if keep_entities else _entity_sizes(body)
+    # values used more than once are columns of their own: Spark then computes them once
     return (
-        records.withColumn("clean_content", X.clean_content(raw))
-        .withColumn("entity_sizes", _entity_sizes(body))
+        classify_text(out, "clean_content")
+        .withColumns({"entity_sizes": sizes, "_words": X.word_count(F.col("clean_content"))})
         .withColumn(
             "quality",
             S.quality_metrics(
-                F.length(raw), F.length("clean_content"), X.word_count(F.col("clean_content")),
-                F.col("entity_sizes"), F.size("links"),
+                F.length(raw), F.length("clean_content"), F.col("_words"), F.col("entity_sizes"), F.size("links")
             ),
         )
-        .withColumn("content_analysis", S.content_type(F.col("clean_content")))
+        .drop("_words")
     )
 
 
-def enhancements(url: Column, content: Column, sizes: Column) -> Column:
+def classify_text(df: DataFrame, text: str) -> DataFrame:
+    """Adds content_analysis."""
+    return (
+        df.withColumn("_low", F.lower(text))
+        .withColumns({f"_{k}": S.indicator_hits(F.col("_low"), k) for k in S.INDICATORS})
+        .withColumn("content_analysis", S.content_type(*[F.col(f"_{k}") for k in S.INDICATORS]))
+        .drop("_low", *[f"_{k}" for k in S.INDICATORS])
+    )
+
+
+def enhancements(url: Column, content: Column, words: Column, sizes: Column) -> Column:
     return F.struct(
         F.when(
             F.coalesce(url, F.lit("")) != "",
@@ -54,10 +70,10 @@ def enhancements(url: Column, content: Column, sizes: Column) -> Column:
             ),
         ).alias("url_analysis"),
         F.struct(
-            X.word_count(content).alias("word_count"),
+            words.alias("word_count"),
             F.length(content).alias("char_count"),
             X.paragraph_count(content).alias("paragraph_count"),
-            X.reading_minutes(content).alias("reading_time_minutes"),
+            X.reading_minutes(content, words).alias("reading_time_minutes"),
         ).alias("content_stats"),
         sizes.alias("entity_stats"),
         X.language_by_words(content).alias("language"),
@@ -72,19 +88,18 @@ def process_records(records: DataFrame, source: str = "cleaned", as_of: Column |
     """
     ok = F.col("url").isNotNull()
     raw = F.coalesce(F.col("content"), F.lit(""))
-    body = F.col("clean_content") if source == "cleaned" else raw
     keep = [c for c in ("page_id", "job_id", "task_id", "doc_id") if c in records.columns]
-    out = with_quality(records, source)
+    out = with_quality(records, source, keep_entities=True).withColumn("_raw_words", X.word_count(raw))
     size = F.length(F.to_json(F.struct(*[F.col(c) for c in records.columns])))
     return out.select(
         *keep,
         F.coalesce("url", F.lit("Unknown")).alias("original_url"),
         F.when(ok, X.clean_title(F.col("title"))).otherwise("").alias("cleaned_title"),
         F.when(ok, F.col("clean_content")).otherwise("").alias("cleaned_content"),
-        F.when(ok, X.entities(body)).alias("extracted_entities"),
+        F.when(ok, F.col("extracted_entities")).alias("extracted_entities"),
         F.when(ok, F.col("content_analysis")).alias("content_analysis"),
         F.when(ok, F.col("quality")).alias("quality_metrics"),
-        F.when(ok, enhancements(F.col("url"), raw, F.col("entity_sizes"))).alias("enhancements"),
+        F.when(ok, enhancements(F.col("url"), raw, F.col("_raw_words"), F.col("entity_sizes"))).alias("enhancements"),
         size.alias("original_data_size"),
         F.when(ok, F.length("clean_content")).otherwise(0).alias("processed_data_size"),
         (as_of if as_of is not None else F.lit(None).cast("timestamp")).alias("processing_timestamp"),
@@ -96,36 +111,30 @@ def process_records(records: DataFrame, source: str = "cleaned", as_of: Column |
 def domain_report(records: DataFrame) -> DataFrame:
     """Pages, average scores, links, copies and top content type per domain.
 
-    Everything is an aggregate that starts on the map side, so a domain with a third of
-    all pages does not end up in one task. Copies and types are counted per (domain, hash)
-    and (domain, type) before they meet the domain.
+    Rows are first summed per (domain, text hash), which spreads a domain with a third of
+    all pages over many tasks; the domain level then sums those sums. Types are few and
+    fixed, so they are counted side by side in the same pass.
     """
+    kinds = ("article", "contact", "news", "product")  # by name: ties go to the first
     scored = with_quality(records).select(
         U.domain(F.col("url")).alias("domain"),
         F.col("quality.overall_quality").alias("q"),
         S.data_quality(F.col("url"), F.col("title"), F.col("content"))["quality_score"].alias("d"),
-        F.size("links").alias("n_links"),
-        F.col("content_analysis.content_type").alias("kind"),
+        F.size("links").alias("links"),
+        *[(F.col("content_analysis.content_type") == k).cast("int").alias(k) for k in kinds],
         X.content_hash(F.col("content")).alias("hash"),
     )
-    # first level: (domain, kind, hash); everything above it is small
-    fine = scored.groupBy("domain", "kind", "hash").agg(
-        F.count("*").alias("n"), F.sum("q").alias("q"), F.sum("d").alias("d"), F.sum("n_links").alias("links")
-    )
-    per_hash = fine.groupBy("domain", "hash").agg(
-        F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("d").alias("d"), F.sum("links").alias("links")
-    )
-    pages = per_hash.groupBy("domain").agg(
+    sums = ("q", "d", "links", *kinds)
+    per_text = scored.groupBy("domain", "hash").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    top = F.greatest(*[F.sum(k) for k in kinds])
+    return per_text.groupBy("domain").agg(
         F.sum("n").alias("pages"),
         (F.sum("q") / F.sum("n")).alias("avg_quality"),
         (F.sum("d") / F.sum("n")).alias("avg_data_quality"),
         F.sum("links").alias("links"),
         F.sum(F.col("n") - 1).alias("copies"),
+        F.coalesce(*[F.when(F.sum(k) == top, F.lit(k)) for k in kinds]).alias("top_type"),
     )
-    kinds = fine.groupBy("domain", "kind").agg(F.sum("n").alias("n"))
-    # most frequent type, ties by name
-    best = kinds.groupBy("domain").agg(F.min(F.struct((-F.col("n")).alias("neg"), "kind"))["kind"].alias("top_type"))
-    return pages.join(best, "domain")
 
 
 def label_agreement(docs: DataFrame, labels: DataFrame) -> DataFrame:

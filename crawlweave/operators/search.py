@@ -56,12 +56,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def nearest_vectors(vectors: DataFrame, query: DataFrame, k: int = 3, max_dist: float | None = None) -> DataFrame:
     """The ``k`` vectors nearest to the single-row ``query`` (column ``embedding``) by cosine distance."""
-    q = query.select(F.col("embedding").alias("_q")).limit(1)
-    scored = (
-        vectors.join(F.broadcast(q))  # one row: adds a column, makes no pairs
-        .withColumn("distance", 1 - cosine(F.col("embedding"), F.col("_q")))
-        .drop("_q")
-    )
+    q = query.select("embedding").limit(1).scalar()
+    scored = vectors.withColumn("_q", q).withColumn("distance", 1 - cosine(F.col("embedding"), F.col("_q"))).drop("_q")
     if max_dist is not None:
         scored = scored.filter(F.col("distance") <= max_dist)
     return scored.orderBy("distance", "vec_id").limit(k)
@@ -89,19 +85,18 @@ def passage_search(
         .groupBy("page_id", "block_no", "term").agg(F.count("*").alias("tf"))
     )
     spread = terms.groupBy("term").agg(F.count("*").alias("df"))
-    n_blocks = blocks.groupBy().agg(F.count("*").alias("n_blocks"))  # one row
-    idf = F.log((F.col("n_blocks") + 1) / (F.col("df") + 1)) + 1
+    n_blocks = blocks.groupBy().agg(F.count("*")).scalar()
+    idf = F.log((n_blocks + 1) / (F.col("df") + 1)) + 1
     q = blocks.sparkSession.range(1).select(F.explode(X.tokens(F.lit(query))).alias("term"))
     q = q.groupBy("term").agg(F.count("*").alias("q_tf"))  # as large as the query text
     q_weighted = (
-        q.join(spread, "term", "left").join(F.broadcast(n_blocks))
+        q.join(spread, "term", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)))
         .select("term", (F.col("q_tf") * idf).alias("qw"))
     )
-    q_norm = q_weighted.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("q_norm"))
+    q_norm = q_weighted.agg(F.sqrt(F.sum(F.col("qw") * F.col("qw")))).scalar()
     weighted = (
         join_groups(terms, spread, ["term"], "df")
-        .join(F.broadcast(n_blocks))
         .withColumn("w", F.col("tf") * idf)
         .join(F.broadcast(q_weighted), "term", "left")
     )
@@ -110,8 +105,7 @@ def passage_search(
         .agg(F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"),
              F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         .filter("dot > 0")
-        .join(F.broadcast(q_norm))
-        .select("page_id", "block_no", (1 - F.col("dot") / (F.col("norm") * F.col("q_norm"))).alias("distance"))
+        .select("page_id", "block_no", (1 - F.col("dot") / (F.col("norm") * q_norm)).alias("distance"))
         .filter(F.col("distance") <= max_dist)
     )
     if per_page:

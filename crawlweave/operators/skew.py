@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it is small; else leave it to a shuffle join.
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast only after measuring rows and text size; else leave it to a shuffle join.
 
-    The count stops at ``max_rows`` + 1 rows.
+    The measurement stops at ``max_rows`` + 1 rows.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.limit(max_rows + 1).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
+    ).first()
+    return F.broadcast(df) if size["n"] <= max_rows and size["bytes"] <= max_bytes else df
 
 
 def join_groups(
@@ -25,12 +29,19 @@ def join_groups(
     """Inner join of rows with their group summary (one row per key, ``size`` = rows in the group).
 
     Groups of ``hot_rows`` or more are joined by broadcast: there can be at most
-    (all rows / hot_rows) of them. The other groups are joined by a shuffle in which no
-    key is larger than ``hot_rows``.
+    (all rows / hot_rows) of them. Their rows then travel under a salt instead of their
+    key, so the shuffle that serves the other groups stays even. ``facts`` is read once.
     """
-    hot = groups.filter(F.col(size) >= hot_rows)
-    cold = groups.filter(F.col(size) < hot_rows)
     on = list(keys)
-    in_hot = facts.join(F.broadcast(hot), on)
-    in_cold = facts.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on)
-    return in_hot.unionByName(in_cold)
+    values = [c for c in groups.columns if c not in on]
+    hot = groups.filter(F.col(size) >= hot_rows).select(*on, F.struct(*values).alias("_hot"))
+    cold = groups.filter(F.col(size) < hot_rows).select(
+        *[F.col(k).alias(f"_k_{k}") for k in on], F.lit(0).alias("_salt"), F.struct(*values).alias("_cold")
+    )
+    is_hot = F.col("_hot").isNotNull()
+    left = facts.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.when(is_hot, F.pmod(F.xxhash64(*facts.columns), F.lit(65_536)).cast("int")).otherwise(0)
+    )
+    left = left.withColumns({f"_k_{k}": F.when(~is_hot, F.col(k)) for k in on})
+    out = left.join(cold, [f"_k_{k}" for k in on] + ["_salt"], "left").withColumn("_v", F.coalesce("_hot", "_cold"))
+    return out.filter(F.col("_v").isNotNull()).select(*facts.columns, *[F.col(f"_v.{v}").alias(v) for v in values])

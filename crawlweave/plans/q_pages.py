@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from crawlweave.operators import page_jobs as P
 from crawlweave.operators import page_tree as T
 from crawlweave.operators import search as SR
+from crawlweave.operators.strategies import extract
 from crawlweave.plans import sqltext as S
 from crawlweave.plans import views as V
 from crawlweave.plans.registry import query, table
@@ -228,7 +229,7 @@ def page_blocks(spark, d):
     return SR.page_blocks(table(spark, d, "pages")).select("page_id", "block_no", F.md5("block").alias("block_md5"))
 
 
-@query("passage_search", f"""WITH {BLOCKS},
+PASSAGES = f"""WITH {BLOCKS},
 terms AS (SELECT page_id, block_no, term, count(*) AS tf FROM (
   SELECT page_id, block_no, unnest({S.all_of('lower(block)', S.K.TOKEN)}) AS term FROM blocks) GROUP BY ALL),
 spread AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
@@ -238,9 +239,19 @@ qw AS (SELECT qt.term, ln((n_blocks + 1) / (coalesce(df, 0) + 1)) + 1 AS w FROM
 sc AS (SELECT page_id, block_no, sum(tf * (ln((n_blocks + 1) / (df + 1)) + 1) * coalesce(qw.w, 0)) AS dot,
          sqrt(sum((tf * (ln((n_blocks + 1) / (df + 1)) + 1)) ^ 2)) AS norm
        FROM terms JOIN spread USING (term) LEFT JOIN qw USING (term), n GROUP BY ALL)
-SELECT page_id, block_no, round(1 - dot / (norm * (SELECT sqrt(sum(w * w)) FROM qw)), 6) AS distance
+"""
+
+
+@query("passage_search", PASSAGES + """SELECT page_id, block_no, round(1 - dot / (norm * (SELECT sqrt(sum(w * w)) FROM qw)), 6) AS distance
 FROM sc WHERE dot > 0 ORDER BY 1 - dot / (norm * (SELECT sqrt(sum(w * w)) FROM qw)), page_id, block_no LIMIT 10""")
 def passage_search(spark, d):
     blocks = SR.page_blocks(table(spark, d, "pages"))
     out = SR.passage_search(blocks, "the and of", k=10, max_dist=2.0)
     return out.select("page_id", "block_no", F.round("distance", 6).alias("distance"))
+
+
+@query("strategy_cosine", PASSAGES + """SELECT page_id, block_no, rank FROM (
+  SELECT page_id, block_no, row_number() OVER (PARTITION BY page_id ORDER BY round(1 - dot / norm, 9), block_no) AS rank FROM sc WHERE dot > 0) WHERE rank <= 3""")
+def strategy_cosine(spark, d):
+    cfg = {"extraction_strategy": "cosine", "semantic_filter": "the and of", "max_dist": 2.0}
+    return extract(table(spark, d, "pages"), cfg).select("page_id", "block_no", "rank")

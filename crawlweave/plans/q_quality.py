@@ -34,9 +34,9 @@ def doc_records(spark, d):
 @query("content_type", f"""WITH c AS (SELECT doc_id, {TYPE_COLUMNS} FROM (SELECT doc_id, {S.clean_content('text')} AS c FROM documents))
 SELECT doc_id, {TYPE} AS content_type, round(least(greatest(hp, hc, hn) / 10.0, 1.0), 6) AS confidence_score FROM c""")
 def content_type(spark, d):
-    t = SC.content_type(X.clean_content(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).select(
-        "doc_id", "t.content_type", F.round("t.confidence_score", 6).alias("confidence_score"))
+    t = Q.classify_text(table(spark, d, "documents").withColumn("c", X.clean_content(F.col("text"))), "c")
+    return t.select(
+        "doc_id", "content_analysis.content_type", F.round("content_analysis.confidence_score", 6).alias("confidence_score"))
 
 
 METRICS = f"""

@@ -86,7 +86,8 @@ def phones_multi(spark, d):
 @query("entities_cleaned", f"""WITH c AS (SELECT doc_id, {S.clean_content('text')} AS t FROM documents), e AS (SELECT doc_id, {S.entity_size_columns('t')} FROM c)
 SELECT doc_id, n_emails, n_phone_numbers, n_urls, n_social_handles, n_companies, n_locations, n_keywords FROM e""")
 def entities_cleaned(spark, d):
-    e = docs(spark, d).select("doc_id", X.entities(X.clean_content(F.col("text"))).alias("e"))
+    c = docs(spark, d).withColumn("c", X.clean_content(F.col("text")))
+    e = c.select("doc_id", X.entities(F.col("c")).alias("e"))
     return e.select("doc_id", *[F.size(F.col("e")[k]).alias(f"n_{k}") for k in X.ENTITY_KINDS])
 
 
@@ -153,7 +154,8 @@ def lang_stopwords(spark, d):
 
 @query("lang_charset", f"SELECT doc_id, {LANG_LETTERS} AS language FROM documents")
 def lang_charset(spark, d):
-    return docs(spark, d).select("doc_id", X.language_by_letters(X.clean_text(F.col("text"))).alias("language"))
+    c = docs(spark, d).withColumn("c", X.clean_text(F.col("text")))
+    return c.select("doc_id", X.language_by_letters(F.col("c")).alias("language"))
 
 
 @query("language_report", f"""SELECT source, lang, {LANG_WORDS} AS lang_by_words, {LANG_LETTERS} AS lang_by_letters, count(*) AS n_docs

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crawlweave.session import spread_small
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -22,5 +24,9 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")  # cost is in the rows, not in reading them
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_small(df) if name in TEXT_TABLES else df
