@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from crawlweave.functions import fixed as K
 from crawlweave.functions import text as X
-from crawlweave.operators.ordered import exact_percentiles
+from crawlweave.operators.ordered import percentiles_of_counts
 from crawlweave.operators.skew import join_groups
+from crawlweave.session import materialize
 
 
 def clean_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -22,21 +23,23 @@ def clean_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(content_hash, first_doc, n_docs). Only hash and id are shuffled, partially aggregated first."""
-    return (
-        docs.select(X.content_hash(F.col(text)).alias("content_hash"), doc_id)
-        .groupBy("content_hash")
-        .agg(F.min(doc_id).alias("first_doc"), F.count("*").alias("n_docs"))
-    )
+    return _groups(docs.select(X.content_hash(F.col(text)).alias("content_hash"), doc_id), doc_id)
+
+
+def _groups(hashed: DataFrame, doc_id: str) -> DataFrame:
+    return hashed.groupBy("content_hash").agg(F.min(doc_id).alias("first_doc"), F.count("*").alias("n_docs"))
 
 
 def dedupe_content(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, content_hash, first_doc, n_docs, kept) for every document.
 
+    The texts are read once: ids and hashes are kept as a table, and grouping and joining use that.
+
     A text copied over much of the corpus is a hot group and takes the broadcast branch
     of ``join_groups``.
     """
-    hashed = docs.select(doc_id, X.content_hash(F.col(text)).alias("content_hash"))
-    joined = join_groups(hashed, duplicate_groups(docs, text, doc_id), ["content_hash"], "n_docs")
+    hashed = materialize(docs.select(doc_id, X.content_hash(F.col(text)).alias("content_hash")), "hashes")
+    joined = join_groups(hashed, _groups(hashed, doc_id), ["content_hash"], "n_docs")
     return joined.withColumn("kept", F.col(doc_id) == F.col("first_doc"))
 
 
@@ -128,12 +131,21 @@ def content_stats(docs: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, points=(0.5, 0.95)) -> DataFrame:
     """Sums per source with exact word-count percentiles."""
-    stats = content_stats(docs)
-    sums = stats.groupBy("source").agg(
-        F.count("*").alias("n_docs"),
-        F.sum("word_count").alias("words"),
+    # one row per (source, word count): all sums and ranks follow from it
+    fine = materialize(
+        content_stats(docs)
+        .groupBy("source", "word_count")
+        .agg(
+            F.count("*").alias("n"),
+            *[F.sum(c).alias(c) for c in ("char_count", "paragraph_count", "reading_time_minutes")],
+        ),
+        "word-counts",
+    )
+    sums = fine.groupBy("source").agg(
+        F.sum("n").alias("n_docs"),
+        F.sum(F.col("word_count") * F.col("n")).alias("words"),
         F.sum("char_count").alias("chars"),
         F.sum("paragraph_count").alias("paragraphs"),
         F.sum("reading_time_minutes").alias("reading_minutes"),
     )
-    return sums.join(exact_percentiles(stats, ["source"], "word_count", points), "source", "left")
+    return sums.join(percentiles_of_counts(fine, ["source"], "word_count", "n", points), "source", "left")

@@ -86,8 +86,14 @@ def exact_percentiles(df: DataFrame, keys, value: str, points: Sequence[float])
     a whole group's values in one task, unlike the built-in exact ``percentile``.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    cum = running_sum(chunked(counts, keys, [value]), keys, [value], F.col("_n"), "_hi")
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+    return percentiles_of_counts(counts, keys, value, "_n", points)
+
+
+def percentiles_of_counts(counts: DataFrame, keys, value: str, n: str, points: Sequence[float]) -> DataFrame:
+    """The same from rows (keys, value, n), one per distinct value."""
+    chunks = chunked(counts.select(*keys, value, F.col(n).alias("_n")), keys, [value])
+    cum = running_sum(chunks, keys, [value], F.col("_n"), "_hi")
+    totals = chunks.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
     ranks = totals.select(
         *keys,
         "_rows",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions import html as H
 from crawlweave.functions import text as X
 from crawlweave.operators.skew import join_groups
+from crawlweave.session import materialize
 
 BLOCK_TAGS = (
     r"(?is)</?(?:p|h[1-6]|li|ul|ol|div|article|section|nav|header|footer|table|tr|td|th|br|title|body|head|html)"
@@ -77,15 +78,17 @@ def passage_search(
 ) -> DataFrame:
     """Blocks nearest to ``query`` by TF-IDF cosine.
 
-    Only terms and counts move. A word present in most blocks is a hot join key; its
+    Terms and their counts are kept as a table, since weights, norms and frequencies all
+    read them. A word present in most blocks is a hot join key; its
     document frequency is joined by broadcast through ``join_groups``.
     """
-    terms = (
+    terms = materialize(
         blocks.select("page_id", "block_no", F.explode(X.tokens(F.col("block"))).alias("term"))
-        .groupBy("page_id", "block_no", "term").agg(F.count("*").alias("tf"))
+        .groupBy("page_id", "block_no", "term").agg(F.count("*").alias("tf")),
+        "terms",
     )
     spread = terms.groupBy("term").agg(F.count("*").alias("df"))
-    n_blocks = blocks.groupBy().agg(F.count("*")).scalar()
+    n_blocks = terms.groupBy("page_id", "block_no").agg(F.lit(1).alias("one")).groupBy().agg(F.count("*")).scalar()
     idf = F.log((n_blocks + 1) / (F.col("df") + 1)) + 1
     q = blocks.sparkSession.range(1).select(F.explode(X.tokens(F.lit(query))).alias("term"))
     q = q.groupBy("term").agg(F.count("*").alias("q_tf"))  # as large as the query text

@@ -233,7 +233,7 @@ PASSAGES = f"""WITH {BLOCKS},
 terms AS (SELECT page_id, block_no, term, count(*) AS tf FROM (
   SELECT page_id, block_no, unnest({S.all_of('lower(block)', S.K.TOKEN)}) AS term FROM blocks) GROUP BY ALL),
 spread AS (SELECT term, count(*) AS df FROM terms GROUP BY term),
-n AS (SELECT count(*) AS n_blocks FROM blocks),
+n AS (SELECT count(DISTINCT (page_id, block_no)) AS n_blocks FROM terms),
 qt AS (SELECT unnest(['the', 'and', 'of']) AS term),
 qw AS (SELECT qt.term, ln((n_blocks + 1) / (coalesce(df, 0) + 1)) + 1 AS w FROM qt LEFT JOIN spread s ON s.term = qt.term, n),
 sc AS (SELECT page_id, block_no, sum(tf * (ln((n_blocks + 1) / (df + 1)) + 1) * coalesce(qw.w, 0)) AS dot,

@@ -65,6 +65,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder, for results several branches read."""
+    path = fresh_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_small(df: DataFrame) -> DataFrame:
     """Give a small scan as many partitions as there are cores before expensive per-row work.
 
