@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.functions import fixed as K
+from crawlweave.operators.skew import join_lookup
 
 
 def merge_rows(base: DataFrame, changes: DataFrame, key: str, version: str, deleted: str = "deleted") -> DataFrame:
@@ -61,7 +62,7 @@ def retry_outcomes(ids: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def _flag(df: DataFrame, ids: DataFrame, key: str, name: str) -> DataFrame:
     """Adds a boolean column: is this key in ``ids``."""
-    return df.join(ids.select(key).distinct().withColumn(name, F.lit(True)), key, "left").withColumn(
+    return join_lookup(df, ids.select(key).distinct().withColumn(name, F.lit(True)), [key]).withColumn(
         name, F.coalesce(name, F.lit(False))
     )
 

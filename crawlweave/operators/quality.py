@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions import scores as S
 from crawlweave.functions import text as X
 from crawlweave.functions import urls as U
+from crawlweave.operators.skew import join_lookup
 
 KIND_KEYS = tuple(X.ENTITY_KINDS)
 
@@ -139,9 +140,9 @@ def domain_report(records: DataFrame) -> DataFrame:
 
 def label_agreement(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Average scores and sizes of documents by their given quality label."""
-    scored = with_quality(docs.withColumn("links", F.array().cast("array<string>")), "raw", "text")
+    labelled = join_lookup(docs, labels, ["doc_id"], "inner")  # before scoring: only labelled texts are scored
     return (
-        scored.join(labels, "doc_id")
+        with_quality(labelled.withColumn("links", F.array().cast("array<string>")), "raw", "text")
         .groupBy("quality_label")
         .agg(
             F.count("*").alias("n_docs"),

@@ -78,6 +78,7 @@ def passage_search(
 ) -> DataFrame:
     """Blocks nearest to ``query`` by TF-IDF cosine.
 
+    Distances are rounded to nine digits, so that ties do not hang on the order of summation.
     Terms and their counts are kept as a table, since weights, norms and frequencies all
     read them. A word present in most blocks is a hot join key; its
     document frequency is joined by broadcast through ``join_groups``.
@@ -108,7 +109,7 @@ def passage_search(
         .agg(F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"),
              F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
         .filter("dot > 0")
-        .select("page_id", "block_no", (1 - F.col("dot") / (F.col("norm") * q_norm)).alias("distance"))
+        .select("page_id", "block_no", F.round(1 - F.col("dot") / (F.col("norm") * q_norm), 9).alias("distance"))
         .filter(F.col("distance") <= max_dist)
     )
     if per_page:

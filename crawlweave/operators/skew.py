@@ -12,15 +12,30 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast only after measuring rows and text size; else leave it to a shuffle join.
-
-    The measurement stops at ``max_rows`` + 1 rows.
-    """
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Measured, not guessed; the measurement stops at ``max_rows`` + 1 rows."""
     size = df.limit(max_rows + 1).agg(
         F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")
     ).first()
-    return F.broadcast(df) if size["n"] <= max_rows and size["bytes"] <= max_bytes else df
+    return size["n"] <= max_rows and size["bytes"] <= max_bytes
+
+
+def join_lookup(
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    salts: int = 32,
+) -> DataFrame:
+    """Join with a table that has one row per key.
+
+    Broadcast when that table is measured to be small. Otherwise facts are salted and the
+    table is repeated per salt, so a key with a third of all facts is shared by ``salts``
+    tasks (AQE's own skew split does not apply when a side is an aggregate).
+    """
+    on = list(keys)
+    if is_small(lookup, max_rows):
+        return facts.join(F.broadcast(lookup), on, how)
+    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
 
 
 def join_groups(

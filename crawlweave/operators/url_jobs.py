@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions import fixed as K
 from crawlweave.functions import html as H
 from crawlweave.functions import urls as U
-from crawlweave.operators.skew import broadcast_if_small
+from crawlweave.operators.skew import join_lookup
 
 
 def _stripped(c: Column) -> Column:
@@ -86,7 +86,7 @@ def robots_filter(urls: DataFrame, rules: DataFrame, agent: str = "*", url: str
         F.when(U.has_query(F.col(url)), F.concat(F.lit("?"), U.part(F.col(url), 4))).otherwise(""),
     )
     joined = urls.withColumn("host", U.domain(F.col(url))).withColumn("_target", target)
-    joined = joined.join(broadcast_if_small(per_host), "host", "left")
+    joined = join_lookup(joined, per_host, ["host"])
     group = F.filter("_rules", lambda r: r["rank"] == F.get("_rules", F.lit(0))["rank"])
     first = F.get(
         F.filter(group, lambda r: (r["path"] == "*") | F.startswith(F.col("_target"), r["path"])), F.lit(0)

@@ -243,7 +243,7 @@ sc AS (SELECT page_id, block_no, sum(tf * (ln((n_blocks + 1) / (df + 1)) + 1) *
 
 
 @query("passage_search", PASSAGES + """SELECT page_id, block_no, round(1 - dot / (norm * (SELECT sqrt(sum(w * w)) FROM qw)), 6) AS distance
-FROM sc WHERE dot > 0 ORDER BY 1 - dot / (norm * (SELECT sqrt(sum(w * w)) FROM qw)), page_id, block_no LIMIT 10""")
+FROM sc WHERE dot > 0 ORDER BY round(1 - dot / (norm * (SELECT sqrt(sum(w * w)) FROM qw)), 9), page_id, block_no LIMIT 10""")
 def passage_search(spark, d):
     blocks = SR.page_blocks(table(spark, d, "pages"))
     out = SR.passage_search(blocks, "the and of", k=10, max_dist=2.0)
@@ -251,7 +251,7 @@ def passage_search(spark, d):
 
 
 @query("strategy_cosine", PASSAGES + """SELECT page_id, block_no, rank FROM (
-  SELECT page_id, block_no, row_number() OVER (PARTITION BY page_id ORDER BY round(1 - dot / norm, 9), block_no) AS rank FROM sc WHERE dot > 0) WHERE rank <= 3""")
+  SELECT page_id, block_no, row_number() OVER (PARTITION BY page_id ORDER BY round(1 - dot / (norm * (SELECT sqrt(sum(w * w)) FROM qw)), 9), block_no) AS rank FROM sc WHERE dot > 0) WHERE rank <= 3""")
 def strategy_cosine(spark, d):
     cfg = {"extraction_strategy": "cosine", "semantic_filter": "the and of", "max_dist": 2.0}
     return extract(table(spark, d, "pages"), cfg).select("page_id", "block_no", "rank")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from crawlweave.functions import fixed as K
 from crawlweave.functions.text import parse_json
 from crawlweave.functions.urls import is_valid_url, normalize_url
-from crawlweave.operators.skew import broadcast_if_small
+from crawlweave.operators.skew import join_lookup
 
 LINE_BREAKS = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 DELIMITERS = (",", ";", "\t", "|")
@@ -94,7 +94,7 @@ def read_url_csv(spark: SparkSession, path: str, mode: str = "full", delimiter:
         *[F.when((n == best) & (n > 0), F.lit(d)) for d, n in zip(DELIMITERS, counts)], F.lit(",")
     )
     heads = heads.select("file", "h", chosen.alias("delim"))
-    joined = lines.join(broadcast_if_small(heads), "file")
+    joined = join_lookup(lines, heads, ["file"], "inner")
 
     def cells(line: Column) -> Column:
         out = _cells(line, DELIMITERS[0])

@@ -72,6 +72,16 @@ def test_join_groups(spark, hot):
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
 
 
+@pytest.mark.parametrize("most", [0, 100])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_join_lookup(spark, most, how):
+    df = spark.createDataFrame(hot_rows(), "key string, t int, id int, v double")
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "key string, d int")
+    got = SK.join_lookup(df, dim, ["key"], how, max_rows=most)
+    want = df.join(dim, "key", how)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_ema(spark):
     rows = hot_rows()
     df = spark.createDataFrame(rows, "source string, t int, id int, response_time double")
