@@ -24,10 +24,10 @@ JSON_LD = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.
 
 
 def unescape(c: Column) -> Column:
-    out = c
+    """Named references to characters; ``c`` occurs once, so it is evaluated once wherever this is used."""
     for name, char in K.ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.when(F.contains(c, F.lit("&")), out).otherwise(c)
+        c = F.replace(c, F.lit(name), F.lit(char))
+    return c
 
 
 def title(html: Column) -> Column:

@@ -10,6 +10,7 @@ chunks.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
@@ -41,18 +42,19 @@ class Replay:
         return NotImplemented
 
 
-def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, bool]]:
-    """(chunk, key, t, n, first run of this key in the chunk) in order; a run is part of one Arrow batch."""
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple[int, str, np.ndarray, np.ndarray, bool]]]:
+    """Per Arrow batch its runs of one key, in order: (chunk, key, t, n, first run of this key in the chunk)."""
     last = None
     for b in batches:
         if not len(b):
             continue
-        key = b["key"].to_numpy()
-        cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(b)]):
-            part = b.iloc[lo:hi]
-            yield int(part[CHUNK].iloc[0]), key[lo], part["t"].to_numpy(), part["n"].to_numpy(), key[lo] != last
+        key, t, n, chunk = (b[c].to_numpy() for c in ("key", "t", "n", CHUNK))
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(b)]
+        out = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            out.append((int(chunk[lo]), key[lo], t[lo:hi], n[lo:hi], key[lo] != last))
             last = key[lo]
+        yield out
 
 
 SUMMARY = "chunk int, first_key string, last_key string, effect string, tail string"
@@ -63,7 +65,7 @@ def _summary(op: Replay) -> Callable:
     def run(batches):
         chunk = first = last = tail = None
         head: list[tuple[np.ndarray, np.ndarray]] = []  # times and counts of the first key, one partition at most
-        for chunk, key, t, n, fresh in _runs(batches):
+        for chunk, key, t, n, fresh in itertools.chain.from_iterable(_runs(batches)):
             if first is None:
                 first = key
             if key == first:
@@ -84,13 +86,20 @@ def _summary(op: Replay) -> Callable:
 def _replay(op: Replay, starts: dict[int, object]) -> Callable:
     def run(batches):
         state, begun = None, False
-        for chunk, key, t, n, fresh in _runs(batches):
-            if not begun:
-                state, begun = starts.get(chunk), True
-            elif fresh:
-                state = None
-            passed, state = op.run(t, n, state)
-            yield pd.DataFrame({"key": key, "t": t, "n": n, "passed": passed})
+        for runs in _runs(batches):
+            passed = []
+            for chunk, _, t, n, fresh in runs:
+                if not begun:
+                    state, begun = starts.get(chunk), True
+                elif fresh:
+                    state = None
+                done, state = op.run(t, n, state)
+                passed.append(done)
+            keys = np.repeat(np.array([r[1] for r in runs], dtype=object), [len(r[2]) for r in runs])
+            yield pd.DataFrame({
+                "key": keys, "t": np.concatenate([r[2] for r in runs]), "n": np.concatenate([r[3] for r in runs]),
+                "passed": np.concatenate(passed),
+            })
 
     return run
 
@@ -98,7 +107,7 @@ def _replay(op: Replay, starts: dict[int, object]) -> Callable:
 def _end_of(op: Replay, start: object) -> Callable:
     def run(batches):
         state = start
-        for _, _, t, n, _ in _runs(batches):
+        for _, _, t, n, _ in itertools.chain.from_iterable(_runs(batches)):
             _, state = op.run(t, n, state)
         yield pd.DataFrame({"state": [json.dumps(state)]})
 

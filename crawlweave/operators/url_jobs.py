@@ -18,11 +18,19 @@ def _stripped(c: Column) -> Column:
 
 
 def classify_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds ``norm_url`` and ``verdict``: skipped, invalid or valid."""
-    s = _stripped(F.col(url))
-    skipped = (s == "") | s.startswith("#") | s.startswith("//")
-    norm = U.normalize_url(s)
-    return df.withColumn("norm_url", F.when(~skipped, norm)).withColumn(
+    """Adds ``norm_url`` and ``verdict``: skipped, invalid or valid.
+
+    The normalized URL comes out of a generator, which filters on it are not pushed
+    through; otherwise each of them would normalize every URL again.
+    """
+
+    def norm(s: Column) -> Column:
+        skipped = (s == "") | s.startswith("#") | s.startswith("//")
+        return F.when(~skipped, U.normalize_url(s))
+
+    return df.select(
+        "*", F.explode(F.transform(F.array(_stripped(F.col(url))), norm)).alias("norm_url")
+    ).withColumn(
         "verdict",
         F.when(F.col("norm_url").isNull(), "skipped")
         .when(U.is_valid_url(F.col("norm_url")), "valid")
