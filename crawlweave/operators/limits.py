@@ -32,12 +32,16 @@ def per_minute_allowed(requests: DataFrame, key: str, ts: str, unique: str, limi
     )
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
+def _micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds since 1970; a time without zone counts as UTC whatever the session zone is."""
+    c = F.col(ts)
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        c = F.convert_timezone(F.lit("UTC"), F.current_timezone(), c)
+    return F.unix_micros(c.cast("timestamp"))
 
 
 def _ticks(requests: DataFrame, key: str, ts: str) -> DataFrame:
-    return requests.groupBy(F.col(key).cast("string").alias("key"), _micros(ts).alias("t")).agg(
+    return requests.groupBy(F.col(key).cast("string").alias("key"), _micros(requests, ts).alias("t")).agg(
         F.count("*").alias("n")
     )
 
