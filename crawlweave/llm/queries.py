@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.llm import decontaminate, exact_dedup, sharding
+from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, language_id, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +85,23 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 """)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, folder, "documents"), carry=["doc_id"])
+
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op7_byte_bpe")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    coded = byte_bpe.encode_texts(read(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN, keep=["doc_id"], with_ids=False)
+    return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    held_out = language_id.in_fold("doc_id", 3, 1)
+    known = language_id.learn_dictionaries(docs.filter(~held_out))
+    found = language_id.identify(docs, known, keep=["doc_id"])
+    return found.select(
+        "row.doc_id", language_id.in_fold("row.doc_id", 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected"
+    )
