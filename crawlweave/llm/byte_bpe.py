@@ -196,6 +196,23 @@ class Codec:
         return self.bytes[_ragged(self.starts[at], self.sizes[at])].tobytes()
 
 
+_codecs: dict[tuple[str, str], Codec] = {}
+
+
+def shared_codec(vocabulary: tuple[str, dict[bytes, int]], pattern: str) -> Codec:
+    """One codec for each worker process, so that what a task has merged serves the next one."""
+    key = (vocabulary[0], pattern)
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(vocabulary[1], pattern)
+    return _codecs[key]
+
+
+def _named(path: str) -> tuple[str, dict[bytes, int]]:
+    ranks = read_ranks(path)
+    return hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), ranks
+
+
 def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places starts[i], starts[i] + 1, ... of all i, one after the other."""
     before = np.cumsum(sizes) - sizes
@@ -205,7 +222,7 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "text", keep: Sequence[str] | None = None, with_ids: bool = True) -> DataFrame:
     """Columns ``keep`` (all by default) as ``row``, then ``token_ids`` (little-endian unsigned 32-bit
     integers, if ``with_ids``), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = docs.sparkSession.sparkContext.broadcast(_named(vocabulary))
     wide = docs.select(F.col(text).alias("_text"), F.struct(*(docs.columns if keep is None else keep)).alias("row"))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
@@ -213,7 +230,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     schema = T.StructType([wide.schema["row"], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, pattern)
+        codec = shared_codec(shared.value, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             lo = 0
@@ -239,12 +256,12 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
 
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
     """Columns of the input as ``row``, and the decoded text; null ids give a null text."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = encoded.sparkSession.sparkContext.broadcast(_named(vocabulary))
     wide = encoded.select(F.col(ids).alias("_ids"), F.struct(*encoded.columns).alias("row"))
     schema = T.StructType([wide.schema["row"], T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, r"\s\S")
+        codec = shared_codec(shared.value, r"\s\S")
         for batch in batches:
             texts = [None if x is None else codec.decode(np.frombuffer(x, "<u4")).decode(errors="replace") for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(texts, pa.string())], names=["row", out])

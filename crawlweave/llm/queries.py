@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, language_id, sharding
+from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,3 +105,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "row.doc_id", language_id.in_fold("row.doc_id", 3, 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "rejected"
     )
+
+
+@query("op9_ngram_jaccard_join", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)]) END AS s FROM w),
+n AS (SELECT doc_id, len(s)::BIGINT AS n, unnest(s) AS x FROM t),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+           FROM n a JOIN n b ON a.x = b.x AND a.doc_id <> b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90 GROUP BY ALL),
+links AS (SELECT a, b FROM common WHERE 100 * c >= 90 * (na + nb - c)),
+reach AS (WITH RECURSIVE r(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, links.b FROM r JOIN links ON links.a = r.other)
+          SELECT id, min(other) AS component_id FROM r GROUP BY id)
+SELECT t.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM t JOIN reach ON reach.id = t.doc_id
+""")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard_join.classes(read(spark, folder, "documents"), size=3, percent=90)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"))
