@@ -11,7 +11,9 @@ shingle). Two documents link when |A & B| / |A | B| reaches the threshold.
    differs in no more bits than the sets differ in tokens, so a larger distance proves that there is no link.
 4. Pairs of groups, and of members of a group, are expanded to pairs of sets and verified on the whole sets.
 
-Only ids and sets of the pairs left in step 4 travel; texts are never shuffled.
+Steps 3 and 4 run twice. First every group is only paired with a few neighbours at each of its tokens, which is linear
+and joins most of a large cluster of near copies. Then all pairs are made whose sets aren't in one class yet: the classes
+are those of all links, but a cluster's pairs are not listed. Only ids and the sets of such pairs travel, no texts.
 
 Defined cases: null and wordless texts have an empty set and link with nothing. Rows without an id join classes
 but never name one; a class without any id is named null. Repeated rows share a class. Empty tables give empty results.
@@ -24,15 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlweave.llm import counting
 from crawlweave.llm.words import U64, Words, split_words, windows
+from crawlweave.operators.skew import join_groups
 from crawlweave.session import materialize
 
 FREQUENT = 200_000
-SKETCH_LONGS = 16
+SKETCH_LONGS = 8
+NEIGHBOURS = 3
+COUNT_MASK = U64(0xFFFFFFFFFF000000)  # counts only order the tokens, so 40 bits tell them apart well enough
+HOT_SHARE = 2_000
 BROADCAST_IDS = 1_000_000
 
 
@@ -60,7 +66,7 @@ def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[n
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1_000):
                     found = list(text_sets(batch.column(0).slice(lo, 1_000), size))
-                    h, n = np.unique(np.concatenate(found), return_counts=True)
+                    h, n = np.unique(np.concatenate(found) & COUNT_MASK, return_counts=True)
                     yield h, n.astype(np.int64)
 
         yield from counting.lists(parts(), ranges)
@@ -71,7 +77,14 @@ def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[n
         return pa.table({"hash": h[often].view(np.int64), "n": n[often]})
 
     counts = docs.select(text).mapInArrow(send, counting.LIST_SCHEMA).groupBy("bucket").applyInArrow(common, "hash long, n long")
-    top = counts.orderBy(F.desc("n"), "hash").limit(FREQUENT).toPandas()
+    counts = materialize(counts, "shingle-counts")
+    cut, room = 0, FREQUENT
+    for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).toLocalIterator():
+        cut, room = row["n"], room - row["c"]
+        if room < 0:
+            cut += 1
+            break
+    top = counts.filter(F.col("n") >= cut).toPandas().sort_values(["n", "hash"], ascending=[False, True])
     h = top["hash"].to_numpy(np.int64).view(U64)
     rank = np.arange(len(h), 0, -1, dtype=np.int64)
     order = np.argsort(h)
@@ -99,8 +112,9 @@ def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text",
                         continue
                     order = np.zeros(len(s), np.int64)
                     if len(known):
-                        at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                        order = np.where(known[at] == s, rank[at], 0)
+                        coarse = s & COUNT_MASK
+                        at = np.minimum(np.searchsorted(known, coarse), len(known) - 1)
+                        order = np.where(known[at] == coarse, rank[at], 0)
                     prefix = s[np.argsort(order, kind="stable")[: prefix_length(len(s), percent)]].tobytes()
                     bits = np.bincount((s >> U64(20)).astype(np.int64) & (64 * SKETCH_LONGS - 1), minlength=64 * SKETCH_LONGS) & 1
                     sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
@@ -124,11 +138,12 @@ def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             part = batch.slice(lo, 2_000)
             prefixes = part.column(2).to_pylist()
             sizes = np.array([len(p) // 8 for p in prefixes], np.int64)
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            at = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            left = part.column(1).to_numpy()[at] - place  # tokens of the set from this one on
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(prefixes), np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(place.astype(np.int32))],
-                names=["token", "grp", "n", "place"],
+                [pa.array(np.frombuffer(b"".join(prefixes), np.int64)), part.column(0).take(pa.array(at)), pa.array(left)],
+                names=["token", "gid", "left"],
             )
 
 
@@ -147,30 +162,59 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
     return sizes & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
-def candidate_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b), a < b: digests of the pairs of different sets that may link."""
-    groups = sets.groupBy("grp").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members"), F.first("sketch").alias("sketch")
+def _may_share(percent: int) -> Column:
+    """The size, position and sketch bounds of two groups at a common token."""
+    room = F.least("a.left", "b.left")  # tokens that can be common from here on
+    return (room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent) & _may_link(percent)
+
+
+def shared_entries(sets: DataFrame) -> DataFrame:
+    """(token, gid, left): prefix tokens that at least two groups have."""
+    groups = sets.groupBy("grp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    tokens = groups.select("gid", "n", "prefix").mapInArrow(_prefix_tokens, "token long, gid long, left long")
+    return tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1").drop("c")
+
+
+def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Group pairs (ga, gb) as pairs of member digests that may link and are not of one class."""
+    member = sets.select("gid", F.struct("digest", "n", "sketch", "label").alias("m"))
+    left, right = member.select(F.col("gid").alias("ga"), F.col("m").alias("a")), member.select(F.col("gid").alias("gb"), F.col("m").alias("b"))
+    found = pairs.join(left, "ga").join(right, "gb").filter(_may_link(percent) & (F.col("a.label") != F.col("b.label")))
+    return found.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")).distinct()
+
+
+def _facts(sets: DataFrame) -> DataFrame:
+    """Per group: size, and the sketch and class of its member if it has only one."""
+    one = F.count(F.lit(1)) == 1
+    return sets.groupBy("gid").agg(
+        F.first("n").alias("n"), F.when(one, F.first("sketch")).alias("sketch"), F.when(one, F.xxhash64(F.first("label"))).alias("label")
     )
-    single = F.when(F.col("members") == 1, F.col("sketch")).alias("sketch")
-    tokens = groups.select("grp", "n", "prefix").mapInArrow(_prefix_tokens, "token long, grp binary, n long, place int")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    facts = groups.select("grp", single)
-    entries = tokens.join(shared, "token", "left_semi").join(facts, "grp")
-    side = lambda name: entries.select("token", F.struct("grp", "n", "place", "sketch").alias(name))
-    na, nb = F.col("a.n"), F.col("b.n")
-    room = F.least(na - F.col("a.place"), nb - F.col("b.place"))  # tokens from the shared one on
-    bounds = (F.col("a.grp") < F.col("b.grp")) & (room * (100 + percent) >= (na + nb) * percent) & _may_link(percent)
-    pairs = side("a").join(side("b"), "token").filter(bounds).select(F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb")).distinct()
-
-    member = sets.select("grp", F.struct("digest", "n", "sketch").alias("m"))
-    left, right = member.select(F.col("grp").alias("ga"), F.col("m").alias("a")), member.select(F.col("grp").alias("gb"), F.col("m").alias("b"))
-    across = pairs.join(left, "ga").join(right, "gb").filter(_may_link(percent))
-    several = groups.filter("members > 1").select("grp")
-    inside = left.join(several, F.col("ga") == F.col("grp"), "left_semi").join(right, F.col("ga") == F.col("gb"))
-    inside = inside.filter((F.col("a.digest") < F.col("b.digest")) & _may_link(percent))
-    both = across.select("a.digest", F.col("b.digest").alias("other")).unionByName(inside.select("a.digest", F.col("b.digest").alias("other")))
-    return both.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"))
+
+
+def neighbour_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets whose groups lie close together, or first, among the groups of a token."""
+    own = entries.join(_facts(sets), "gid").select("token", F.struct("gid", "n", "left", "sketch").alias("a"))
+    order = Window.partitionBy("token").orderBy("a.n", "a.gid")
+    near = [F.lag("a", k).over(order) for k in range(1, NEIGHBOURS + 1)] + [F.first("a").over(order)]
+    pairs = own.select("a", F.array(*near).alias("_near")).select("a", F.explode(F.array_distinct(F.array_compact("_near"))).alias("b"))
+    pairs = pairs.filter((F.col("a.gid") != F.col("b.gid")) & _may_share(percent))
+    return _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
+
+
+def remaining_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of sets of different classes that may link."""
+    own = entries.join(_facts(sets), "gid")
+    side = lambda name: own.select("token", F.struct("gid", "n", "left", "sketch", "label").alias(name))
+    apart = F.col("a.label").isNull() | F.col("b.label").isNull() | (F.col("a.label") != F.col("b.label"))
+    pairs = side("a").join(side("b"), "token").filter((F.col("a.gid") < F.col("b.gid")) & apart & _may_share(percent))
+    across = _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
+    member = sets.select("gid", F.struct("digest", "n", "sketch", "label").alias("m"))
+    several = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
+    within = member.join(several, "gid", "left_semi")
+    inside = within.withColumnRenamed("m", "a").join(within.withColumnRenamed("m", "b"), "gid").filter(
+        (F.col("a.digest") < F.col("b.digest")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent)
+    )
+    return across.unionByName(inside.select("a.digest", F.col("b.digest").alias("other")).toDF("a", "b"))
 
 
 def verified_links(docs: DataFrame, described: DataFrame, pairs: DataFrame, size: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -199,8 +243,12 @@ def verified_links(docs: DataFrame, described: DataFrame, pairs: DataFrame, size
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sets = picked.mapInArrow(run, "digest binary, tokens binary").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
-    left, right = sets.toDF("a", "ta"), sets.toDF("b", "tb")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
+    needs = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("digest"))
+    both = needs.join(sets, "digest").groupBy("a", "b").agg(
+        F.first(F.when(F.col("digest") == F.col("a"), F.col("tokens")), True).alias("ta"),
+        F.first(F.when(F.col("digest") == F.col("b"), F.col("tokens")), True).alias("tb"),
+    )
+    return both.mapInArrow(verify, "a binary, b binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -227,18 +275,33 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     described = materialize(describe_sets(docs, size, percent, text, key), "jaccard-sets")
     full = described.filter("n > 0")
     sets = full.groupBy("digest").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch")
-    )
-    pairs = materialize(candidate_sets(sets, percent), "jaccard-pairs")
-    links = verified_links(docs, described, pairs, size, percent, text, key)
-    labels = connected(links)
-    reps = full.groupBy("digest").agg(F.min("id").alias("rep"))
-    named = reps.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", F.coalesce("label", "digest").alias("label"))
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch")
+    ).withColumn("gid", F.xxhash64("grp"))
+    entries = materialize(shared_entries(sets), "jaccard-entries")
+    slim = materialize(sets.join(entries.select("gid").distinct(), "gid", "left_semi").unionByName(_several(sets)).distinct().select("digest", "gid", "n", "sketch"), "jaccard-members")
+    apart = slim.withColumn("label", F.col("digest"))
+    near = materialize(neighbour_pairs(entries, apart, percent), "jaccard-near")
+    first = materialize(verified_links(docs, described, near, size, percent, text, key), "jaccard-links")
+    known = connected(first)
+    classed = slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "sketch", F.coalesce("label", "digest").alias("label"))
+    rest = materialize(remaining_pairs(entries, classed, percent), "jaccard-rest")
+    second = verified_links(docs, described, rest, size, percent, text, key)
+    labels = connected(first.unionByName(second))
+
+    copies = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    named = copies.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "digest").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    # copies of one text share a digest; the join is split where one of them is hot
-    final = named.join(least, "label").select("digest", "class_id")
-    placed = described.select("id", "n", "digest").join(final, "digest", "left")
-    return placed.select("id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"))
+    final = named.join(least, "label").select("digest", "copies", "class_id")
+    rows = described.select("id", "n", "digest")
+    hot = max(described.count() // HOT_SHARE, 2)
+    placed = join_groups(rows.filter("n > 0"), final, ["digest"], "copies", hot).select("id", "n", "class_id")
+    return placed.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("class_id")))
+
+
+def _several(sets: DataFrame) -> DataFrame:
+    """The sets of groups with more than one."""
+    many = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
+    return sets.join(many, "gid", "left_semi")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
