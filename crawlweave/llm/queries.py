@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, sharding
+from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -123,3 +123,19 @@ SELECT t.doc_id, len(s)::BIGINT AS n_shingles, component_id FROM t JOIN reach ON
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = jaccard_join.classes(read(spark, folder, "documents"), size=3, percent=90)
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("class_id").alias("component_id"))
+
+
+@query("op4_substring_dedup", r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s+19], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM w WHERE len(w) >= 20)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS p FROM later),
+g AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id),
+left_over AS (SELECT doc_id, string_agg(w[i], ' ' ORDER BY i) AS t
+              FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) k WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = k.doc_id AND p = i)
+              GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN g USING (doc_id) LEFT JOIN left_over USING (doc_id)
+""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
