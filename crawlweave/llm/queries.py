@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, sharding, substring_dedup
+from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,12 @@ FROM w LEFT JOIN g USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    scored = lm_score.score_texts(docs, docs.filter(~language_id.in_fold("doc_id", 7, 2)))
+    return scored.select(
+        F.col("id").alias("doc_id"), language_id.in_fold("id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
