@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, sharding, substring_dedup
+from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -148,3 +148,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         F.col("id").alias("doc_id"), language_id.in_fold("id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read(spark, folder, "labels").filter(~language_id.in_fold("doc_id", 5, 0))
+    scored = toxicity.score_texts(read(spark, folder, "documents"), labels)
+    return scored.select(
+        F.col("id").alias("doc_id"), language_id.in_fold("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
