@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, sharding, substring_dedup, toxicity
+from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, quote_threads, sharding, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -157,3 +157,31 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select(
         F.col("id").alias("doc_id"), language_id.in_fold("id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def quoting_messages(talks: DataFrame) -> DataFrame:
+    """Each turn as a mail: an attribution, the turn before it quoted once, the one before that twice, then its own text."""
+    said = talks.groupBy("conv_id", "turn").agg(F.min("text").alias("said"), F.min("role").alias("by"))
+    before = lambda k: said.select(F.col("conv_id").alias(f"c{k}"), (F.col("turn") + k).alias(f"t{k}"), F.col("said").alias(f"said{k}"), F.col("by").alias(f"by{k}"))
+    marked = lambda k: F.concat(F.lit(">" * k + " "), F.replace(F.col(f"said{k}"), F.lit("\n"), F.lit("\n" + ">" * k + " ")))
+    rows = talks
+    for k in (1, 2):
+        rows = rows.join(before(k), (F.col("conv_id") == F.col(f"c{k}")) & (F.col("turn") == F.col(f"t{k}")), "left")
+    text = F.concat_ws("\n", F.concat("by1", F.lit(" wrote:")), marked(2), marked(1), F.lit(""), F.col("text"))
+    return rows.select("conv_id", "turn", "role", text.alias("text"))
+
+
+@query("op5_chat_formatting", r"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text, lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))) AS said FROM conversations),
+q AS (SELECT a.conv_id, a.turn, coalesce(nullif(b.said, ''), NULL) AS q1, nullif(d.said, '') AS q2
+      FROM c a LEFT JOIN c b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 LEFT JOIN c d ON d.conv_id = a.conv_id AND d.turn = a.turn - 2),
+p AS (SELECT q.conv_id, q.turn, coalesce((SELECT min(turn) FROM c WHERE c.conv_id = q.conv_id AND said = q1 AND c.turn < q.turn),
+                                         (SELECT min(turn) FROM c WHERE c.conv_id = q.conv_id AND said = q2 AND c.turn < q.turn)) AS parent FROM q),
+d AS (SELECT conv_id, turn, turn AS root, 0 AS depth FROM p WHERE parent IS NULL
+      UNION ALL SELECT p.conv_id, p.turn, d.root, d.depth + 1 FROM p JOIN d ON d.conv_id = p.conv_id AND d.turn = p.parent)
+SELECT c.conv_id, c.turn, role, text AS content, p.parent, d.root, d.depth::BIGINT AS depth
+FROM c JOIN p USING (conv_id, turn) JOIN d USING (conv_id, turn)
+""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    found = quote_threads.rebuild(quoting_messages(read(spark, folder, "conversations")))
+    return found.select("row.conv_id", "row.turn", "row.role", F.col("own").alias("content"), "parent", "root", "depth")
