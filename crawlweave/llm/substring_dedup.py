@@ -4,7 +4,7 @@ Words are runs of bytes other than ``[\\x20\\x09-\\x0D]``. Each text is an ancho
 non-overlapping blocks of ``BLOCK`` words are indexed, and every rolling window of ``BLOCK`` words probes them. Any
 ``window`` consecutive words hold a whole block, so a passage that occurs twice shows as repeated blocks in both
 places. Hits are extended to maximal exact repeats: all windows whose blocks are hits are compared by two
-64-bit hashes, and the union of windows that also start earlier is what is removed.
+hashes, 96 bits together, and the union of windows that also start earlier is what is removed.
 
 Texts are dealt once into cells of about ``CELL_BYTES`` by hashed id. The same exchange feeds three steps: a cell
 sends each distinct hash once, as packed lists by hash range; ranges answer with the cell's repeated
@@ -33,6 +33,7 @@ from crawlweave.llm.words import U64, Words, split_words, windows
 WINDOW = 20
 BLOCK = 10  # at most (WINDOW + 1) / 2, so that every window holds a whole block
 CELL_BYTES = 8 << 20
+ANCHOR_MASK = U64(0xFFFFFFFFFFFF0000)  # anchors only propose windows, so 48 bits are enough
 LAST = np.iinfo(np.int64).max
 
 _SENT = "bucket int, cell int, n int, hashes binary, marks binary"
@@ -63,7 +64,12 @@ def _block_hashes(words: Words, block: int) -> tuple[np.ndarray, np.ndarray, np.
     """Starts of rolling windows, their hashes, and which of them are blocks of the index."""
     at = np.flatnonzero(_at_starts(words, block))
     place = at - np.repeat(words.first[:-1], np.diff(words.first))[at] if len(at) else at
-    return at, windows(words.hashes(), block)[at] if len(at) else np.empty(0, U64), place % block == 0
+    return at, windows(words.hashes(), block)[at] & ANCHOR_MASK if len(at) else np.empty(0, U64), place % block == 0
+
+
+def _window_hashes(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit and an independent 32-bit hash of the windows at ``starts``."""
+    return windows(words.hashes(), window)[starts], (windows(words.hashes(seed=2), window, seed=2)[starts] >> U64(32)).astype(np.uint32)
 
 
 def _send_blocks(table: pa.Table, ranges: int, block: int) -> pa.Table:
@@ -135,7 +141,7 @@ def _send_windows(table: pa.Table, hits: pa.Table, ranges: int, window: int, blo
         # a block starting in [s, s + window - block] lies within the window at s
         starts = starts[bad_before[starts + window - block + 1] == bad_before[starts]]
         if len(starts):
-            one, two = windows(words.hashes(), window)[starts], windows(words.hashes(seed=2), window, seed=2)[starts]
+            one, two = _window_hashes(words, window, starts)
             order = np.lexsort((np.arange(len(one)), two, one))
             one, two, starts = one[order], two[order], starts[order]
             first = np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
@@ -155,7 +161,7 @@ def _started_elsewhere(table: pa.Table) -> pa.Table:
     """Per cell: windows whose first place lies in another cell."""
     ns, cells = table["n"].to_pylist(), np.array(table["cell"].to_pylist(), np.int64)
     one = np.concatenate([unpack_sorted(x, n) for x, n in zip(table["hashes"].to_pylist(), ns, strict=True)])
-    two = np.frombuffer(b"".join(table["second"].to_pylist()), U64)
+    two = np.frombuffer(b"".join(table["second"].to_pylist()), "<u4")
     ids = np.concatenate([_unpack(x, n, "<i8") for x, n in zip(table["ids"].to_pylist(), ns, strict=True)])
     place = np.concatenate([_unpack(x, n, "<i8") for x, n in zip(table["starts"].to_pylist(), ns, strict=True)])
     source = np.repeat(cells, ns)
@@ -179,22 +185,22 @@ def _clean(table: pa.Table, foreign: pa.Table, window: int, with_text: bool, sch
     starts = np.flatnonzero(_at_starts(words, window))
     covered = np.zeros(len(words.starts) + 1, np.int64)
     if len(starts):
-        one, two = windows(words.hashes(), window)[starts], windows(words.hashes(seed=2), window, seed=2)[starts]
+        one, two = _window_hashes(words, window, starts)
         order = np.lexsort((np.arange(len(one)), two, one))
         same = np.zeros(len(one), bool)
         same[1:] = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
         gone = np.zeros(len(one), bool)
         gone[order[same]] = True
         if foreign.num_rows:
-            mark = np.dtype([("one", U64), ("two", U64)])
+            mark = np.dtype([("one", U64), ("two", np.uint32)])
             known = np.empty(sum(foreign["n"].to_pylist()), mark)
             known["one"] = np.concatenate([unpack_sorted(x, n) for x, n in zip(foreign["hashes"].to_pylist(), foreign["n"].to_pylist(), strict=True)])
-            known["two"] = np.frombuffer(b"".join(foreign["second"].to_pylist()), U64)
+            known["two"] = np.frombuffer(b"".join(foreign["second"].to_pylist()), "<u4")
             maybe = np.flatnonzero(_member(one, np.sort(known["one"])))
             if len(maybe):
                 both = np.empty(len(maybe), mark)
                 both["one"], both["two"] = one[maybe], two[maybe]
-                gone[maybe[np.isin(both.view("V16"), known.view("V16"))]] = True
+                gone[maybe[np.isin(both.view("V12"), known.view("V12"))]] = True
         at = starts[gone]
         np.add.at(covered, at, 1)
         np.add.at(covered, at + window, -1)
