@@ -31,7 +31,7 @@ from crawlweave.session import materialize
 
 MIX = 0.3
 PROBES = 4
-MAX_BITS = 1 << 30
+MAX_BITS = 1 << 29
 SEGMENT_BITS = 1 << 23
 COMMON = 1_000_000
 START, END = U64(0x5374617274000001), U64(0x456E640000000003)
@@ -187,8 +187,8 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
 
         return counts.filter("not pairs").mapInArrow(run, "hash long, c long")
 
-    common = flat(cut, 1 << 62).toPandas().sort_values("hash")
-    known = (common["hash"].to_numpy(np.int64).astype(U64), common["c"].to_numpy(np.int64))
+    common = flat(cut, 1 << 62).toArrow().sort_by("hash")
+    known = (common["hash"].to_numpy().view(U64), common["c"].to_numpy())
     model = spark.sparkContext.broadcast((build_filter(counts, all_counts), known))
     n_texts = float(training.count())
 
