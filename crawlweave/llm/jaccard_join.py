@@ -36,7 +36,7 @@ from crawlweave.session import materialize
 
 FREQUENT = 200_000
 SKETCH_LONGS = 8
-NEIGHBOURS = 3
+NEIGHBOURS = 2
 COUNT_MASK = U64(0xFFFFFFFFFF000000)  # counts only order the tokens, so 40 bits tell them apart well enough
 HOT_SHARE = 2_000
 BROADCAST_IDS = 1_000_000
@@ -84,8 +84,8 @@ def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[n
         if room < 0:
             cut += 1
             break
-    top = counts.filter(F.col("n") >= cut).toPandas().sort_values(["n", "hash"], ascending=[False, True])
-    h = top["hash"].to_numpy(np.int64).view(U64)
+    top = counts.filter(F.col("n") >= cut).toArrow().sort_by([("n", "descending"), ("hash", "ascending")])
+    h = top["hash"].to_numpy().view(U64)
     rank = np.arange(len(h), 0, -1, dtype=np.int64)
     order = np.argsort(h)
     return h[order], rank[order]
@@ -96,7 +96,10 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``id``, ``n``, ``digest`` of the set, ``prefix`` (8 bytes a token), ``grp`` and ``sketch`` of each row."""
+    """``id``, ``n``, ``digest`` of the set, ``prefix`` (8 bytes a token), ``grp``, ``sketch`` and ``wide`` of each row.
+
+    ``wide`` is a sketch with at least two bits for each token; ``sketch`` is the same folded to a fixed size.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +111,7 @@ def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text",
                 for s in text_sets(part.column(1), size):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if not len(s):
-                        rows.append((0, digest, b"", digest, None))
+                        rows.append((0, digest, b"", digest, None, None))
                         continue
                     order = np.zeros(len(s), np.int64)
                     if len(known):
@@ -116,19 +119,23 @@ def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text",
                         at = np.minimum(np.searchsorted(known, coarse), len(known) - 1)
                         order = np.where(known[at] == coarse, rank[at], 0)
                     prefix = s[np.argsort(order, kind="stable")[: prefix_length(len(s), percent)]].tobytes()
-                    bits = np.bincount((s >> U64(20)).astype(np.int64) & (64 * SKETCH_LONGS - 1), minlength=64 * SKETCH_LONGS) & 1
-                    sketch = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                    longs = SKETCH_LONGS
+                    while 32 * longs < len(s):
+                        longs *= 2
+                    bits = np.bincount((s >> U64(20)).astype(np.int64) & (64 * longs - 1), minlength=64 * longs) & 1
+                    wide = np.packbits(bits.astype(np.uint8)).view(np.int64)
+                    sketch = np.bitwise_xor.reduce(wide.reshape(-1, SKETCH_LONGS), axis=0)
                     group = hashlib.blake2b(len(s).to_bytes(8, "little") + prefix, digest_size=16).digest()
-                    rows.append((len(s), digest, prefix, group, sketch.tolist()))
-                n, digest, prefix, group, sketch = zip(*rows, strict=True)
+                    rows.append((len(s), digest, prefix, group, sketch.tolist(), wide.tolist()))
+                n, digest, prefix, group, sketch, wides = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary()),
-                     pa.array(group, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "prefix", "grp", "sketch"],
+                     pa.array(group, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64()))],
+                    names=["id", "n", "digest", "prefix", "grp", "sketch", "wide"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"id {kind}, n long, digest binary, prefix binary, grp binary, sketch array<long>"
+    schema = f"id {kind}, n long, digest binary, prefix binary, grp binary, sketch array<long>, wide array<long>"
     return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
@@ -162,6 +169,19 @@ def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
     return sizes & (apart * (100 + percent) <= (na + nb) * (100 - percent))
 
 
+def _wide_may_link(percent: int) -> Column:
+    """The sketch bound for pairs of sets with their wide sketches; the wider one is folded to the other's size."""
+    a, b = F.col("a.wide"), F.col("b.wide")
+
+    def fold(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))
+
+    a, b = F.when(F.size(a) > F.size(b), fold(a)).otherwise(a), F.when(F.size(b) > F.size(a), fold(b)).otherwise(b)
+    apart = F.aggregate(F.zip_with(a, b, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, x: total + x)
+    return apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+
+
 def _may_share(percent: int) -> Column:
     """The size, position and sketch bounds of two groups at a common token."""
     room = F.least("a.left", "b.left")  # tokens that can be common from here on
@@ -177,9 +197,11 @@ def shared_entries(sets: DataFrame) -> DataFrame:
 
 def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Group pairs (ga, gb) as pairs of member digests that may link and are not of one class."""
-    member = sets.select("gid", F.struct("digest", "n", "sketch", "label").alias("m"))
+    member = sets.select("gid", F.struct("digest", "n", "sketch", "wide", "label").alias("m"))
     left, right = member.select(F.col("gid").alias("ga"), F.col("m").alias("a")), member.select(F.col("gid").alias("gb"), F.col("m").alias("b"))
     found = pairs.join(left, "ga").join(right, "gb").filter(_may_link(percent) & (F.col("a.label") != F.col("b.label")))
+    # sets of up to five sixths the size differ by one doubling at most, so one fold is enough
+    found = found.filter(_wide_may_link(percent))
     return found.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")).distinct()
 
 
@@ -208,20 +230,19 @@ def remaining_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFr
     apart = F.col("a.label").isNull() | F.col("b.label").isNull() | (F.col("a.label") != F.col("b.label"))
     pairs = side("a").join(side("b"), "token").filter((F.col("a.gid") < F.col("b.gid")) & apart & _may_share(percent))
     across = _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
-    member = sets.select("gid", F.struct("digest", "n", "sketch", "label").alias("m"))
+    member = sets.select("gid", F.struct("digest", "n", "sketch", "wide", "label").alias("m"))
     several = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
     within = member.join(several, "gid", "left_semi")
     inside = within.withColumnRenamed("m", "a").join(within.withColumnRenamed("m", "b"), "gid").filter(
-        (F.col("a.digest") < F.col("b.digest")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent)
+        (F.col("a.digest") < F.col("b.digest")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent) & _wide_may_link(percent)
     )
     return across.unionByName(inside.select("a.digest", F.col("b.digest").alias("other")).toDF("a", "b"))
 
 
-def verified_links(docs: DataFrame, described: DataFrame, pairs: DataFrame, size: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The pairs of digests whose whole sets reach the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    chosen = described.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("id").alias("id"), F.count_if(F.col("id").isNull()).alias("nulls"))
-    ids = materialize(chosen.filter(F.col("id").isNotNull() | (F.col("nulls") > 0)).select("id").distinct(), "jaccard-ids")
+    ids = materialize(reps.join(wanted, "digest", "left_semi").select(F.col("rep").alias("id")).distinct(), "jaccard-ids")
     few = ids.count() <= BROADCAST_IDS
     source = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
     picked = source.join(F.broadcast(ids) if few else ids, F.col("_id").eqNullSafe(F.col("id")), "left_semi").select("_text")
@@ -254,20 +275,24 @@ def verified_links(docs: DataFrame, described: DataFrame, pairs: DataFrame, size
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable, for every node of an edge (a, b).
 
-    Labels spread along edges and jump to their label's label, so the rounds grow with the logarithm of a
-    chain's length. Each round is written to the shared folder, where a lost executor can reread it.
+    In each round a node takes its smallest neighbour's neighbour, and the edges are drawn anew between what was taken, so
+    they grow fewer fast. Each round is written to the shared folder, where a lost executor can reread it.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        after = step.join(jump, "label").select("node", "was", F.least("label", "to").alias("label"))
-        after = materialize(after, "labels")
-        labels = after.select("node", "label")
-        if not after.filter(F.col("label") < F.col("was")).limit(1).count():
-            return labels
+    edges = materialize(edges.select("a", "b").filter(F.col("a") != F.col("b")).distinct(), "links")
+    labels = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
+        step = materialize(step, "steps")
+        jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        step = materialize(step.join(jump, "to").select("node", F.least("to", "further").alias("to")), "steps")
+        labels = materialize(
+            labels.join(step.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels"
+        )
+        for end in ("a", "b"):
+            edges = edges.join(step.select(F.col("node").alias(end), F.col("to").alias("_to")), end).withColumn(end, F.col("_to")).drop("_to")
+        edges = materialize(edges.filter(F.col("a") != F.col("b")).distinct(), "links")
+    return labels
 
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -275,21 +300,24 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     described = materialize(describe_sets(docs, size, percent, text, key), "jaccard-sets")
     full = described.filter("n > 0")
     sets = full.groupBy("digest").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch")
+        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")
     ).withColumn("gid", F.xxhash64("grp"))
     entries = materialize(shared_entries(sets), "jaccard-entries")
-    slim = materialize(sets.join(entries.select("gid").distinct(), "gid", "left_semi").unionByName(_several(sets)).distinct().select("digest", "gid", "n", "sketch"), "jaccard-members")
+    slim = materialize(sets.join(entries.select("gid").distinct(), "gid", "left_semi").unionByName(_several(sets)).select("digest", "gid", "n", "sketch", "wide").dropDuplicates(["digest"]), "jaccard-members")
     apart = slim.withColumn("label", F.col("digest"))
+    reps = materialize(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
     near = materialize(neighbour_pairs(entries, apart, percent), "jaccard-near")
-    first = materialize(verified_links(docs, described, near, size, percent, text, key), "jaccard-links")
+    first = materialize(verified_links(docs, reps, near, size, percent, text, key), "jaccard-links")
     known = connected(first)
-    classed = slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "sketch", F.coalesce("label", "digest").alias("label"))
+    classed = slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "sketch", "wide", F.coalesce("label", "digest").alias("label"))
     rest = materialize(remaining_pairs(entries, classed, percent), "jaccard-rest")
-    second = verified_links(docs, described, rest, size, percent, text, key)
-    labels = connected(first.unionByName(second))
-
-    copies = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    named = copies.join(labels, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "digest").alias("label"))
+    second = verified_links(docs, reps, rest, size, percent, text, key)
+    name = known.withColumnRenamed("node", "was").withColumnRenamed("label", "now")
+    for end in ("a", "b"):
+        second = second.join(name, F.col(end) == F.col("was"), "left").withColumn(end, F.coalesce("now", end)).select("a", "b")
+    later = connected(second)
+    named = reps.join(known, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "digest").alias("first"))
+    named = named.join(later, F.col("first") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "first").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     final = named.join(least, "label").select("digest", "copies", "class_id")
     rows = described.select("id", "n", "digest")
