@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlweave.llm.columns import packed
 from crawlweave.llm.words import mix
 
 VOCAB_BYTES = 64 << 20
@@ -223,7 +224,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     """Columns ``keep`` (all by default) as ``row``, then ``token_ids`` (little-endian unsigned 32-bit
     integers, if ``with_ids``), ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``."""
     shared = docs.sparkSession.sparkContext.broadcast(_named(vocabulary))
-    wide = docs.select(F.col(text).alias("_text"), F.struct(*(docs.columns if keep is None else keep)).alias("row"))
+    wide = docs.select(F.col(text).alias("_text"), packed(docs, keep).alias("row"))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if with_ids:
         fields.insert(0, T.StructField("token_ids", T.BinaryType()))
@@ -257,7 +258,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
     """Columns of the input as ``row``, and the decoded text; null ids give a null text."""
     shared = encoded.sparkSession.sparkContext.broadcast(_named(vocabulary))
-    wide = encoded.select(F.col(ids).alias("_ids"), F.struct(*encoded.columns).alias("row"))
+    wide = encoded.select(F.col(ids).alias("_ids"), packed(encoded).alias("row"))
     schema = T.StructType([wide.schema["row"], T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlweave.llm.columns import packed
+
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words, once A-Z are lower-cased
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -104,9 +106,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
     hits = find_hits(docs, item_windows(benchmark, size), text, key, size).select(
         "_id", "_th", hit_words(F.col("spans")).alias("hit_places"), F.sort_array("items").alias("items")
     )
-    names = docs.columns if carry is None else carry
     rows = docs.select(
-        F.struct(*names).alias("row"), F.col(key).alias("_r_id"), F.xxhash64(text).alias("_r_th"),
+        packed(docs, carry).alias("row"), F.col(key).alias("_r_id"), F.xxhash64(text).alias("_r_th"),
         word_count(F.col(text)).alias("n_words"),
     )
     same = F.col("_r_id").eqNullSafe(F.col("_id")) & (F.col("_r_th") == F.col("_th"))

@@ -22,6 +22,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlweave.llm.columns import packed
+
 SPACES = r"[\x20\x09-\x0D]+"
 HOT_GROUPS = 2_000
 
@@ -41,7 +43,7 @@ def exact_groups(docs: DataFrame, carry: Sequence[str] | None = None, text: str
     names = list(docs.columns if carry is None else carry)
     with_text = text in names
     rows = docs.select(
-        F.struct(*names).alias("_row"), F.col(key).alias("_id"), normal(F.col(text)).alias("_norm")
+        packed(docs, carry).alias("_row"), F.col(key).alias("_id"), normal(F.col(text)).alias("_norm")
     ).withColumn("_sha", F.sha2("_norm", 256))
 
     sizes = rows.groupBy("_sha").agg(F.count(F.lit(1)).alias("_hot_n"), F.min("_id").alias("_hot_id"))

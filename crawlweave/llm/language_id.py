@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crawlweave.llm.columns import packed
+
 SAMPLE_ROWS = 512
 PIECE_BYTES = 1_024
 DICT_BYTES = 131_072
@@ -92,8 +94,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
     The language of a narrow margin is still named; ``rejected`` says that it should not be relied on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # DICT_BYTES for each language
-    names = docs.columns if keep is None else keep
-    wide = docs.select(letters(F.col(text)).cast("binary").alias("_letters"), F.struct(*names).alias("row"))
+    wide = docs.select(letters(F.col(text)).cast("binary").alias("_letters"), packed(docs, keep).alias("row"))
     schema = T.StructType([
         wide.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()),
         T.StructField("rejected", T.BooleanType()),
