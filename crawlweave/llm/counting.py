@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIST_SCHEMA = "bucket int, n int, hashes binary, counts binary"
-RANGE_BYTES = 12 << 20
-FLUSH = 3_000_000
+RANGE_BYTES = 6 << 20
+FLUSH = 1_200_000
 
 
 def hash_ranges(docs: DataFrame, text: str = "text") -> int:

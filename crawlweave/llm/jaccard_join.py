@@ -64,8 +64,8 @@ def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[n
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
             for batch in batches:
-                for lo in range(0, batch.num_rows, 1_000):
-                    found = list(text_sets(batch.column(0).slice(lo, 1_000), size))
+                for lo in range(0, batch.num_rows, 400):
+                    found = list(text_sets(batch.column(0).slice(lo, 400), size))
                     h, n = np.unique(np.concatenate(found) & COUNT_MASK, return_counts=True)
                     yield h, n.astype(np.int64)
 
@@ -105,8 +105,8 @@ def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1_000):
-                part = batch.slice(lo, 1_000)
+            for lo in range(0, batch.num_rows, 400):
+                part = batch.slice(lo, 400)
                 rows: list[tuple] = []
                 for s in text_sets(part.column(1), size):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()

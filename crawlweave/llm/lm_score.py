@@ -36,7 +36,7 @@ SEGMENT_BITS = 1 << 23
 COMMON = 1_000_000
 START, END = U64(0x5374617274000001), U64(0x456E640000000003)
 TOP = U64(1 << 63)
-SLICE = 2_000
+SLICE = 600
 
 
 @dataclass
