@@ -36,7 +36,7 @@ from crawlweave.session import materialize
 
 FREQUENT = 200_000
 SKETCH_LONGS = 8
-NEIGHBOURS = 2
+NEIGHBOURS = 8
 COUNT_MASK = U64(0xFFFFFFFFFF000000)  # counts only order the tokens, so 40 bits tell them apart well enough
 HOT_SHARE = 2_000
 BROADCAST_IDS = 1_000_000
