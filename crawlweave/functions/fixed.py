@@ -31,7 +31,7 @@ PHONE_MULTI_US = r"\+?1?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
 PHONE_MULTI_INTL = r"\+?\d{1,3}[-.\s]?\d{1,4}[-.\s]?\d{1,4}[-.\s]?\d{1,9}"
 PHONE_MULTI_DASHED = r"\b\d{3}-\d{3}-\d{4}\b"
 PHONE_MULTI_PAREN = r"\b\(\d{3}\)\s?\d{3}-\d{4}\b"
-TEXT_URL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\\(\\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
+TEXT_URL = r"http[s]?://[a-z$-_!]+"  # the range $ to _ holds digits, capitals, % and the other signs
 SOCIAL = r"@([A-Za-z0-9_]+)"
 
 # --- fixed values: company and place patterns ----------------------------------------

@@ -111,8 +111,11 @@ TRANSITIONS = {"pause": ("processing", "paused"), "resume": ("paused", "processi
 
 
 def pause_resume(jobs: DataFrame, commands: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """``commands`` has (job_id, action), one per job; adds ``applied``."""
-    joined = jobs.join(commands.select("job_id", "action"), "job_id", "left")
+    """``commands`` has (job_id, action) and may have ``version``; a job's command of the highest version counts
+    (of equal ones the alphabetically first). Adds ``applied``."""
+    version = F.col("version") if "version" in commands.columns else F.lit(0)
+    latest = commands.groupBy("job_id").agg(F.min_by("action", F.struct(-version, "action")).alias("action"))
+    joined = jobs.join(latest, "job_id", "left")
     new = F.lit(None).cast("string")
     for action, (before, after) in TRANSITIONS.items():
         new = F.when((F.col("action") == action) & (F.col("status") == before), after).otherwise(new)

@@ -24,6 +24,7 @@ def job_progress(tasks: DataFrame, as_of: Column, window: str = "INTERVAL 10 MIN
     One aggregation with map-side partial sums: a job with most of the tasks is as cheap
     as any other.
     """
+    minutes = F.expr(f"(unix_timestamp(timestamp'2020-01-01' + {window}) - unix_timestamp(timestamp'2020-01-01')) / 60")
     done = _is("completed")
     recent = done & (F.col("completed_at") > as_of - F.expr(window))
     agg = tasks.groupBy("job_id").agg(
@@ -34,7 +35,7 @@ def job_progress(tasks: DataFrame, as_of: Column, window: str = "INTERVAL 10 MIN
         F.count_if(_is("pending")).alias("pending_tasks"),
         F.coalesce(F.avg(F.when(done & (F.col("duration_seconds") != 0), F.col("duration_seconds"))), F.lit(0.0))
         .alias("average_task_duration"),
-        (F.count_if(recent) / 10).alias("current_throughput"),
+        (F.count_if(recent) / minutes).alias("current_throughput"),
     )
     left = F.col("pending_tasks") + F.col("in_progress_tasks")
     eta = F.when(

@@ -17,7 +17,7 @@ progress AS (SELECT job_id, count(*) AS total_tasks, count(*) FILTER (status = '
   count(*) FILTER (status = 'failed') AS failed_tasks, count(*) FILTER (status = 'processing') AS in_progress_tasks,
   count(*) FILTER (status = 'pending') AS pending_tasks,
   coalesce(avg(duration_seconds) FILTER (status = 'completed' AND duration_seconds <> 0), 0) AS average_task_duration,
-  count(*) FILTER (status = 'completed' AND completed_at > {NOW} - INTERVAL 300 MINUTE) / 10.0 AS current_throughput
+  count(*) FILTER (status = 'completed' AND completed_at > {NOW} - INTERVAL 300 MINUTE) / 300.0 AS current_throughput
   FROM tasks GROUP BY job_id)"""
 
 

@@ -73,7 +73,7 @@ def read_url_text(spark: SparkSession, path: str, mode: str = "full") -> DataFra
 
 def _cells(line: Column, delimiter: str) -> Column:
     d = {"\t": r"\t", "|": r"\|"}.get(delimiter, delimiter)
-    raw = F.regexp_extract_all(line, F.lit(rf'(?:^|{d})("(?:[^"]|"")*"|[^{d}]*)'), F.lit(1))
+    raw = F.regexp_extract_all(line, F.lit(rf'(?:^|{d})("[^"]*+(?:""[^"]*+)*+"|[^{d}]*)'), F.lit(1))
     return F.transform(raw, lambda x: _strip(F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"'))))
 
 
