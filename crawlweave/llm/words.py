@@ -108,10 +108,11 @@ def split_words(column: pa.Array | pa.ChunkedArray) -> Words:
     n, at = len(column), column.offset
     _, offs, data = column.buffers()
     offsets = np.frombuffer(offs, np.int64)[at : at + n + 1] if n else np.zeros(1, np.int64)
-    data = np.frombuffer(data, np.uint8)[: int(offsets[-1])] if data is not None else np.empty(0, np.uint8)
+    base = int(offsets[0])  # a slice shares the buffer of its whole batch
+    data = np.frombuffer(data, np.uint8)[base : int(offsets[-1])] if data is not None else np.empty(0, np.uint8)
+    offsets = offsets - base
     inside = np.zeros(len(data) + 1, bool)
     inside[:-1] = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    inside[: int(offsets[0])] = False
     before = np.zeros(len(data) + 1, bool)
     before[1:] = inside[:-1]
     before[offsets] = False  # a text's first word starts at the text
