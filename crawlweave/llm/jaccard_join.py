@@ -11,9 +11,11 @@ shingle). Two documents link when |A & B| / |A | B| reaches the threshold.
    differs in no more bits than the sets differ in tokens, so a larger distance proves that there is no link.
 4. Pairs of groups, and of members of a group, are expanded to pairs of sets and verified on the whole sets.
 
-Steps 3 and 4 run twice. First every group is only paired with a few neighbours at each of its tokens, which is linear
-and joins most of a large cluster of near copies. Then all pairs are made whose sets aren't in one class yet: the classes
-are those of all links, but a cluster's pairs are not listed. Only ids and the sets of such pairs travel, no texts.
+Steps 3 and 4 run several times. First every group is only paired with ``NEIGHBOURS`` others at each of its tokens, which
+is linear, complete where no more groups share the token, and joins most of a large cluster of near copies. At the tokens
+left it is paired again, in orders that differ from token to token, so a set meets other members of its cluster at each.
+Then all pairs are made there whose sets aren't in one class yet: the classes are those of all links, but a cluster's
+pairs are not listed. Only ids and the sets of such pairs travel, no texts.
 
 Defined cases: null and wordless texts have an empty set and link with nothing. Rows without an id join classes
 but never name one; a class without any id is named null. Repeated rows share a class. Empty tables give empty results.
@@ -37,6 +39,7 @@ from crawlweave.session import materialize
 FREQUENT = 200_000
 SKETCH_LONGS = 8
 NEIGHBOURS = 8
+MIXED_TURNS = 2
 COUNT_MASK = U64(0xFFFFFFFFFF000000)  # counts only order the tokens, so 40 bits tell them apart well enough
 HOT_SHARE = 2_000
 BROADCAST_IDS = 1_000_000
@@ -189,10 +192,15 @@ def _may_share(percent: int) -> Column:
 
 
 def shared_entries(sets: DataFrame) -> DataFrame:
-    """(token, gid, left): prefix tokens that at least two groups have."""
+    """(token, gid, left, c): prefix tokens that at least two groups have, and how many have them."""
     groups = sets.groupBy("grp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = groups.select("gid", "n", "prefix").mapInArrow(_prefix_tokens, "token long, gid long, left long")
-    return tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1").drop("c")
+    return tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
+
+
+def _crowded(entries: DataFrame) -> DataFrame:
+    """The entries of tokens where the first linear turn leaves pairs of groups out."""
+    return entries.filter(F.col("c") > NEIGHBOURS + 1)
 
 
 def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,22 +221,32 @@ def _facts(sets: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets whose groups lie close together, or first, among the groups of a token."""
-    own = entries.join(_facts(sets), "gid").select("token", F.struct("gid", "n", "left", "sketch").alias("a"))
-    order = Window.partitionBy("token").orderBy("a.n", "a.gid")
+def _labels_differ() -> Column:
+    """False only where both groups are of one class; groups of several sets have no label."""
+    return F.col("a.label").isNull() | F.col("b.label").isNull() | (F.col("a.label") != F.col("b.label"))
+
+
+def neighbour_pairs(entries: DataFrame, sets: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """Pairs of sets of different classes whose groups lie close together, or first, among the groups of a token.
+
+    Turn 0 orders the groups by size, which makes all pairs of a token with up to ``NEIGHBOURS`` + 1 groups; later turns
+    take the other tokens and order each by hashes of its own.
+    """
+    own = (_crowded(entries) if turn else entries).join(_facts(sets), "gid")
+    own = own.select("token", F.struct("gid", "n", "left", "sketch", "label").alias("a"))
+    by = [F.xxhash64("token", "a.gid", F.lit(turn))] if turn else [F.col("a.n")]
+    order = Window.partitionBy("token").orderBy(*by, "a.gid")
     near = [F.lag("a", k).over(order) for k in range(1, NEIGHBOURS + 1)] + [F.first("a").over(order)]
     pairs = own.select("a", F.array(*near).alias("_near")).select("a", F.explode(F.array_distinct(F.array_compact("_near"))).alias("b"))
-    pairs = pairs.filter((F.col("a.gid") != F.col("b.gid")) & _may_share(percent))
+    pairs = pairs.filter((F.col("a.gid") != F.col("b.gid")) & _labels_differ() & _may_share(percent))
     return _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
 
 
 def remaining_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of different classes that may link."""
-    own = entries.join(_facts(sets), "gid")
+    """All pairs of sets of different classes that may link and that turn 0 of ``neighbour_pairs`` did not make."""
+    own = _crowded(entries).join(_facts(sets), "gid")
     side = lambda name: own.select("token", F.struct("gid", "n", "left", "sketch", "label").alias(name))
-    apart = F.col("a.label").isNull() | F.col("b.label").isNull() | (F.col("a.label") != F.col("b.label"))
-    pairs = side("a").join(side("b"), "token").filter((F.col("a.gid") < F.col("b.gid")) & apart & _may_share(percent))
+    pairs = side("a").join(side("b"), "token").filter((F.col("a.gid") < F.col("b.gid")) & _labels_differ() & _may_share(percent))
     across = _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
     member = sets.select("gid", F.struct("digest", "n", "sketch", "wide", "label").alias("m"))
     several = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
@@ -295,6 +313,17 @@ def connected(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def joined_classes(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of ``known`` classes after further links (a, b) between nodes, linked before or not."""
+    name = known.withColumnsRenamed({"node": "was", "label": "now"})
+    for end in ("a", "b"):
+        links = links.join(name, F.col(end) == F.col("was"), "left").withColumn(end, F.coalesce("now", end)).select("a", "b")
+    later = connected(links)
+    moved = later.withColumnsRenamed({"node": "was", "label": "now"})
+    old = known.join(moved, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+    return materialize(old.unionByName(later.join(known.select("node"), "node", "left_anti")), "jaccard-classes")
+
+
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each input row: ``id``, ``n`` (set size) and ``class_id``, the smallest id of its class."""
     described = materialize(describe_sets(docs, size, percent, text, key), "jaccard-sets")
@@ -307,17 +336,17 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     apart = slim.withColumn("label", F.col("digest"))
     reps = materialize(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
     near = materialize(neighbour_pairs(entries, apart, percent), "jaccard-near")
-    first = materialize(verified_links(docs, reps, near, size, percent, text, key), "jaccard-links")
-    known = connected(first)
-    classed = slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "sketch", "wide", F.coalesce("label", "digest").alias("label"))
-    rest = materialize(remaining_pairs(entries, classed, percent), "jaccard-rest")
-    second = verified_links(docs, reps, rest, size, percent, text, key)
-    name = known.withColumnRenamed("node", "was").withColumnRenamed("label", "now")
-    for end in ("a", "b"):
-        second = second.join(name, F.col(end) == F.col("was"), "left").withColumn(end, F.coalesce("now", end)).select("a", "b")
-    later = connected(second)
-    named = reps.join(known, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "digest").alias("first"))
-    named = named.join(later, F.col("first") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "first").alias("label"))
+    known = connected(verified_links(docs, reps, near, size, percent, text, key))
+
+    def classed() -> DataFrame:
+        return slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "sketch", "wide", F.coalesce("label", "digest").alias("label"))
+
+    for turn in range(1, MIXED_TURNS + 1):
+        near = materialize(neighbour_pairs(entries, classed(), percent, turn), "jaccard-near")
+        known = joined_classes(known, verified_links(docs, reps, near, size, percent, text, key))
+    rest = materialize(remaining_pairs(entries, classed(), percent), "jaccard-rest")
+    known = joined_classes(known, verified_links(docs, reps, rest, size, percent, text, key))
+    named = reps.join(known, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "digest").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     final = named.join(least, "label").select("digest", "copies", "class_id")
     rows = described.select("id", "n", "digest")
