@@ -187,6 +187,16 @@ def test_jaccard_classes(docs, texts, none, size, percent):
     assert jaccard_join.classes(none, size, percent).count() == 0
 
 
+def test_jaccard_classes_at_crowded_tokens(spark, monkeypatch):
+    """Tokens shared by more groups than the first turn pairs: copies of one text that differ in one, two or three words."""
+    monkeypatch.setattr(jaccard_join, "NEIGHBOURS", 1)
+    base = [f"w{i}" for i in range(90)]
+    texts = [" ".join(f"x{k}" if i in {(7 * k + 29 * e) % 90 for e in range(1 + k % 3)} else w for i, w in enumerate(base)) for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: (r["n"], r["class_id"]) for r in jaccard_join.classes(df, 3, 90).collect()}
+    assert got == brute_classes(texts, 3, 90)
+
+
 def test_connected_chain(spark):
     edges = spark.range(60).select(F.format_string("%03d", "id").cast("binary").alias("a"), F.format_string("%03d", F.col("id") + 1).cast("binary").alias("b"))
     assert {bytes(r["label"]) for r in jaccard_join.connected(edges).collect()} == {b"000"}
