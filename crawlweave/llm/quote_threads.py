@@ -64,15 +64,12 @@ def rebuild(messages: DataFrame, body: str = "text", thread: str = "conv_id", or
     state = keys.join(parents.withColumnsRenamed({"thread": "_t", "ord": "_o"}), here, "left").select(
         "thread", "ord", "parent", F.coalesce("parent", "ord").alias("up"), F.col("parent").isNotNull().cast("long").alias("depth")
     )
-    state = materialize(state, "quotes-links")
-    while True:
+    state = materialize(state.withColumn("open", F.col("depth") > 0), "quotes-links")
+    while state.filter("open").limit(1).count():
         above = state.select(F.col("thread").alias("_t"), F.col("ord").alias("_o"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
-        moved = state.filter("depth > 0").join(above, [F.col("thread").eqNullSafe(F.col("_t")), F.col("up") == F.col("_o")])
-        moved = moved.select("thread", "ord", "parent", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), F.col("_d").alias("step"))
-        rest = state.filter("depth = 0").select("*", F.lit(0).cast("long").alias("step"))
-        after = materialize(moved.unionByName(rest), "quotes-links")
-        state = after.drop("step")
-        if not after.filter("step > 0").limit(1).count():
-            break
+        moved = state.filter("open").join(above, [F.col("thread").eqNullSafe(F.col("_t")), F.col("up") == F.col("_o")])
+        moved = moved.select("thread", "ord", "parent", F.col("_up").alias("up"), (F.col("depth") + F.col("_d")).alias("depth"), (F.col("_d") > 0).alias("open"))
+        # a message that has reached its root is not joined again
+        state = materialize(moved.unionByName(state.filter("not open")), "quotes-links")
     found = state.select(F.col("thread").alias("_t"), F.col("ord").alias("_o"), "parent", F.col("up").alias("root"), "depth")
     return parsed.join(found, here, "left").select("row", "own", "parent", F.coalesce("root", "ord").alias("root"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
