@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-PIECE = 2 << 20
+PIECE = 256 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -130,7 +130,7 @@ def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     if len(h) < size:
         return np.empty(0, U64)
     base = (0xD6E8FEB86659FD93 + 2 * seed) | 1
-    n, block = len(h) - size + 1, 1 << 20
+    n, block = len(h) - size + 1, PIECE // 2
     out = np.empty(n, U64)
     for lo in range(0, n, block):
         part = h[lo : lo + block + size - 1]
