@@ -6,6 +6,8 @@ headings. Lists, tables, forms and selectors need a tree; see ``operators.page_t
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,25 +15,75 @@ from crawlweave.functions import fixed as K
 from crawlweave.functions.text import clean_text, find_all, let
 from crawlweave.functions.urls import base_parts, domain, is_valid_url, resolve_in
 
+#: HTML5 names, with ``;`` where it is needed; the frequent ones are looked up first.
+NAMED = dict(html5)
+COMMON = {name: html5[name] for name in (n.removeprefix("&") for n, _ in K.ENTITIES) if name in html5}
+#: Numbers 128 to 159 mean Windows-1252 characters; where it has none, the control character stays.
+WINDOWS = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+
 INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 INVISIBLE_BROWSER = INVISIBLE + r"|<noscript\b.*?</noscript\s*>"
 TAGS = r"(?is)<!doctype[^>]*>|</?[a-z][^>]*>"
-TITLE = r"(?is)<title[^>]*>(.*?)</title>"
-A_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-IMG_SRC = r"""(?i)<img\s[^>]*?src\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-META = r"(?is)<meta\s[^>]*>"
+TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+A_TAG = r"(?i)<a\s[^>]*>"
+IMG_TAG = r"(?i)<img\s[^>]*>"
+REFERENCE = r"^(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;?)"
+WHOLE_REFERENCE = r"^(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;)"
+META =r"(?is)<meta\s[^>]*>"
 JSON_LD = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
 
 
-def unescape(c: Column) -> Column:
-    """Named references to characters; ``c`` occurs once, so it is evaluated once wherever this is used."""
-    for name, char in K.ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+def _lookup(table: dict[str, str], key: Column) -> Column:
+    """``key`` in a constant table, null when absent. As one string literal it costs the planner little; values have two
+    characters at most."""
+    text = "\x02" + "".join(f"{k}\x03{v}\x02" for k, v in table.items())
+    at = F.position(F.concat(F.lit("\x02"), key, F.lit("\x03")), F.lit(text))
+    return F.when(at > 0, F.substring_index(F.substring(F.lit(text), at + F.length(key) + 2, F.lit(3)), "\x02", 1))
+
+
+def _numbered(ref: Column) -> Column:
+    """The character of ``#233`` or ``#xE9``: code points 128 to 159 are read as Windows-1252, controls and
+    non-characters vanish, numbers that are no code point give U+FFFD."""
+    digits = F.regexp_extract(ref, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
+    hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+    code = F.when(F.length(digits) > 8, F.lit(-1)).when(hexed, F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
+
+    def char(n: Column) -> Column:
+        control = ((n < 32) & ~n.isin(9, 10, 12, 13)) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+        wrong = n.isNull() | (n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.when(wrong, "�").when(n.between(128, 159), _lookup(WINDOWS, n.cast("string"))).when(control, "").otherwise(plain)
+
+    return let(code, char)
+
+
+def unescape(c: Column, attribute: bool = False) -> Column:
+    """Character references to characters, each decoded once, from left to right.
+
+    All HTML5 names and numbers are known. Old names count without ``;`` too when they are a whole word, but not in
+    attributes, where ``&copy=1`` is a query parameter. Other names stay as written. Null stays null.
+    """
+
+    def decode(part: Column) -> Column:
+        ref = F.regexp_extract(part, WHOLE_REFERENCE if attribute else REFERENCE, 0)
 
+        def replaced(r: Column) -> Column:
+            named = F.coalesce(_lookup(COMMON, r), _lookup(NAMED, r))
+            char = F.when(r.startswith("#"), _numbered(r)).when(r != "", named)
+            return F.coalesce(F.concat(char, F.substring(part, F.length(r) + 1, F.length(part))), F.concat(F.lit("&"), part))
 
-def title(html: Column) -> Column:
-    return clean_text(unescape(F.regexp_extract(html, TITLE, 1)))
+        return let(ref, replaced)
+
+    def all_parts(parts: Column) -> Column:
+        first, rest = F.get(parts, F.lit(0)), F.slice(parts, F.lit(2), F.size(parts))
+        return F.concat(first, F.array_join(F.transform(rest, decode), ""))
+
+    return let(c, lambda x: F.when(F.contains(x, F.lit("&")), let(F.split(x, "&", -1), all_parts)).otherwise(x))
+
+
+def title(live: Column) -> Column:
+    """Text of the first title of ``live_markup``, so that one in a comment or script does not count."""
+    return clean_text(unescape(F.regexp_extract(live, TITLE, 1)))
 
 
 def visible_text(html: Column, browser: bool = False) -> Column:
@@ -48,11 +100,26 @@ def live_markup(html: Column) -> Column:
 
 def _unquote(c: Column) -> Column:
     quoted = c.startswith('"') | c.startswith("'")
-    return unescape(F.when(quoted, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c))
+    return unescape(F.when(quoted, F.substring(c, F.lit(2), F.length(c) - 2)).otherwise(c), attribute=True)
+
+
+def _written(tag: Column, name: str) -> Column:
+    """The value of exactly this attribute as written, quotes included; '' when the tag has none.
+
+    Quoted values of other attributes are emptied first, so text in them is not taken for an attribute.
+    """
+    others = rf"""(?is)(\s{name}\s*=\s*(?:"[^"]*"|'[^']*'))|(\s[^\s=>"']+\s*=\s*)(?:"[^"]*"|'[^']*')"""
+    bare = F.regexp_replace(tag, others, "$1$2")
+    return F.regexp_extract(bare, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)""", 1)
+
+
+def _values(live: Column, tag: str, name: str) -> Column:
+    written = F.transform(find_all(live, tag), lambda t: _written(t, name))
+    return F.transform(F.filter(written, lambda w: w != ""), _unquote)
 
 
-def _absolute(live: Column, pattern: str, url: Column) -> Column:
-    raw = F.transform(find_all(live, pattern, 1), _unquote)
+def _absolute(live: Column, tag: str, name: str, url: Column) -> Column:
+    raw = _values(live, tag, name)
     full = let(base_parts(url), lambda base: F.transform(raw, lambda h: resolve_in(base, h)))
     return F.sort_array(F.filter(F.array_distinct(full), is_valid_url))
 
@@ -61,16 +128,16 @@ def _absolute(live: Column, pattern: str, url: Column) -> Column:
 
 
 def links(live: Column, url: Column) -> Column:
-    return _absolute(live, A_HREF, url)
+    return _absolute(live, A_TAG, "href", url)
 
 
 def images(live: Column, url: Column) -> Column:
-    return _absolute(live, IMG_SRC, url)
+    return _absolute(live, IMG_TAG, "src", url)
 
 
 def links_shared(live: Column, url: Column) -> Column:
     """Second link rule: http* kept as written, fragments skipped, nothing validated."""
-    raw = F.transform(find_all(live, A_HREF, 1), _unquote)
+    raw = _values(live, A_TAG, "href")
     kept = F.filter(raw, lambda h: h.startswith("http") | ((url != "") & ~h.startswith("#")))
     full = let(
         base_parts(url),
@@ -118,8 +185,7 @@ def heading_map_fixed(live: Column) -> Column:
 
 
 def attr(tag: Column, name: str) -> Column:
-    quoted = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    return _unquote(F.regexp_extract(tag, quoted, 1))
+    return _unquote(_written(tag, name))
 
 
 def meta_entries(live: Column) -> Column:

@@ -174,11 +174,11 @@ def _first_groups(c: Column, patterns, hints) -> Column:
 
 def companies(c: Column) -> Column:
     found = F.filter(_first_groups(c, COMPANIES, COMPANY_HINTS), lambda x: F.length(x) > 2)
-    return F.slice(_distinct_sorted(found), 1, K.ENTITY_LIMIT)
+    return _distinct_sorted(found)
 
 
 def places(c: Column) -> Column:
-    return F.slice(_distinct_sorted(_first_groups(c, PLACES, PLACE_HINTS)), 1, K.ENTITY_LIMIT)
+    return _distinct_sorted(_first_groups(c, PLACES, PLACE_HINTS))
 
 
 ENTITY_KINDS = {
@@ -192,11 +192,12 @@ ENTITY_KINDS = {
 }
 
 
-def entities(c: Column) -> Column:
-    """The seven kinds as one map."""
+def entities(c: Column, limit: int = K.ENTITY_LIMIT) -> Column:
+    """The seven kinds as one map; of companies and places a document shows the first ``limit``."""
     args: list[Column] = []
     for kind, fn in ENTITY_KINDS.items():
-        args += [F.lit(kind), fn(c)]
+        found = fn(c)
+        args += [F.lit(kind), F.slice(found, 1, limit) if kind in ("companies", "locations") else found]
     return F.create_map(*args)
 
 

@@ -39,7 +39,7 @@ def extract_pages(
         "url",
         status.alias("status_code"),
         F.when(is_html, "html").when(is_json, "json").otherwise("text").alias("data_type"),
-        F.when(is_html, H.title(body))
+        F.when(is_html, H.title(live))
         .when(is_json, F.concat(F.lit("JSON Data from "), netloc))
         .otherwise(F.concat(F.lit("Text Content from "), netloc))
         .alias("title"),

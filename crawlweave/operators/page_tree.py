@@ -7,8 +7,11 @@ by the scan and nothing is shuffled. Only url, id and html enter the Python work
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,14 +20,6 @@ from pyspark.sql import types as T
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-TREE_SCHEMA = (
-    "page_id long, url string, "
-    "lists array<struct<type:string,items:array<string>>>, "
-    "tables array<array<array<string>>>, "
-    "forms array<struct<action:string,method:string,fields:array<struct<type:string,name:string>>>>, "
-    "markdown string"
-)
-
 
 class PageTree(HTMLParser):
     """Flat list of elements in document order; text and nesting are index ranges."""
@@ -34,10 +29,18 @@ class PageTree(HTMLParser):
         self.texts: list[str] = []
         self.nodes: list[dict] = []
         self._open: list[dict] = []
+        self._n_open: Counter[str] = Counter()
+        self._at: dict[str, list[int]] = {}  # positions of each tag, ascending
         self.feed(html)
         self.close()
         while self._open:
-            self._finish(self._open.pop())
+            self._leave()
+
+    def _leave(self) -> str:
+        node = self._open.pop()
+        self._n_open[node["tag"]] -= 1
+        self._finish(node)
+        return node["tag"]
 
     def _finish(self, node: dict) -> None:
         node["text_end"], node["end"] = len(self.texts), len(self.nodes)
@@ -47,24 +50,23 @@ class PageTree(HTMLParser):
         for k, v in attrs:
             seen[k] = v or ""
         node = {"tag": tag, "attrs": seen, "pos": len(self.nodes), "text": len(self.texts), "ref": len(self.texts)}
+        self._at.setdefault(tag, []).append(node["pos"])
         self.nodes.append(node)
         if tag in VOID:
             self._finish(node)
         else:
             self._open.append(node)
+            self._n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self._finish(self._open.pop())
+            self._leave()
 
     def handle_endtag(self, tag):
-        if any(n["tag"] == tag for n in self._open):
-            while True:
-                node = self._open.pop()
-                self._finish(node)
-                if node["tag"] == tag:
-                    break
+        if self._n_open[tag]:
+            while self._leave() != tag:
+                pass
 
     def handle_data(self, data):
         if not (self._open and self._open[-1]["tag"] in ("script", "style")):
@@ -73,8 +75,16 @@ class PageTree(HTMLParser):
     def text(self, node: dict) -> str:
         return "".join(self.texts[node["text"] : node["text_end"]])
 
+    def each(self, node: dict, tag: str) -> Iterator[dict]:
+        """Elements of one tag inside ``node``, without looking at others."""
+        at = self._at.get(tag, [])
+        for k in range(bisect_right(at, node["pos"]), len(at)):
+            if at[k] >= node["end"]:
+                return
+            yield self.nodes[at[k]]
+
     def inside(self, node: dict, tags) -> list[dict]:
-        return [n for n in self.nodes[node["pos"] + 1 : node["end"]] if n["tag"] in tags]
+        return sorted((n for tag in tags for n in self.each(node, tag)), key=itemgetter("pos"))
 
     def find(self, *tags: str) -> list[dict]:
         return [n for n in self.nodes if n["tag"] in tags]
@@ -141,31 +151,46 @@ def _markdown(t: PageTree) -> str:
         if not (is_heading or tag in ("p", "li")):
             continue
         # an unclosed block ends where the next block of the same kind begins
-        nested = t.inside(n, (tag,))
-        end = nested[0]["text"] if nested else n["text_end"]
+        nested = next(t.each(n, tag), None)
+        end = nested["text"] if nested else n["text_end"]
         words = " ".join("".join(t.texts[n["text"] : end]).split())
         if not words:
             continue
-        anchors = [a for a in t.inside(n, ("a",)) if a["attrs"].get("href") and a["text_end"] <= end]
+        anchors: list[dict] = []
+        for a in t.each(n, "a"):
+            if a["text"] > end or len(anchors) > 1:
+                break
+            if a["attrs"].get("href") and a["text_end"] <= end:
+                anchors.append(a)
         if len(anchors) == 1 and " ".join(t.text(anchors[0]).split()) == words:
             words = f"[{words}]({anchors[0]['attrs']['href']})"
         blocks.append("#" * int(tag[1]) + " " + words if is_heading else ("- " if tag == "li" else "") + words)
     return "\n\n".join(blocks)
 
 
-def page_trees(pages: DataFrame) -> DataFrame:
-    """Lists, tables, forms and Markdown per page."""
+PARTS = {
+    "lists": (_lists, "array<struct<type:string,items:array<string>>>"),
+    "tables": (_tables, "array<array<array<string>>>"),
+    "forms": (_forms, "array<struct<action:string,method:string,fields:array<struct<type:string,name:string>>>>"),
+    "markdown": (_markdown, "string"),
+}
+
+
+def page_trees(pages: DataFrame, parts: Sequence[str] = tuple(PARTS)) -> DataFrame:
+    """The wanted ``parts`` of each page, from one parse; the others are not computed."""
+    makers = [PARTS[p][0] for p in parts]
+    schema = ", ".join(["page_id long", "url string", *[f"{p} {PARTS[p][1]}" for p in parts]])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for html in b["html"]:
                 t = PageTree(html or "")
-                rows.append((_lists(t), _tables(t), _forms(t), _markdown(t)))
-            parts = pd.DataFrame(rows, columns=["lists", "tables", "forms", "markdown"], index=b.index)
-            yield pd.concat([b[["page_id", "url"]], parts], axis=1)
+                rows.append([make(t) for make in makers])
+            found = pd.DataFrame(rows, columns=list(parts), index=b.index)
+            yield pd.concat([b[["page_id", "url"]], found], axis=1)
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, TREE_SCHEMA)
+    return pages.select("page_id", "url", "html").mapInPandas(run, schema)
 
 
 def lists_long(trees: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ Strategy = Callable[[DataFrame, dict], DataFrame]
 
 
 def _markdown(pages: DataFrame, config: dict) -> DataFrame:
-    return page_trees(pages).select("page_id", "url", "markdown")
+    return page_trees(pages, ["markdown"]).select("page_id", "url", "markdown")
 
 
 def _schema(pages: DataFrame, config: dict) -> DataFrame:

@@ -136,21 +136,21 @@ def page_heading_levels(spark, d):
 UNION ALL SELECT doc_id, 0, 'ul', 1, 'twodeep' FROM documents UNION ALL SELECT doc_id, 0, 'ul', 2, 'deep' FROM documents
 UNION ALL SELECT doc_id, 1, 'ol', 0, 'deep' FROM documents""")
 def page_lists(spark, d):
-    return T.lists_long(T.page_trees(V.rich_pages(spark, d)))
+    return T.lists_long(T.page_trees(V.rich_pages(spark, d), ["lists"]))
 
 
 @query("page_tables", """SELECT doc_id AS page_id, 0 AS table_no, r AS row_no, c AS col_no,
   CASE WHEN r = 0 AND c = 0 THEN 'key' WHEN r = 0 THEN 'value' WHEN c = 0 THEN 'source' ELSE source END AS cell
 FROM documents, (VALUES (0), (1)) rr(r), (VALUES (0), (1)) cc(c)""")
 def page_tables(spark, d):
-    return T.tables_long(T.page_trees(V.rich_pages(spark, d)))
+    return T.tables_long(T.page_trees(V.rich_pages(spark, d), ["tables"]))
 
 
 @query("page_forms", """SELECT doc_id AS page_id, form_no, action, method, field_no, field_type, field_name FROM documents, (VALUES
   (0, '/send', 'post', 0, 'text', 'q'), (0, '/send', 'post', 1, 'select', 's'), (0, '/send', 'post', 2, 'textarea', 't'),
   (1, '', 'get', 0, 'input', '')) f(form_no, action, method, field_no, field_type, field_name)""")
 def page_forms(spark, d):
-    return T.forms_long(T.page_trees(V.rich_pages(spark, d)))
+    return T.forms_long(T.page_trees(V.rich_pages(spark, d), ["forms"]))
 
 
 @query("field_dataset", f"""SELECT doc_id AS page_id, 'Head ' || {SID} AS heading, doc_id + 0.5 AS price, 3 AS n_items,
@@ -169,14 +169,34 @@ def field_dataset(spark, d):
 @query("structured_bundle", """SELECT doc_id AS page_id, 2 AS n_lists, 1 AS n_tables, 2 AS n_forms, 2 AS n_og, 1 AS n_twitter, 3 AS n_schema FROM documents""")
 def structured_bundle(spark, d):
     pages = V.rich_pages(spark, d)
-    trees = T.page_trees(pages).select("page_id", F.size("lists").alias("n_lists"), F.size("tables").alias("n_tables"), F.size("forms").alias("n_forms"))
+    trees = T.page_trees(pages, ["lists", "tables", "forms"]).select("page_id", F.size("lists").alias("n_lists"), F.size("tables").alias("n_tables"), F.size("forms").alias("n_forms"))
     meta = P.page_metadata(pages).select("page_id", F.size("open_graph").alias("n_og"), F.size("twitter_cards").alias("n_twitter"), F.size("schema_org").alias("n_schema"))
     return trees.join(meta, "page_id")
 
 
 @query("page_markdown")
 def page_markdown(spark, d):
-    return T.page_trees(table(spark, d, "pages")).select("page_id", "markdown")
+    return T.page_trees(table(spark, d, "pages"), ["markdown"]).select("page_id", "markdown")
+
+
+PLAIN = r"trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g'))"
+
+
+@query("rich_markdown", f"""SELECT doc_id AS page_id, '# Head ' || {SID} || E'\n\n## Sub & ' || lang || CASE WHEN {PLAIN} = '' THEN '' ELSE E'\n\n' || {PLAIN} END
+  || E'\n\n- one ' || {SID} || E'\n\n- two\n\n- deep' AS markdown FROM documents""")
+def rich_markdown(spark, d):
+    return T.page_trees(V.rich_pages(spark, d), ["markdown"]).select("page_id", "markdown")
+
+
+@query("rich_title", f"SELECT doc_id AS page_id, 'Page ' || {SID} AS title FROM documents")
+def rich_title(spark, d):
+    return P.extract_pages(V.rich_pages(spark, d)).select("page_id", "title")
+
+
+@query("page_references", f"SELECT doc_id AS page_id, md5({S.clean_text('text')}) AS text_md5 FROM documents")
+def page_references(spark, d):
+    """Whole texts with their signs and accents written as numbers and names read as they were."""
+    return P.extract_pages(V.escaped_pages(spark, d)).select("page_id", F.md5("text").alias("text_md5"))
 
 
 @query("tree_text_agreement", """SELECT count(*) AS n_pages, 0 AS n_different FROM pages""")
@@ -187,7 +207,7 @@ def tree_text_agreement(spark, d):
     from crawlweave.functions.text import find_all
 
     native = p.select("page_id", F.size(find_all(H.live_markup(F.col("html")), r"(?i)<li\b")).alias("a"))
-    tree = T.page_trees(p).select("page_id", F.aggregate("lists", F.lit(0), lambda s, x: s + F.size(x["items"])).alias("b"))
+    tree = T.page_trees(p, ["lists"]).select("page_id", F.aggregate("lists", F.lit(0), lambda s, x: s + F.size(x["items"])).alias("b"))
     return native.join(tree, "page_id").groupBy().agg(
         F.count("*").alias("n_pages"), F.count_if(F.col("a") != F.col("b")).alias("n_different"))
 

@@ -154,8 +154,9 @@ FROM k JOIN best ON k.domain = best.domain GROUP BY k.domain"""
 def domain_report(spark, d):
     p = table(spark, d, "pages")
     body = F.col("html")
-    records = p.select("page_id", "url", H.title(body).alias("title"), H.visible_text(body).alias("content"),
-                       H.links(H.live_markup(body), F.col("url")).alias("links"))
+    live = F.col("live")
+    records = p.withColumn("live", H.live_markup(body)).select(
+        "page_id", "url", H.title(live).alias("title"), H.visible_text(body).alias("content"), H.links(live, F.col("url")).alias("links"))
     r = Q.domain_report(records)
     return r.withColumn("avg_quality", F.round("avg_quality", 5)).withColumn("avg_data_quality", F.round("avg_data_quality", 5))
 

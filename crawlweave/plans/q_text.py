@@ -54,13 +54,6 @@ def _distinct_sql(expr):
     return f"SELECT DISTINCT doc_id, unnest({expr}) AS value FROM documents"
 
 
-def _top10_sql(expr):
-    return (
-        f"SELECT doc_id, value FROM (SELECT doc_id, value, row_number() OVER (PARTITION BY doc_id ORDER BY value) AS r "
-        f"FROM (SELECT DISTINCT doc_id, unnest({expr}) AS value FROM documents)) WHERE r <= 10"
-    )
-
-
 EDGED = S.ascii_edges("text")
 COMPANIES = " || ".join(S.all_of(EDGED, p, 1) for p in K.COMPANY_PATTERNS)
 PLACES = " || ".join(S.all_of(EDGED, p, 1) for p in K.PLACE_PATTERNS)
@@ -70,8 +63,8 @@ query("phones_us", f"SELECT doc_id, {S.us_phone('m')} AS value FROM (SELECT doc_
     _rows("phone_numbers"))
 query("text_urls", _distinct_sql(S.all_of("text", K.TEXT_URL)))(_rows("urls"))
 query("social_handles", _distinct_sql(S.all_of("text", K.SOCIAL, 1)))(_rows("social_handles"))
-query("companies", _top10_sql(f"list_filter({COMPANIES}, lambda c: length(c) > 2)"))(_rows("companies"))
-query("locations", _top10_sql(PLACES))(_rows("locations"))
+query("companies", _distinct_sql(f"list_filter({COMPANIES}, lambda c: length(c) > 2)"))(_rows("companies"))
+query("locations", _distinct_sql(PLACES))(_rows("locations"))
 
 
 @query("phones_multi", f"""SELECT DISTINCT doc_id, value FROM (
@@ -107,7 +100,7 @@ def contact_index(spark, d):
     return C.contact_index(docs(spark, d))
 
 
-@query("entity_index", f"""WITH c AS ({_top10_sql(f"list_filter({COMPANIES}, lambda c: length(c) > 2)")}), l AS ({_top10_sql(PLACES)})
+@query("entity_index", f"""WITH c AS ({_distinct_sql(f"list_filter({COMPANIES}, lambda c: length(c) > 2)")}), l AS ({_distinct_sql(PLACES)})
 SELECT kind, value, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM (
   SELECT 'companies' AS kind, * FROM c UNION ALL SELECT 'locations', * FROM l) GROUP BY kind, value""")
 def entity_index(spark, d):

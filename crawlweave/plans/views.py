@@ -181,7 +181,7 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").select("doc_id", "lang", "source", F.trim(F.regexp_replace(w, " +", " ")).alias("w"))
     s = F.col("doc_id").cast("string")
     html = F.concat(
-        F.lit('<!DOCTYPE html><html lang="'), F.col("lang"), F.lit('"><head><title> Page '), s, F.lit("</title>"),
+        F.lit('<!DOCTYPE html><html lang="'), F.col("lang"), F.lit('"><head><!-- <title>old</title> --><title> Page '), s, F.lit("</title>"),
         F.lit('<meta name="description" content="About '), F.col("source"), F.lit('">'),
         F.lit('<meta name="keywords" content="'), F.col("lang"), F.lit(", "), F.col("source"), F.lit(',,">'),
         F.lit('<meta property="og:title" content="Og '), s, F.lit('"><meta property="og:type" content="article">'),
@@ -191,13 +191,13 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.lit('<script type="application/ld+json">{"name":"M'), s, F.lit('","id":'), s, F.lit("}</script></head><body>"),
         F.lit("<h1>Head "), s, F.lit("</h1><h2>Sub &amp; "), F.col("lang"), F.lit("</h2><h2> </h2>"),
         F.lit('<p class="lead">'), F.col("w"), F.lit("</p>"),
-        F.lit('<img src="/img/'), s, F.lit('.png" alt="x"><img src="//cdn.example.com/a.png"><img src="data:x">'),
+        F.lit('<img src="/img/'), s, F.lit('.png" alt="x" data-src="/lazy.png"><img data-src="/later.png" title="a src=/b.png"><img src="//cdn.example.com/a.png"><img src="data:x">'),
         F.lit("<ul><li>one "), s, F.lit("</li><li>two<ol><li>deep</li></ol></li></ul><ul></ul>"),
         F.lit("<table><tr><th>key</th><th>value</th></tr><tr><td>source</td><td>"), F.col("source"),
         F.lit("</td></tr></table>"),
         F.lit('<form action="/send" method="post"><input type="text" name="q"><select name="s"></select>'),
         F.lit('<textarea name="t"></textarea></form><form><input></form>'),
-        F.lit('<a href="../up/'), s, F.lit('">up</a><a href="?p=2">next</a><a href="#top">top</a>'),
+        F.lit('<a data-href="/no" href="../up/'), s, F.lit('">up</a><a href="?p=2">next</a><a href="#top">top</a>'),
         F.lit('<span id="price">'), s, F.lit(".5</span></body></html>"),
     )
     return d.select(
@@ -205,3 +205,16 @@ def rich_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("https://site"), (F.col("doc_id") % 50).cast("string"), F.lit(".example.org/a/b/"), s).alias("url"),
         html.alias("html"),
     )
+
+
+#: How signs are written in escaped pages; "&" comes first.
+WRITTEN = (("&", "&amp;"), ("<", "&#60;"), (">", "&#x3E;"), ("é", "&eacute;"), ("ü", "&#252;"), ("ö", "&#XF6;"), ("ß", "&szlig;"), ("ñ", "&ntilde;"))
+
+
+def escaped_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every whole text as a page, with signs and accented letters written as character references."""
+    body = F.coalesce("text", F.lit(""))
+    for sign, written in WRITTEN:
+        body = F.replace(body, F.lit(sign), F.lit(written))
+    d = table(spark, folder, "documents")
+    return d.select(F.col("doc_id").alias("page_id"), F.lit("https://site.example.org/").alias("url"), F.concat(F.lit("<p>"), body, F.lit("</p>")).alias("html"))

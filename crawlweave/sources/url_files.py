@@ -22,7 +22,7 @@ from crawlweave.operators.skew import join_lookup
 
 LINE_BREAKS = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 DELIMITERS = (",", ";", "\t", "|")
-ROWS = "file string, pos struct<block:long,row:long,item:int>, url string, error string"
+ROWS = "file string, pos struct<block:long,row:long,part:long,item:long>, url string, error string"
 
 
 def _lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _lines(spark: SparkSession, path: str, suffix: str) -> DataFrame:
 def _explode_urls(df: DataFrame, urls: Column) -> DataFrame:
     return df.select("file", "block", "row", "part", F.posexplode(urls).alias("i", "url")).select(
         "file",
-        F.struct("block", "row", (F.col("part") * 1_000_000 + F.col("i")).cast("int").alias("item")).alias("pos"),
+        F.struct("block", "row", F.col("part").cast("long").alias("part"), F.col("i").cast("long").alias("item")).alias("pos"),
         "url",
         F.lit(None).cast("string").alias("error"),
     )
@@ -161,7 +161,7 @@ def read_url_json(spark: SparkSession, path: str, mode: str = "full", glob: str
     out = F.when(bad, F.array(F.lit(None).cast("string"))).otherwise(F.filter(found, lambda x: x.isNotNull()))
     return files.select("file", bad.alias("bad"), F.posexplode(out).alias("i", "url")).select(
         "file",
-        F.struct(F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row"), F.col("i").alias("item")).alias("pos"),
+        F.struct(*[F.lit(0).cast("long").alias(n) for n in ("block", "row", "part")], F.col("i").cast("long").alias("item")).alias("pos"),
         "url",
         F.when(F.col("bad"), "Invalid JSON format").alias("error"),
     )
@@ -241,9 +241,9 @@ def read_url_excel(spark: SparkSession, path: str, mode: str = "full") -> DataFr
                         found = [x for c, x in cells if c == 1 and x]
                     else:
                         found = list(dict.fromkeys(x for _, x in cells if x and ("http" in x or "." in x)))
-                    rows = [(file, {"block": 0, "row": 0, "item": i}, u, None) for i, u in enumerate(found)]
+                    rows = [(file, {"block": 0, "row": 0, "part": 0, "item": i}, u, None) for i, u in enumerate(found)]
                 except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError) as e:
-                    rows = [(file, {"block": 0, "row": 0, "item": 0}, None, f"Failed to process Excel file: {e}")]
+                    rows = [(file, {"block": 0, "row": 0, "part": 0, "item": 0}, None, f"Failed to process Excel file: {e}")]
                 yield pd.DataFrame(rows, columns=["file", "pos", "url", "error"])
 
     return (
@@ -267,7 +267,7 @@ def read_urls(spark: SparkSession, path: str, mode: str = "full") -> DataFrame:
     return out.unionByName(
         odd.select(
             "file",
-            F.lit(None).cast("struct<block:long,row:long,item:int>").alias("pos"),
+            F.lit(None).cast("struct<block:long,row:long,part:long,item:long>").alias("pos"),
             F.lit(None).cast("string").alias("url"),
             F.concat(F.lit("Unsupported file format: "), F.col("suffix")).alias("error"),
         )
