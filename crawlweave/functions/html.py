@@ -6,6 +6,7 @@ headings. Lists, tables, forms and selectors need a tree; see ``operators.page_t
 
 from __future__ import annotations
 
+import json
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -15,11 +16,13 @@ from crawlweave.functions import fixed as K
 from crawlweave.functions.text import clean_text, find_all, let
 from crawlweave.functions.urls import base_parts, domain, is_valid_url, resolve_in
 
-#: HTML5 names, with ``;`` where it is needed; the frequent ones are looked up first.
-NAMED = dict(html5)
-COMMON = {name: html5[name] for name in (n.removeprefix("&") for n, _ in K.ENTITIES) if name in html5}
-#: Numbers 128 to 159 mean Windows-1252 characters; where it has none, the control character stays.
-WINDOWS = {str(i): bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)}
+#: Names (HTML5, with ``;`` where it is needed) and numbers that do not mean their own code point: 128 to 159 are
+#: Windows-1252, controls vanish. The lookup stops at a match, so the frequent names come first.
+_frequent = [n for n in (name.removeprefix("&") for name, _ in K.ENTITIES) if n in html5]
+REFERENCES = (
+    {n: html5[n] for n in _frequent} | html5 | {f"#{i}": "" for i in (*range(1, 9), 11, *range(14, 32), 127)}
+    | {f"#{i}": bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160)} | {"#0": "\ufffd", "#13": "\r"}
+)
 
 INVISIBLE = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 INVISIBLE_BROWSER = INVISIBLE + r"|<noscript\b.*?</noscript\s*>"
@@ -29,50 +32,32 @@ A_TAG = r"(?i)<a\s[^>]*>"
 IMG_TAG = r"(?i)<img\s[^>]*>"
 REFERENCE = r"^(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;?)"
 WHOLE_REFERENCE = r"^(?:#(?:[0-9]+|[xX][0-9a-fA-F]+);?|[A-Za-z][A-Za-z0-9]*;)"
-META =r"(?is)<meta\s[^>]*>"
+META = r"(?is)<meta\s[^>]*>"
 JSON_LD = r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
 
 
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    """``key`` in a constant table, null when absent. As one string literal it costs the planner little; values have two
-    characters at most."""
-    text = "\x02" + "".join(f"{k}\x03{v}\x02" for k, v in table.items())
-    at = F.position(F.concat(F.lit("\x02"), key, F.lit("\x03")), F.lit(text))
-    return F.when(at > 0, F.substring_index(F.substring(F.lit(text), at + F.length(key) + 2, F.lit(3)), "\x02", 1))
-
-
-def _numbered(ref: Column) -> Column:
-    """The character of ``#233`` or ``#xE9``: code points 128 to 159 are read as Windows-1252, controls and
-    non-characters vanish, numbers that are no code point give U+FFFD."""
-    digits = F.regexp_extract(ref, r"^#[xX]?0*([0-9a-fA-F]*)", 1)
-    hexed = F.lower(F.substring(ref, 2, 1)) == "x"
-    code = F.when(F.length(digits) > 8, F.lit(-1)).when(hexed, F.conv(digits, 16, 10).cast("long")).otherwise(digits.try_cast("long"))
-
-    def char(n: Column) -> Column:
-        control = ((n < 32) & ~n.isin(9, 10, 12, 13)) | n.between(127, 159) | n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(0xFFFE) == 0xFFFE)
-        wrong = n.isNull() | (n <= 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
-        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-        return F.when(wrong, "�").when(n.between(128, 159), _lookup(WINDOWS, n.cast("string"))).when(control, "").otherwise(plain)
-
-    return let(code, char)
-
-
 def unescape(c: Column, attribute: bool = False) -> Column:
     """Character references to characters, each decoded once, from left to right.
 
-    All HTML5 names and numbers are known. Old names count without ``;`` too when they are a whole word, but not in
-    attributes, where ``&copy=1`` is a query parameter. Other names stay as written. Null stays null.
+    All HTML5 names and numbers are known; numbers that are no code point give U+FFFD. Old names count without ``;`` too
+    when they are a whole word, but not in attributes, where ``&copy=1`` is a query parameter. Other names stay as
+    written. Null stays null.
     """
+    table = F.from_json(F.lit(json.dumps(REFERENCES)), "map<string,string>")  # one literal, parsed once by the optimizer
 
     def decode(part: Column) -> Column:
         ref = F.regexp_extract(part, WHOLE_REFERENCE if attribute else REFERENCE, 0)
+        decimal = F.nullif(F.regexp_extract(part, "^#0*([0-9]{1,9})(?![0-9])", 1), F.lit(""))
+        hexed = F.nullif(F.regexp_extract(part, "^#[xX]0*([0-9a-fA-F]{1,8})(?![0-9a-fA-F])", 1), F.lit(""))
 
-        def replaced(r: Column) -> Column:
-            named = F.coalesce(_lookup(COMMON, r), _lookup(NAMED, r))
-            char = F.when(r.startswith("#"), _numbered(r)).when(r != "", named)
-            return F.coalesce(F.concat(char, F.substring(part, F.length(r) + 1, F.length(part))), F.concat(F.lit("&"), part))
+        def replaced(v: Column) -> Column:
+            ref, number = v[0], v[1].cast("long")
+            valid = (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+            char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).when(ref.startswith("#"), "\ufffd")
+            known = F.try_element_at(table, F.coalesce(F.concat(F.lit("#"), v[1]), ref))
+            return F.coalesce(F.concat(F.coalesce(known, char), F.substring(part, F.length(ref) + 1, F.length(part))), F.concat(F.lit("&"), part))
 
-        return let(ref, replaced)
+        return let(F.array(ref, F.coalesce(decimal, F.conv(hexed, 16, 10))), replaced)
 
     def all_parts(parts: Column) -> Column:
         first, rest = F.get(parts, F.lit(0)), F.slice(parts, F.lit(2), F.size(parts))
