@@ -175,12 +175,13 @@ def attr(tag: Column, name: str) -> Column:
 
 def meta_entries(live: Column) -> Column:
     """Every meta tag as (name, property, content), in document order."""
-    return F.transform(
-        find_all(live, META),
-        lambda t: F.struct(
-            attr(t, "name").alias("name"), attr(t, "property").alias("property"), attr(t, "content").alias("content")
-        ),
-    )
+    names = ("name", "property", "content")
+
+    def entry(tag: Column) -> Column:
+        found = F.transform(F.array(*[_written(tag, n) for n in names]), _unquote)
+        return let(found, lambda v: F.struct(*[v[i].alias(n) for i, n in enumerate(names)]))
+
+    return F.transform(find_all(live, META), entry)
 
 
 def _last_wins(entries: Column, key, value) -> Column:

@@ -24,6 +24,8 @@ def build_session(app: str = "crawlweave", master: str | None = None, **conf) ->
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # html cells are large, so Arrow batches stay small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+        # recording the Python line of every column call is most of the time that building a long expression takes
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for k, v in settings.items():
