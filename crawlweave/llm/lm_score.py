@@ -1,10 +1,12 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are words (A-Z lower-cased, cut at ``[\\x20\\x09-\\x0D]``) and one end per text. Exact counts of all training
-tokens and token pairs are gathered by hash range. The filter holds n-grams of ``least`` or more occurrences: one of
-count c is entered at levels 1 to 1 + floor(log2(c / least)), and a reader probes level after level until one is
-missing, which gives the count to a power of two. The filter is broadcast; it has at most ``MAX_BITS`` bits. ``least``
-is 2 and doubles only while the corpus has more n-grams than those bits hold, so rarer pairs fall to the smoothing.
+tokens and token pairs are gathered by hash range. The filter holds every n-gram, those seen once too: one of count c
+is entered at levels 1 to 1 + floor(log2(c)), and a reader probes level after level until one is missing, which gives
+the count to a power of two. The filter grows with the measured number of entries. It is cut by hash into parts of at
+most ``MAX_BITS`` bits, each broadcast by itself; a task that meets several parts asks ``HOLD`` tokens or so of each
+part in turn and has one part in memory at a time. So scores don't depend on the size of the corpus, and memory doesn't
+either.
 
 p(w | v) = (1 - MIX) (c(w) + 1) / (N + V + 1) + MIX c(v w) / c(v), with counts read from the filter.
 
@@ -22,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +35,9 @@ from crawlweave.session import materialize
 MIX = 0.3
 PROBES = 4
 MAX_BITS = 1 << 29
-SEGMENT_BITS = 1 << 23
+SEGMENT_BITS = 1 << 22
+PIECE = 1 << 17
+HOLD = 2_000_000
 COMMON = 1_000_000
 START, END = U64(0x5374617274000001), U64(0x456E640000000003)
 TOP = U64(1 << 63)
@@ -59,7 +64,7 @@ def tokens_of(column: pa.Array) -> Tokens:
 
 
 def gather_counts(training: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (bucket, n, hashes, counts): the lower half of the buckets holds tokens, the upper half pairs seen twice or more."""
+    """Rows (bucket, n, hashes, counts): the lower half of the buckets holds tokens, the upper half pairs."""
     ranges = 2 * counting.hash_ranges(training, text)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,11 +79,9 @@ def gather_counts(training: DataFrame, text: str = "text") -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         h, n = counting.gathered(table)
-        keep = (n > 1) | (h < TOP)
-        h, n = h[keep], n[keep]
         return pa.table({
             "pairs": pa.array([bool(len(h) and h[0] >= TOP)]), "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()),
-            "hashes": pa.array([counting.pack_sorted(h)], pa.binary()), "counts": pa.array([n.astype("<i8").tobytes()], pa.binary()),
+            "hashes": pa.array([counting.pack_sorted(h)], pa.binary()), "counts": pa.array([n.astype(np.min_scalar_type(n.max(initial=0))).tobytes()], pa.binary()),
         })
 
     sent = training.select(text).mapInArrow(send, counting.LIST_SCHEMA)
@@ -87,73 +90,92 @@ def gather_counts(training: DataFrame, text: str = "text") -> DataFrame:
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for row in batch.to_pylist():
-            yield row["pairs"], counting.unpack_sorted(row["hashes"], row["n"]), np.frombuffer(row["counts"], "<i8")
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            n = row["n"]
+            yield row["pairs"], counting.unpack_sorted(row["hashes"], n), np.frombuffer(row["counts"], f"<u{len(row['counts']) // max(n, 1) or 1}").astype(np.int64)
 
 
-def _levels(counts: np.ndarray, least: int) -> np.ndarray:
-    return np.where(counts >= least, np.frexp(counts / least)[1], 0)
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return np.frexp(counts)[1]
+
+
+def _owner(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the filter that holds an n-gram."""
+    return (mix(hashes ^ U64(0x5061727400000005)) >> U64(32)) % U64(parts)
 
 
 def _places(hashes: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
     return mix(hashes + U64((level * PROBES + probe) * 0xA24BAED4963EE407 % (1 << 64))) & U64(bits - 1)
 
 
-def build_filter(counts: DataFrame, histogram: dict[int, int]) -> tuple[np.ndarray, int, int]:
-    """(bytes, bits, least). Segments of the filter are set in parallel and joined on the driver."""
+def build_filter(counts: DataFrame, histogram: dict[int, int]) -> tuple[list[Broadcast], int]:
+    """The parts of the filter and the bits of each. Segments are set in parallel; the driver holds one part at a time."""
     sizes, numbers = np.array(sorted(histogram), np.int64), np.array([histogram[c] for c in sorted(histogram)], np.int64)
-    least, bits = 2, SEGMENT_BITS
-    while len(sizes):
-        need = int((_levels(sizes, least) * numbers).sum() * PROBES / np.log(2))
-        bits = max(SEGMENT_BITS, 1 << max(need - 1, 1).bit_length())
-        if bits <= MAX_BITS:
-            break
-        least *= 2
+    need = int((_levels(sizes) * numbers).sum() * PROBES / np.log(2))
+    bits = min(MAX_BITS, max(SEGMENT_BITS, 1 << max(need - 1, 1).bit_length()))
+    parts = max(1, -(-need // bits))
+    each = bits // SEGMENT_BITS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, h, n in _unpacked(batches):
-            level, found = _levels(n, least), [np.empty(0, U64)]
-            for q in range(1, int(level.max(initial=0)) + 1):
-                own = h[level >= q]
-                found += [_places(own, q, i, bits) for i in range(PROBES)]
-            places = np.unique(np.concatenate(found))
-            edges = np.searchsorted(places, np.arange(0, bits + 1, SEGMENT_BITS).astype(U64))
-            spans = [(k, a, b) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([b - a for _, a, b in spans], pa.int32()),
-                 pa.array([counting.pack_sorted(places[a:b] - U64(k * SEGMENT_BITS)) for k, a, b in spans], pa.binary())],
-                names=["segment", "n", "places"],
-            )
+        edges = np.arange(0, parts * bits + 1, SEGMENT_BITS).astype(U64)
+        for _, all_h, all_n in _unpacked(batches):
+            for lo in range(0, len(all_h), PIECE):
+                h, level = all_h[lo : lo + PIECE], _levels(all_n[lo : lo + PIECE])
+                start, found = _owner(h, parts) * U64(bits), []
+                for q in range(1, int(level.max()) + 1):
+                    ok = level >= q
+                    found += [start[ok] + _places(h[ok], q, i, bits) for i in range(PROBES)]
+                places = np.concatenate(found)
+                places.sort()
+                cuts = np.searchsorted(places, edges)
+                spans = [(k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([b - a for _, a, b in spans], pa.int32()),
+                     pa.array([(places[a:b] - edges[k]).astype("<u4").tobytes() for k, a, b in spans], pa.binary())],
+                    names=["segment", "n", "places"],
+                )
 
     def fill(table: pa.Table) -> pa.Table:
         bitmap = np.zeros(SEGMENT_BITS, bool)
-        for n, raw in zip(table["n"].to_pylist(), table["places"].to_pylist(), strict=True):
-            bitmap[counting.unpack_sorted(raw, n).astype(np.int64)] = True
+        for raw in table["places"]:
+            bitmap[np.frombuffer(raw.as_buffer(), "<u4")] = True
         return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
 
-    parts = counts.mapInArrow(send, "segment int, n int, places binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for row in parts.toLocalIterator():
-        lo = row["segment"] * (SEGMENT_BITS // 8)
+    segments = counts.mapInArrow(send, "segment int, n int, places binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
+    segments = materialize(segments, "ngram-filter")
+    sc, shared, out = counts.sparkSession.sparkContext, [], np.zeros(bits // 8, np.uint8)
+    for row in segments.orderBy("segment").toLocalIterator():
+        part, lo = row["segment"] // each, row["segment"] % each * (SEGMENT_BITS // 8)
+        while len(shared) < part:
+            shared.append(sc.broadcast(out))
+            out = np.zeros(bits // 8, np.uint8)
         out[lo : lo + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
-    return out, bits, least
+    while len(shared) < parts:
+        shared.append(sc.broadcast(out))
+        out = np.zeros(bits // 8, np.uint8)
+    return shared, bits
 
 
-def read_counts(hashes: np.ndarray, filter_: tuple[np.ndarray, int, int]) -> np.ndarray:
+def read_counts(hashes: np.ndarray, parts: list[Broadcast], bits: int) -> np.ndarray:
     """Approximate count of each n-gram: 0, or the middle of its power of two."""
-    data, bits, least = filter_
     level = np.zeros(len(hashes), np.int64)
-    live = np.arange(len(hashes))
-    q = 1
-    while len(live):
-        for i in range(PROBES):
-            at = _places(hashes[live], q, i, bits)
-            live = live[(data[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
-            if not len(live):
-                break
-        level[live] = q
-        q += 1
-    return np.where(level > 0, least * 2.0 ** (level - 0.5), 0.0)
+    owner = _owner(hashes, len(parts))
+    for k, part in enumerate(parts):
+        live = np.flatnonzero(owner == U64(k))
+        data, q = part.value, 1
+        while len(live):
+            for i in range(PROBES):
+                at = _places(hashes[live], q, i, bits)
+                live = live[(data[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
+                if not len(live):
+                    break
+            level[live] = q
+            q += 1
+        if len(parts) > 1:  # it stays in the executor's file and is read again when asked again
+            del data
+            vars(part).pop("_value", None)
+    return np.where(level > 0, 2.0 ** (level - 0.5), 0.0)
 
 
 def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,38 +211,52 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
 
     common = flat(cut, 1 << 62).toArrow().sort_by("hash")
     known = (common["hash"].to_numpy().view(U64), common["c"].to_numpy())
-    model = spark.sparkContext.broadcast((build_filter(counts, all_counts), known))
+    parts, bits = build_filter(counts, all_counts)
+    model = spark.sparkContext.broadcast(known)
     n_texts = float(training.count())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, (names, sizes) = model.value
+        names, sizes = model.value
+        held, size = [], 0
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
                 part = batch.slice(lo, SLICE)
                 t = tokens_of(part.column(1))
                 one, back = np.unique(t.hashes, return_inverse=True)
-                about = read_counts(one, filter_)
-                exact = np.zeros(len(one), np.int64)
-                if len(names):
-                    at = np.minimum(np.searchsorted(names, one), len(names) - 1)
-                    exact = np.where(names[at] == one, sizes[at], 0)
-                c = about[back]
-                before = np.empty(len(c))
-                before[1:] = c[:-1]
-                before[t.first[:-1]] = n_texts
-                both = read_counts(t.pairs(), filter_)
-                ratio = np.where(before > 0, np.minimum(both / np.maximum(before, 1), 1), 0)
-                p = (1 - MIX) * (np.maximum(c, 0.5) + 1) / (total + distinct + 1) + MIX * ratio
-                own = exact[back]
-                sums = [np.add.reduceat(x, t.first[:-1]) for x in (np.log10(p), np.log10(own + 1.0), (own > 0).astype(np.int64))]
-                rare = np.flatnonzero(own == 0)
-                cuts = np.searchsorted(rare, t.first)
-                rest = t.hashes[rare].view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(t.first)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]),
-                     pa.array([rest[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())],
-                    names=["id", "n_tokens", "score", "logs", "n_common", "rare"],
-                )
+                held.append((part.column(0), t, one, back))
+                size += len(t.hashes)
+                if len(parts) == 1 or size >= HOLD:
+                    yield from answer(held, names, sizes)
+                    held, size = [], 0
+        if held:
+            yield from answer(held, names, sizes)
+
+    def answer(held: list, names: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = read_counts(np.concatenate([x for _, t, one, _ in held for x in (one, t.pairs())]), parts, bits)
+        spot = 0
+        for ids, t, one, back in held:
+            about, both = found[spot : spot + len(one)], found[spot + len(one) : spot + len(one) + len(back)]
+            spot += len(one) + len(back)
+            exact = np.zeros(len(one), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, one), len(names) - 1)
+                exact = np.where(names[at] == one, sizes[at], 0)
+            c = about[back]
+            before = np.empty(len(c))
+            before[1:] = c[:-1]
+            before[t.first[:-1]] = n_texts
+            ratio = np.where(before > 0, np.minimum(both / np.maximum(before, 1), 1), 0)
+            p = (1 - MIX) * (np.maximum(c, 0.5) + 1) / (total + distinct + 1) + MIX * ratio
+            own = exact[back]
+            sums = [np.add.reduceat(x, t.first[:-1]) for x in (np.log10(p), np.log10(own + 1.0), (own > 0).astype(np.int64))]
+            rare = np.flatnonzero(own == 0)
+            cuts = np.searchsorted(rare, t.first)
+            rest = t.hashes[rare].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(np.diff(t.first)), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2]),
+                 pa.array([rest[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)], pa.binary())],
+                names=["id", "n_tokens", "score", "logs", "n_common", "rare"],
+            )
 
     kind = docs.schema[key].dataType.simpleString()
     spec = f"id {kind}, n_tokens long, score double, logs double, n_common long, rare binary"

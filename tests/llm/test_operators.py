@@ -244,6 +244,34 @@ def test_lm_scores(docs, texts, none):
     assert lm_score.score_texts(docs, none).filter("n_known > 0").count() == 0
 
 
+@pytest.mark.parametrize("max_bits", [1 << 29, 1 << 12])
+def test_lm_filter_keeps_every_ngram(docs, texts, monkeypatch, max_bits):
+    """Scores are those of the exact counts (to a power of two), n-grams seen once too, and stay so when the filter has many parts."""
+    import collections
+
+    if max_bits < lm_score.SEGMENT_BITS:
+        monkeypatch.setattr(lm_score, "MAX_BITS", max_bits)
+        monkeypatch.setattr(lm_score, "SEGMENT_BITS", max_bits)
+    one, two = collections.Counter(), collections.Counter()
+    split = lambda t: ["start", *(f"w {x}" for x in words_of(t, True)), "end"]
+    for t in texts:
+        w = split(t)
+        one.update(w[1:])
+        two.update(zip(w, w[1:]))
+    total, about = sum(one.values()) + len(one) + 1, lambda c: 2 ** (math.floor(math.log2(c)) + 0.5)
+    off = []
+    for r in lm_score.score_texts(docs, docs).collect():
+        w, want = split(texts[r["id"]]), 0.0
+        for v, x in zip(w, w[1:]):
+            ratio = min(about(two[v, x]) / (len(texts) if v == "start" else about(one[v])), 1)
+            want += math.log10((1 - lm_score.MIX) * (about(one[x]) + 1) / total + lm_score.MIX * ratio)
+        off.append((r["score"] - want) / abs(want))
+    if max_bits > 1 << 20:
+        assert max(map(abs, off)) < 1e-9
+    else:  # a crowded filter may read a count too high, never too low
+        assert sum(map(abs, off)) / len(off) < 0.04
+
+
 def test_language_of_held_out_texts(spark, sf, none):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = language_id.in_fold("doc_id", 3, 1)
