@@ -286,6 +286,20 @@ def test_language_of_held_out_texts(spark, sf, none):
     assert {r[0]: r[1] for r in all_docs.select("doc_id", out).collect()} == {r[0]: zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in all_docs.select("doc_id").collect()}
 
 
+def test_a_rare_language_leaves_the_others_their_dictionaries(spark):
+    """One short row, or one whose middle has no letter, under a label of its own."""
+    all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    plain = language_id.learn_dictionaries(all_docs)
+    out = language_id.in_fold("doc_id", 3, 1)
+    for text in ("bonjour le monde", "ein Wort " + "1 " * 3_000 + " noch eins", "x"):
+        mixed = all_docs.union(spark.createDataFrame([(10**9, text, "xx")], "doc_id long, text string, lang string"))
+        known = language_id.learn_dictionaries(mixed)
+        assert {k: v for k, v in known.items() if k != "xx"} == dict(plain) and 0 < len(known["xx"]) <= len(text)
+        held = language_id.identify(all_docs.filter(out), language_id.learn_dictionaries(mixed.filter(~out | (F.col("lang") == "xx"))))
+        right, lost = held.agg(F.avg((F.col("row.lang") == F.col("lang_pred")).cast("int")), F.avg(F.col("rejected").cast("int"))).first()
+        assert right > 0.95 and lost < 0.05
+
+
 def test_toxicity_on_held_out_labels(spark, none):
     folder = "/root/testdata/sf0.01"
     all_docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
