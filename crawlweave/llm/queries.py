@@ -160,14 +160,14 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quoting_messages(talks: DataFrame) -> DataFrame:
-    """Each turn as a mail: an attribution, the turn before it quoted once, the one before that twice, then its own text."""
+    """Each turn as a mail: an attribution, the turn before it quoted once with its attribution, the one before that twice, then its own text."""
     said = talks.groupBy("conv_id", "turn").agg(F.min("text").alias("said"), F.min("role").alias("by"))
     before = lambda k: said.select(F.col("conv_id").alias(f"c{k}"), (F.col("turn") + k).alias(f"t{k}"), F.col("said").alias(f"said{k}"), F.col("by").alias(f"by{k}"))
     marked = lambda k: F.concat(F.lit(">" * k + " "), F.replace(F.col(f"said{k}"), F.lit("\n"), F.lit("\n" + ">" * k + " ")))
     rows = talks
     for k in (1, 2):
         rows = rows.join(before(k), (F.col("conv_id") == F.col(f"c{k}")) & (F.col("turn") == F.col(f"t{k}")), "left")
-    text = F.concat_ws("\n", F.concat("by1", F.lit(" wrote:")), marked(2), marked(1), F.lit(""), F.col("text"))
+    text = F.concat_ws("\n", F.concat("by1", F.lit(" wrote:")), F.concat(F.lit("> "), "by2", F.lit(" wrote:")), marked(2), marked(1), F.lit(""), F.col("text"))
     return rows.select("conv_id", "turn", "role", text.alias("text"))
 
 

@@ -326,6 +326,17 @@ def test_quotes(spark):
     assert quote_threads.rebuild(df.limit(0)).count() == 0
 
 
+def test_quotes_in_part_inline_and_nested(spark):
+    rows = [
+        ("t", 1, "Alpha one. Alpha two goes\non here. Alpha three.\n\nSecond part\nof the mail"), ("t", 2, "anna wrote:\n> Alpha two goes on\n> here.\nyes"),
+        ("t", 3, "bob wrote:\n> anna wrote:\n>> Alpha two goes on\n>> here.\n> yes\nnested"), ("t", 4, "> Second part\n> of the mail\ninline one\n> nested\ninline two"),
+        ("t", 5, "> Second part of the mail\ntrimmed"), ("t", 6, "> Alpha one.\n> [...]\n> Alpha three.\ngap"), ("t", 7, "> Alpha one. Alpha nine.\nfalse"), ("t", 8, "> pha three.\nfalse"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, text string")
+    got = {r["row"]["turn"]: (r["parent"], r["depth"]) for r in quote_threads.rebuild(df).collect()}
+    assert got == {1: (None, 0), 2: (1, 1), 3: (2, 2), 4: (3, 3), 5: (1, 1), 6: (1, 1), 7: (None, 0), 8: (None, 0)}
+
+
 def test_words_of_arrow_columns(texts):
     import pyarrow as pa
 
