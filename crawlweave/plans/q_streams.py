@@ -101,6 +101,20 @@ def stream_first_in_ttl(spark, d):
     return _ntz(kept, "ts")
 
 
+# the SQL of ttl_cache
+@query("stream_first_in_short_ttl", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS key, epoch_us(ts) AS t FROM events),
+run AS (
+  SELECT key, min(t) AS t FROM e GROUP BY key
+  UNION ALL
+  SELECT r.key, (SELECT min(e.t) FROM e WHERE e.key = r.key AND e.t >= r.t + 86400000000) FROM run r WHERE r.t IS NOT NULL)
+SELECT CAST(key AS VARCHAR) AS key, t FROM run WHERE t IS NOT NULL""")
+def stream_first_in_short_ttl(spark, d):
+    """A time-to-live shorter than the data: a key passes again and again."""
+    s = event_stream(spark, d).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    kept = _closed(spark, QU.first_in_ttl(s, "user_id", "ts", "1 day"), "ttl")
+    return kept.select(F.col("user_id").cast("string").alias("key"), F.unix_micros("ts").alias("t"))
+
+
 @query("stream_ema", f"""WITH {V.REQUESTS_SQL}, l AS (SELECT source, list(response_time ORDER BY ts, event_id) AS v FROM requests GROUP BY source)
 SELECT source, len(v) AS requests, round(list_reduce(v, lambda a, x: a * 0.8 + x * 0.2), 6) AS ema FROM l""")
 def stream_ema(spark, d):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,5 +46,30 @@ def run_flow(
 
 
 def first_in_ttl(requests: DataFrame, key: str, ts: str, ttl: str = "1 hour") -> DataFrame:
-    """The first request per key within the time-to-live; state is one row per key and expires."""
-    return requests.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+    """Requests that pass: the first of a key, and each that comes a time-to-live or more after the last that passed.
+
+    State is the last passing time of a key; it goes once the watermark is a time-to-live past it. Requests of one
+    micro-batch are sorted by time; those whose key's last passing time is too close are let go block by block.
+    """
+    hold = requests.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval {ttl})")).first()[0]
+
+    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat([b if last is None else b[b["_t"] >= last + hold] for b in batches]).sort_values("_t", kind="stable")
+        t, passed = rows["_t"].to_numpy(), []
+        at = 0
+        while at < len(t):
+            passed.append(at)
+            last = int(t[at])
+            at = int(t.searchsorted(last + hold))
+        if passed:
+            state.update((last,))
+            state.setTimeoutTimestamp(max((last + hold) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+            yield rows.iloc[passed].drop(columns=["_t", "_key"])
+
+    timed = requests.filter(F.col(ts).isNotNull()).withWatermark(ts, ttl)
+    timed = timed.withColumns({"_t": F.unix_micros(F.col(ts).cast("timestamp")), "_key": F.col(key)})
+    return timed.groupBy("_key").applyInPandasWithState(step, requests.schema, "last long", "append", "EventTimeTimeout")

@@ -53,6 +53,19 @@ def test_token_bucket_over_batches(spark, many_files):
     assert got == want
 
 
+def test_first_in_ttl_over_batches(spark, many_files):
+    """A request between one and two times-to-live after the last that passed is let through."""
+    rows, stream = many_files
+    out = fresh_path(spark, "ttl")
+    WI.to_table(QU.first_in_ttl(stream, "source", "ts", "500 milliseconds"), out, fresh_path(spark, "ck")).awaitTermination()
+    last, want = {}, set()
+    for i, ts, s, _ in rows:
+        if s not in last or ts >= last[s] + timedelta(milliseconds=500):
+            last[s] = ts
+            want.add(i)
+    assert {r.id for r in spark.read.parquet(out).collect()} == want and len(want) > 50
+
+
 def test_stalled(spark, tmp_path):
     rows = [("a", START, "processing"), ("b", START, "processing"), ("c", START, "pending")]
     later = [("b", START + timedelta(minutes=30), "completed"), ("d", START + timedelta(hours=3), "processing")]
