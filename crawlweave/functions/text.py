@@ -192,12 +192,15 @@ ENTITY_KINDS = {
 }
 
 
+LIMITED_KINDS = ("companies", "locations")
+
+
 def entities(c: Column, limit: int = K.ENTITY_LIMIT) -> Column:
     """The seven kinds as one map; of companies and places a document shows the first ``limit``."""
     args: list[Column] = []
     for kind, fn in ENTITY_KINDS.items():
         found = fn(c)
-        args += [F.lit(kind), F.slice(found, 1, limit) if kind in ("companies", "locations") else found]
+        args += [F.lit(kind), F.slice(found, 1, limit) if kind in LIMITED_KINDS else found]
     return F.create_map(*args)
 
 

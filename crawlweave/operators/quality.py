@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from crawlweave.functions import scores as S
 from crawlweave.functions import text as X
 from crawlweave.functions import urls as U
+from crawlweave.functions.fixed import ENTITY_LIMIT
 from crawlweave.operators.skew import join_lookup
 
 KIND_KEYS = tuple(X.ENTITY_KINDS)
 
 
 def _entity_sizes(body: Column) -> Column:
-    """Sizes per kind; keywords are counted without being ranked."""
+    """Sizes per kind as ``entities`` shows them; keywords are counted without being ranked."""
     args: list[Column] = []
     for kind, fn in X.ENTITY_KINDS.items():
-        args += [F.lit(kind), X.keyword_count(body) if kind == "keywords" else F.size(fn(body))]
+        size = X.keyword_count(body) if kind == "keywords" else F.size(fn(body))
+        args += [F.lit(kind), F.least(size, F.lit(ENTITY_LIMIT)) if kind in X.LIMITED_KINDS else size]
     return F.create_map(*args)
 
 
