@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.llm.columns import packed
+from crawlweave.session import materialize
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between words, once A-Z are lower-cased
 NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 BROADCAST_WINDOWS = 4_000_000  # about 1 GB of windows at most; larger sets are joined by shuffle
+BROADCAST_DOCS = 1_000_000  # 16 bytes each; more contaminated documents are joined by shuffle
 
 
 def fold(text: Column) -> Column:
@@ -119,8 +121,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The clean rows, with the columns of the input."""
-    return contamination(docs, benchmark, None, text, key).filter(~F.col("contaminated")).select("row.*")
+    """The clean rows, with the columns of the input.
+
+    Only hits are shuffled: the contaminated ids with the hashes of their texts are written once, and the rows are
+    filtered where they were read.
+    """
+    hits = find_hits(docs, item_windows(benchmark), text, key).select("_id", "_th", F.size(hit_words(F.col("spans"))).cast("long").alias("_hit"))
+    hits = materialize(hits, "benchmark-hits")
+    few = hits.count() <= BROADCAST_DOCS
+    same = docs[key].eqNullSafe(hits["_id"]) & (F.xxhash64(docs[text]) == hits["_th"]) & (hits["_hit"] * 20 >= word_count(docs[text]))
+    return docs.join(F.broadcast(hits) if few else hits, same, "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

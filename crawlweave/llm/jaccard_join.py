@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlweave.llm import counting
-from crawlweave.llm.words import U64, Words, split_words, windows
+from crawlweave.llm.words import U64, Words, split_words, tidy, windows
 from crawlweave.operators.skew import join_groups
 from crawlweave.session import materialize
 
@@ -79,7 +79,7 @@ def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[n
         often = n >= 3
         return pa.table({"hash": h[often].view(np.int64), "n": n[often]})
 
-    counts = docs.select(text).mapInArrow(send, counting.LIST_SCHEMA).groupBy("bucket").applyInArrow(common, "hash long, n long")
+    counts = docs.select(text).mapInArrow(tidy(send), counting.LIST_SCHEMA).groupBy("bucket").applyInArrow(common, "hash long, n long")
     counts = materialize(counts, "shingle-counts")
     cut, room = 0, FREQUENT
     for row in counts.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).toLocalIterator():
@@ -139,7 +139,7 @@ def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text",
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, n long, digest binary, prefix binary, grp binary, sketch array<long>, wide array<long>"
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(tidy(run), schema)
 
 
 def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +194,7 @@ def _may_share(percent: int) -> Column:
 def shared_entries(sets: DataFrame) -> DataFrame:
     """(token, gid, left, c): prefix tokens that at least two groups have, and how many have them."""
     groups = sets.groupBy("grp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = groups.select("gid", "n", "prefix").mapInArrow(_prefix_tokens, "token long, gid long, left long")
+    tokens = groups.select("gid", "n", "prefix").mapInArrow(tidy(_prefix_tokens), "token long, gid long, left long")
     return tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
 
 
@@ -281,13 +281,13 @@ def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int
                 keep.append(100 * same >= percent * (len(a) + len(b) - same))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = picked.mapInArrow(run, "digest binary, tokens binary").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
+    sets = picked.mapInArrow(tidy(run), "digest binary, tokens binary").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("tokens").alias("tokens"))
     needs = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("digest"))
     both = needs.join(sets, "digest").groupBy("a", "b").agg(
         F.first(F.when(F.col("digest") == F.col("a"), F.col("tokens")), True).alias("ta"),
         F.first(F.when(F.col("digest") == F.col("b"), F.col("tokens")), True).alias("tb"),
     )
-    return both.mapInArrow(verify, "a binary, b binary")
+    return both.mapInArrow(tidy(verify), "a binary, b binary")
 
 
 def connected(edges: DataFrame) -> DataFrame:

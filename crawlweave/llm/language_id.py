@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlweave.llm.columns import packed
+from crawlweave.llm.words import tidy
 
 SAMPLE_ROWS = 512
 PIECE_BYTES = 1_024
@@ -141,7 +142,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                 names=["row", "lang_pred", "lang_score", "rejected"],
             )
 
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(tidy(run), schema)
 
 
 def in_fold(key: str, folds: int, fold: int) -> F.Column:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.llm import counting
-from crawlweave.llm.words import U64, mix, split_words
+from crawlweave.llm.words import U64, mix, split_words, tidy
 from crawlweave.session import materialize
 
 MIX = 0.3
@@ -84,7 +84,7 @@ def gather_counts(training: DataFrame, text: str = "text") -> DataFrame:
             "hashes": pa.array([counting.pack_sorted(h)], pa.binary()), "counts": pa.array([n.astype(np.min_scalar_type(n.max(initial=0))).tobytes()], pa.binary()),
         })
 
-    sent = training.select(text).mapInArrow(send, counting.LIST_SCHEMA)
+    sent = training.select(text).mapInArrow(tidy(send), counting.LIST_SCHEMA)
     return sent.groupBy("bucket").applyInArrow(add, "pairs boolean, n long, total long, hashes binary, counts binary")
 
 
@@ -142,7 +142,7 @@ def build_filter(counts: DataFrame, histogram: dict[int, int]) -> tuple[list[Bro
             bitmap[np.frombuffer(raw.as_buffer(), "<u4")] = True
         return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
 
-    segments = counts.mapInArrow(send, "segment int, n int, places binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
+    segments = counts.mapInArrow(tidy(send), "segment int, n int, places binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
     segments = materialize(segments, "ngram-filter")
     sc, shared, out = counts.sparkSession.sparkContext, [], np.zeros(bits // 8, np.uint8)
     for row in segments.orderBy("segment").toLocalIterator():
@@ -190,7 +190,7 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
             c, k = np.unique(n, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([pairs] * len(c)), pa.array(c), pa.array(k)], names=["pairs", "c", "k"])
 
-    rows = counts.mapInArrow(histogram, "pairs boolean, c long, k long").groupBy("pairs", "c").agg(F.sum("k").alias("k")).collect()
+    rows = counts.mapInArrow(tidy(histogram), "pairs boolean, c long, k long").groupBy("pairs", "c").agg(F.sum("k").alias("k")).collect()
     all_counts: dict[int, int] = {}
     for r in rows:
         all_counts[r["c"]] = all_counts.get(r["c"], 0) + r["k"]
@@ -207,7 +207,7 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
                 ok = (n >= low) & (n < high)
                 yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(n[ok])], names=["hash", "c"])
 
-        return counts.filter("not pairs").mapInArrow(run, "hash long, c long")
+        return counts.filter("not pairs").mapInArrow(tidy(run), "hash long, c long")
 
     common = flat(cut, 1 << 62).toArrow().sort_by("hash")
     known = (common["hash"].to_numpy().view(U64), common["c"].to_numpy())
@@ -260,7 +260,7 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
 
     kind = docs.schema[key].dataType.simpleString()
     spec = f"id {kind}, n_tokens long, score double, logs double, n_common long, rare binary"
-    scored = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(score, spec)
+    scored = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(tidy(score), spec)
     scored = materialize(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +271,7 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
                 [batch.column(0).take(pa.array(np.repeat(np.arange(len(raw)), times))), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["row", "hash"]
             )
 
-    rare = scored.select("row", "rare").mapInArrow(tokens, "row long, hash long").join(flat(1, cut), "hash")
+    rare = scored.select("row", "rare").mapInArrow(tidy(tokens), "row long, hash long").join(flat(1, cut), "hash")
     more = rare.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count(F.lit(1)).alias("n_rare"))
     size = F.lit(float(np.log10(total + distinct + 1)))
     return scored.drop("rare").join(more, "row", "left").select(

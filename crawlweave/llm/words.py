@@ -1,14 +1,18 @@
 """Words of whole Arrow string columns as numpy arrays, without a Python step per word.
 
 Words are maximal runs of bytes other than ``[\\x20\\x09-\\x0D]``; those are single bytes in UTF-8, so
-the bytes of the column are cut directly. A word's 64-bit hash is a polynomial over its bytes, taken
-modulo 2**64 and mixed with the length. Null counts as empty. Work memory is bounded by ``PIECE`` bytes
-(or the longest word) plus about 50 bytes per word of the batch, however long a text is.
+the bytes of the column are cut directly. A word's 64-bit hash chains its blocks of eight bytes, each mixed in
+by a function that is not linear, and ends with the length; words of more than ``LONG`` bytes take BLAKE2. Other
+seeds give independent hashes. Null counts as empty. Work memory is bounded by ``PIECE`` bytes (or the longest
+word) plus about 50 bytes per word of the batch, however long a text is.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +22,6 @@ import pyarrow.compute as pc
 U64 = np.uint64
 PIECE = 256 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -35,12 +38,9 @@ def _power(base: int, n: int) -> np.ndarray:
     return table[:n]
 
 
-def _byte_values(fold: bool, seed: int) -> np.ndarray:
-    raw = b"".join(hashlib.sha256(f"{seed}:{i}".encode()).digest() for i in range(64))
-    values = np.frombuffer(raw, U64).copy()
-    if fold:
-        values[65:91] = values[97:123]
-    return values
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+LONG = 1024
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,6 +52,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+def give_back() -> None:
+    """Return freed memory to the system, since a Python worker outlives its task and the next one may run elsewhere."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it keeps the memory for the worker's next task
+        pass
+
+
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``run`` over a task's batches, with memory given back at its end."""
+
+    def whole(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 @dataclass
 class Words:
     data: np.ndarray  # bytes of all texts
@@ -65,18 +88,15 @@ class Words:
 
     def hashes(self, fold: bool = False, seed: int = 1) -> np.ndarray:
         """One hash per word; ``fold`` lower-cases A-Z."""
-        values, out = _byte_values(fold, seed), np.empty(len(self.starts), U64)
+        out = np.empty(len(self.starts), U64)
         k, n = 0, len(self.starts)
         while k < n:
             origin = int(self.starts[k])
             to = max(k + 1, int(np.searchsorted(self.ends, origin + PIECE, "right")))
-            stop = int(self.ends[to - 1])
-            sums = np.zeros(stop - origin + 1, U64)
-            np.cumsum(values[self.data[origin:stop]] * _power(_BASE, stop - origin), out=sums[1:])
-            a, b = self.starts[k:to] - origin, self.ends[k:to] - origin
-            out[k:to] = (sums[b] - sums[a]) * _power(_INVERSE, stop - origin)[a] + (b - a).astype(U64)
+            data = self.data[origin : int(self.ends[to - 1])]
+            out[k:to] = _chained(_LOWER[data] if fold else data, self.starts[k:to] - origin, self.ends[k:to] - origin, seed)
             k = to
-        return mix(out)
+        return out
 
     def joined(self, i: int, keep: np.ndarray | None = None) -> bytes:
         """Words of text i joined by one space; ``keep`` marks the words to take."""
@@ -99,6 +119,21 @@ class Words:
         return body[take].tobytes()[:-1]
 
 
+def _chained(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    size, key = ends - starts, hashlib.blake2b(b"%d" % seed, digest_size=16).digest()
+    first, factor = np.frombuffer(key, U64)
+    view = np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)).tobytes(), strides=(1,))
+    out, live, at = np.full(len(starts), first, U64), np.flatnonzero(size <= LONG), 0
+    while len(live):
+        left = size[live] - at
+        block = view[starts[live] + at] & (~U64(0) >> (U64(8) * (8 - np.minimum(left, 8)).astype(U64)))
+        out[live] = mix((out[live] ^ block) * (factor | U64(1)))
+        live, at = live[left > 8], at + 8
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=key).digest(), "little")
+    return mix(out ^ size.astype(U64) * U64(_BASE))
+
+
 def split_words(column: pa.Array | pa.ChunkedArray) -> Words:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

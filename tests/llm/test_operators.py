@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -352,3 +353,22 @@ def test_native_operators_plan_no_python(spark, docs, none):
     for df in (exact_dedup.exact_groups(docs), decontaminate.contamination(docs, bench), sharding.place(docs), quote_threads.rebuild(talks)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def lookalikes(size):
+    """Two words of a and b whose polynomial sums modulo 2**64 agree whatever the letters stand for."""
+    return tuple("".join("ab"[(bin(i).count("1") + f) % 2] for i in range(size)) for f in (0, 1))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_lookalike_words_are_told_apart(spark, size):
+    one, other = lookalikes(size)
+    assert len(set(split_words(pa.array([f"{one} {other}"])).hashes().tolist())) == 2
+    common = [f"w{i}" for i in range(30)]
+    rows = [(0, " ".join([*common, one, "x0"])), (1, " ".join([*common, other, "x1"]))]
+    gone = {r["id"]: r["n_removed"] for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone == {0: 0, 1: 30}
+    pair = spark.createDataFrame([(0, f"{one} {one} {one}"), (1, f"{other} {other} {other}")], "doc_id long, text string")
+    assert {r["class_id"] for r in jaccard_join.classes(pair, 3, 90).collect()} == {0, 1}
+    known = lm_score.score_texts(pair, pair.filter("doc_id = 0"))
+    assert {r["id"]: r["n_known"] for r in known.collect()} == {0: 4, 1: 1}
