@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, quote_threads, sharding, substring_dedup, toxicity
+from crawlweave.llm import byte_bpe, decontaminate, exact_dedup, jaccard_join, language_id, lm_score, merkle, prefix_trie, quote_threads, sharding, substring_dedup, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -185,3 +185,84 @@ FROM c JOIN p USING (conv_id, turn) JOIN d USING (conv_id, turn)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     found = quote_threads.rebuild(quoting_messages(read(spark, folder, "conversations")))
     return found.select("row.conv_id", "row.turn", "row.role", F.col("own").alias("content"), "parent", "root", "depth")
+
+
+def _crc(x: str) -> str:
+    """Unsigned CRC-32 of the decimal form of an integer expression in DuckDB."""
+    eight = "[0::BIGINT, 0, 0, 0, 0, 0, 0, 0]"
+    folded = f"list_reduce([xor(c, b)] || {eight}, lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    letters = f"[ord(y)::BIGINT for y in string_split(({x})::VARCHAR, '')]"
+    return f"xor(4294967295::BIGINT, list_reduce([4294967295::BIGINT] || {letters}, lambda c, b: {folded}))"
+
+
+def _field(x: str) -> str:
+    return f"coalesce(strlen(({x})::VARCHAR) || ':' || ({x})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+_NEXT = "[sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')) for i in range((len(l) + 1) // 2)]"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+  CASE WHEN {_crc('doc_id')} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS claimed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM d),
+tree AS (SELECT lang, 0 AS h, list(leaf ORDER BY k) AS l FROM p GROUP BY lang
+         UNION ALL SELECT lang, h + 1, {_NEXT} FROM tree WHERE len(l) > 1),
+subs AS (SELECT lang, l[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j FROM tree WHERE len(l) = 1),
+top AS (SELECT 0 AS h, list(subroot ORDER BY j) AS l FROM subs UNION ALL SELECT h + 1, {_NEXT} FROM top WHERE len(l) > 1),
+way AS (SELECT doc_id, leaf, claimed, p.lang, h, k >> h AS i, l FROM p JOIN tree ON tree.lang IS NOT DISTINCT FROM p.lang WHERE len(l) > 1
+        UNION ALL SELECT doc_id, leaf, claimed, p.lang, 1000 + h, j >> h, l FROM p JOIN subs ON subs.lang IS NOT DISTINCT FROM p.lang, top WHERE len(l) > 1),
+sib AS (SELECT *, l[xor(i, 1) + 1] AS s, CASE WHEN l[xor(i, 1) + 1] IS NULL THEN 'N' WHEN i % 2 = 1 THEN 'L' || s ELSE 'R' || s END AS e FROM way),
+each AS (SELECT doc_id, leaf, claimed, lang, coalesce(string_agg(s, '' ORDER BY h), '') AS proof, list(e ORDER BY h) AS es FROM sib GROUP BY ALL),
+folded AS (SELECT *, list_reduce([claimed] || es, lambda x, e: sha256(CASE e[1] WHEN 'N' THEN x WHEN 'L' THEN e[2:] || x ELSE x || e[2:] END)) AS folded_root FROM each)
+SELECT doc_id, leaf, subroot, (SELECT l[1] FROM top WHERE len(l) = 1) AS root, sha256(proof) AS proof_sha256, folded_root,
+       folded_root = (SELECT l[1] FROM top WHERE len(l) = 1) AS verified
+FROM folded JOIN subs ON subs.lang IS NOT DISTINCT FROM folded.lang
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_manifest(read(spark, folder, "documents"))
+
+
+_TURNS = "sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || strlen(coalesce(text, '')) || ':' || coalesce(text, ''))"
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, strlen(coalesce(text, '')) AS b, {_TURNS} AS said, turn FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'s': said, 'b': b}} ORDER BY turn NULLS FIRST, said) AS l FROM t GROUP BY conv_id),
+h AS (SELECT *, {_crc('conv_id')} % 9 AS h FROM c),
+r AS (SELECT h.conv_id, list_concat(coalesce(base.l, [])[1:h.h], h.l[h.h + 1:]) AS l FROM h LEFT JOIN c AS base ON base.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, d, len(l) AS n, [x.s for x in l[1:d]] AS path, coalesce(l[d].b, 0) AS b FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM r)),
+node AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+                sha256(coalesce(string_agg(CASE WHEN n = d THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM p GROUP BY path, d),
+kid AS (SELECT path[1:d - 1] AS path, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+own AS (SELECT node.*, coalesce(kid.n, 0) AS n_children, (n_convs - 1) * b AS saved FROM node LEFT JOIN kid ON kid.d = node.d AND kid.path = node.path),
+up AS (SELECT path[1:k] AS path, k AS d, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+       FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM own) GROUP BY ALL)
+SELECT own.conv_id, own.d AS depth, mother.conv_id AS parent_conv_id, own.n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, own.ends_sha256
+FROM own JOIN up ON up.d = own.d AND up.path = own.path LEFT JOIN node AS mother ON own.d > 0 AND mother.d = own.d - 1 AND mother.path = own.path[1:own.d - 1]
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(read(spark, folder, "conversations")))
+
+
+@query("op11_suffix_array_dedup", """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+cut AS (SELECT doc_id, c, substr(h, 400 * c + 1, 598) AS t FROM (SELECT doc_id, h, unnest(range(0, len(h) // 400 + 1)) AS c FROM d)),
+win AS (SELECT doc_id, 200 * c + o AS s, md5_number(substr(t, 2 * o + 1, 200)) AS x
+        FROM (SELECT *, unnest(range(0, least(200, len(t) // 2 - 99))) AS o FROM cut WHERE len(t) >= 200)),
+later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY x ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 100)) AS p FROM later),
+g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE p <> before + 1 OR before IS NULL) AS spans
+      FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id),
+b AS (SELECT doc_id, 200 * c + o AS p, substr(t, 2 * o + 1, 2) AS x FROM (SELECT *, unnest(range(0, least(200, len(t) // 2))) AS o FROM cut)),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS k FROM b ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(g.spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, folder, "documents")).withColumnRenamed("id", "doc_id")
