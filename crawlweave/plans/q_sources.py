@@ -46,6 +46,28 @@ def read_url_csv_simple(spark, d):
     return UF.read_url_csv(spark, path, mode="simple").groupBy("url").agg(F.count("*").alias("n"))
 
 
+@query("read_url_csv_multiline", "SELECT url, count(*) AS n FROM pages GROUP BY url")
+def read_url_csv_multiline(spark, d):
+    """Notes with quotes, delimiters and line breaks before the URL."""
+    path = fresh_path(spark, "url-csv")
+    note = F.concat(F.lit('say "'), "page_id", F.lit('",\n\nor "'), F.col("page_id") % 7, F.lit('"\n, not'))
+    p = table(spark, d, "pages").select(F.col("page_id").alias("no"), note.alias("note"), "url", F.lit("x\ny").alias("tail"))
+    p.write.option("header", "true").option("escape", '"').option("quoteAll", "true").csv(path)
+    return UF.read_url_csv(spark, path).groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query("read_url_json_large", "SELECT url, count(*) AS n FROM pages GROUP BY url")
+def read_url_json_large(spark, d):
+    """Arrays of a thousand objects or so, whose strings hold commas, brackets and quotes."""
+    path = fresh_path(spark, "url-json")
+    note = F.concat(F.lit('], {"no": '), "page_id", F.lit("}, ["))
+    item = F.struct(note.alias("note"), F.array(F.col("page_id"), F.lit(2)).alias("list"), F.col("url").alias("link"))
+    cut = (F.col("page_id") / 1000).cast("long")
+    files = table(spark, d, "pages").groupBy(cut.alias("f")).agg(F.to_json(F.collect_list(item)).alias("value"))
+    files.write.partitionBy("f").text(path)
+    return _json_rows(spark, path).groupBy("url").agg(F.count("*").alias("n"))
+
+
 @query("read_url_json", "SELECT url, count(*) AS n FROM pages GROUP BY url")
 def read_url_json(spark, d):
     """One JSON file per domain, of five shapes in turn."""

@@ -19,9 +19,12 @@ from crawlweave.functions import fixed as K
 from crawlweave.functions.text import parse_json
 from crawlweave.functions.urls import is_valid_url, normalize_url
 from crawlweave.operators.skew import join_lookup
+from crawlweave.session import materialize
+from crawlweave.sources.records import array_elements, csv_records, read_parts
 
 LINE_BREAKS = r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 DELIMITERS = (",", ";", "\t", "|")
+CSV_RECORD_LIMIT = 131_072  # characters of a record of several lines; more is an unclosed quote
 ROWS = "file string, pos struct<block:long,row:long,part:long,item:long>, url string, error string"
 
 
@@ -80,36 +83,36 @@ def _cells(line: Column, delimiter: str) -> Column:
 def read_url_csv(spark: SparkSession, path: str, mode: str = "full", delimiter: str | None = None) -> DataFrame:
     """Single column: its cell. Several columns: the first cell that looks like a URL.
 
-    The delimiter is the most frequent candidate in a file's first line, and that line is
-    a header when none of its cells looks like a URL. Quoted cells may hold delimiters but
-    not line breaks. ``simple`` takes the first column.
+    The delimiter is the most frequent candidate in a file's first line, and that line is a header when none of its cells
+    looks like a URL. Quoted cells may hold delimiters and line breaks, and a record may cross file splits. A file whose
+    quotes make a record of more than ``CSV_RECORD_LIMIT`` characters is read as lines of comma-separated URLs. ``simple``
+    takes the first column.
     """
-    lines = _lines(spark, path, ".csv").filter("line <> ''")
-    heads = lines.groupBy("file").agg(
-        F.min(F.struct("block", "row", "part", "line")).alias("h")
-    )
+    lines = read_parts(spark, path, "*.csv")
+    heads = lines.filter(_strip(F.col("line")) != "").groupBy("file").agg(F.min(F.struct("block", "row", "line")).alias("h"))
     counts = [F.regexp_count("h.line", F.lit({"|": r"\|"}.get(d, d))) for d in DELIMITERS]
     best = F.greatest(*counts)
     chosen = F.lit(delimiter) if delimiter else F.coalesce(
         *[F.when((n == best) & (n > 0), F.lit(d)) for d, n in zip(DELIMITERS, counts)], F.lit(",")
     )
-    heads = heads.select("file", "h", chosen.alias("delim"))
-    joined = join_lookup(lines, heads, ["file"], "inner")
+    heads = materialize(heads.select("file", F.struct("h.block", "h.row").alias("h"), chosen.alias("delim")), "csv-heads")
+    records = csv_records(join_lookup(lines, heads.select("file", "delim"), ["file"], "inner"), DELIMITERS, CSV_RECORD_LIMIT)
+    joined = join_lookup(records.filter(_strip(F.col("text")) != ""), heads, ["file"], "inner")
 
-    def cells(line: Column) -> Column:
-        out = _cells(line, DELIMITERS[0])
+    def cells(text: Column) -> Column:
+        out = _cells(text, DELIMITERS[0])
         for d in DELIMITERS[1:]:
-            out = F.when(F.col("delim") == d, _cells(line, d)).otherwise(out)
+            out = F.when(F.col("delim") == d, _cells(text, d)).otherwise(out)
         return out
 
-    is_head = (
-        (F.col("h.block") == F.col("block")) & (F.col("h.row") == F.col("row")) & (F.col("h.part") == F.col("part"))
-    )
-    rows = joined.withColumn("_c", cells(F.col("line")))
-    rows = rows.filter(~(is_head & ~F.exists("_c", _url_like)))
+    plain = F.filter(F.transform(F.split("text", ","), _strip), lambda x: x != "")
+    is_head = (F.col("h.block") == F.col("block")) & (F.col("h.row") == F.col("row"))
+    rows = joined.withColumn("_c", F.when(F.col("broken"), plain).otherwise(cells(_strip(F.col("text")))))
+    rows = rows.filter(F.col("broken") | ~(is_head & ~F.exists("_c", _url_like)))
     first = F.get(F.filter("_c", lambda x: (x != "") & _url_like(x)), F.lit(0))
     pick = F.get("_c", F.lit(0)) if mode == "simple" else F.when(F.size("_c") == 1, F.get("_c", F.lit(0))).otherwise(first)
-    return _explode_urls(rows, F.when(pick.isNotNull(), F.array(pick)))
+    urls = F.when(F.col("broken") & F.lit(mode != "simple"), F.col("_c")).when(pick.isNotNull(), F.array(pick))
+    return _explode_urls(rows.withColumn("part", F.lit(0)), urls)
 
 
 def _text_of(v: Column, path: str) -> Column:
@@ -129,16 +132,37 @@ def _item_url(v: Column, simple: bool) -> Column:
 def read_url_json(spark: SparkSession, path: str, mode: str = "full", glob: str = "*.json") -> DataFrame:
     """An array of strings or objects, or an object with URL lists or direct URL fields.
 
-    One file is one JSON value, so it is read whole; uploads are limited in size.
-    A file that is not JSON gives one row with ``error``.
+    Files are read as text between commas. An array's elements are put together from that by many tasks and parsed one by
+    one; a file of another kind is one value and is put together as a whole, uploads being limited in size. A file that is
+    not JSON gives one row with ``error`` and no URL; Spark reads no row from an empty file, so it gives none.
     """
-    simple = mode == "simple"
-    files = (
-        spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), parse_json(F.col("value")).alias("v"))
-        .withColumn("kind", F.schema_of_variant("v"))
+    parts = read_parts(spark, path, glob, ",")
+    heads = parts.groupBy("file").agg(F.min(F.struct("block", "row", F.substring("line", 1, 100).alias("line"))).alias("h"))
+    heads = materialize(heads.select("file", F.col("h.line").rlike(r"^\s*\[").alias("is_array")), "json-heads")
+    parts = join_lookup(parts, heads, ["file"], "inner")
+    others = parts.filter(~F.col("is_array")).groupBy("file").agg(F.sort_array(F.collect_list(F.struct("block", "row", "line"))).alias("p"))
+    others = others.select("file", F.array_join(F.transform("p", lambda x: x["line"]), ",").alias("value"))
+    whole = _whole_json(others, mode == "simple")
+    return whole.unionByName(_array_urls(parts.filter("is_array").drop("is_array"), mode == "simple"))
+
+
+def _array_urls(fragments: DataFrame, simple: bool) -> DataFrame:
+    found = array_elements(fragments).withColumn("v", parse_json(F.col("text")))
+    bad = ~F.col("sound") | F.col("v").isNull()
+    found = materialize(found.select("file", "block", "row", bad.alias("bad"), F.when(~bad, _item_url(F.col("v"), simple)).alias("url")), "json-elements")
+    spoilt = found.groupBy("file").agg(F.max("bad").alias("spoilt")).filter("spoilt")
+    zero = lambda n: F.lit(0).cast("long").alias(n)
+    rows = join_lookup(found, spoilt, ["file"]).filter(F.col("spoilt").isNull() & F.col("url").isNotNull())
+    rows = rows.select("file", F.struct("block", "row", zero("part"), zero("item")).alias("pos"), "url", F.lit(None).cast("string").alias("error"))
+    errors = spoilt.select(
+        "file", F.struct(*[zero(n) for n in ("block", "row", "part", "item")]).alias("pos"), F.lit(None).cast("string").alias("url"),
+        F.lit("Invalid JSON format").alias("error"),
     )
+    return rows.unionByName(errors)
+
+
+def _whole_json(texts: DataFrame, simple: bool) -> DataFrame:
+    files = texts.select("file", parse_json(F.col("value")).alias("v")).withColumn("kind", F.schema_of_variant("v"))
     none = F.array().cast("array<string>")
 
     def items(path_: str) -> Column:
