@@ -123,6 +123,22 @@ def held(df: DataFrame, condition: Column, ts: str, windows: int, keys=(), out:
     return df.withColumn(out, hit)
 
 
+def held_for(df: DataFrame, condition: Column, ts: str, step: str, hold: str, keys=(), gaps: bool = True, out: str = "alert") -> DataFrame:
+    """True where ``condition`` has been true in every window of the last ``hold``, by the windows' times.
+
+    ``step`` lies between the starts of windows; a missing window ends a run unless ``gaps`` is false. Rows are windowed
+    aggregates; with keys that hold very many windows, each run's rows still are spread by (keys, run).
+    """
+    order = W.partitionBy(*keys).orderBy(ts)
+    before = F.lag(ts).over(order)
+    broken = ~F.coalesce(condition, F.lit(False)) | (F.lit(gaps) & (before + F.expr(f"interval {step}") != F.col(ts)))
+    runs = df.withColumn("_end", F.coalesce(broken, F.lit(False)).cast("int")).withColumn("_run", F.sum("_end").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    met = F.coalesce(condition, F.lit(False))
+    runs = runs.withColumn("_since", F.min(F.when(met, F.col(ts))).over(W.partitionBy(*keys, "_run")))
+    long_enough = F.col(ts) - F.expr(f"interval {hold}") >= F.col("_since")
+    return runs.withColumn(out, met & F.coalesce(long_enough, F.lit(False))).drop("_end", "_run", "_since")
+
+
 def error_windows(events: DataFrame, ts: str, failed: Column, window: str, slide: str, keys=()) -> DataFrame:
     """Sliding windows with total, errors and error rate."""
     return (

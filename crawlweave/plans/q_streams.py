@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crawlweave.operators import messages as MS
 from crawlweave.plans import views as V
 from crawlweave.plans.registry import query, table
 from crawlweave.session import fresh_path
+from crawlweave.streaming import alerts as AL
 from crawlweave.streaming import queue as QU
 from crawlweave.streaming import state as ST
 from crawlweave.streaming import windows as WI
@@ -130,3 +132,69 @@ def stream_token_bucket(spark, d):
     """A rate no key exceeds: everything passes."""
     s = ST.token_bucket_stream(event_stream(spark, d), "user_id", "ts", rate=1000.0, burst=100)
     return _closed(spark, s, "bucket").groupBy("key").agg(F.sum("requests").alias("requests"), F.sum("allowed").alias("allowed"))
+
+
+def held_sql(windows, condition, step, hold, keys="key", gaps=True, value="value"):
+    """Runs of windows by their times; a run's first window tells since when."""
+    gap = f"OR before + INTERVAL {step} <> window_start" if gaps else ""
+    return f"""WITH w AS ({windows}), b AS (SELECT *, coalesce({condition}, false) AS met, lag(window_start) OVER (PARTITION BY {keys} ORDER BY window_start) AS before FROM w),
+r AS (SELECT *, sum((coalesce(NOT met {gap}, false))::INT) OVER (PARTITION BY {keys} ORDER BY window_start) AS run FROM b),
+s AS (SELECT *, min(CASE WHEN met THEN window_start END) OVER (PARTITION BY {keys}, run) AS since FROM r)
+SELECT {keys}, window_start, round({value}, 6) AS value, met AND coalesce(window_start - INTERVAL {hold} >= since, false) AS alert FROM s"""
+
+
+def sliding(hours, steps, what):
+    return f"""SELECT * FROM (SELECT event_type AS key, time_bucket(INTERVAL '1 hour', ts) - to_hours(i) AS window_start, {what} AS value FROM events, range({steps}) r(i) GROUP BY ALL)
+  WHERE {closed('window_start', f'{hours} HOUR')}"""
+
+
+@query("stream_held_errors", held_sql(sliding(6, 6, "count(*) FILTER (event_id % 5 = 0) / count(*)"), "value > 0.1", "1 HOUR", "3 HOUR"))
+def stream_held_errors(spark, d):
+    s = AL.held_errors(event_stream(spark, d), "ts", F.col("event_id") % 5 == 0, window="6 hours", slide="1 hour", hold="3 hours", key=F.col("event_type"))
+    return _ntz(_closed(spark, s, "held").withColumn("value", F.round("value", 6)), "window_start")
+
+
+@query("held_errors", held_sql("""SELECT event_type AS key, time_bucket(INTERVAL '1 hour', ts) - to_hours(i) AS window_start, count(*) FILTER (event_id % 5 = 0) / count(*) AS value
+  FROM events, range(6) r(i) GROUP BY ALL""", "value > 0.1", "1 HOUR", "3 HOUR"))
+def held_errors(spark, d):
+    """The same on the table."""
+    w = MS.error_windows(table(spark, d, "events").withColumnRenamed("event_type", "key"), "ts", F.col("event_id") % 5 == 0, "6 hours", "1 hour", ["key"])
+    held = MS.held_for(w, F.col("error_rate") > 0.1, "window_start", "1 hour", "3 hours", ["key"])
+    return held.select("key", "window_start", F.round("error_rate", 6).alias("value"), "alert")
+
+
+@query("stream_held_average", held_sql(sliding(6, 6, "avg(value)"), "value < 50", "1 HOUR", "2 HOUR"))
+def stream_held_average(spark, d):
+    s = AL.held_low_average(event_stream(spark, d), "ts", F.col("value"), 50, "6 hours", "1 hour", "2 hours", F.col("event_type"))
+    return _ntz(_closed(spark, s, "held").withColumn("value", F.round("value", 6)), "window_start")
+
+
+@query("stream_held_backlog", held_sql(f"""SELECT key, window_start, sum(change) OVER (PARTITION BY key ORDER BY window_start) AS value
+  FROM (SELECT event_type AS key, date_trunc('hour', ts) AS window_start, sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END) AS change FROM events GROUP BY ALL)
+  WHERE {closed('window_start', '1 HOUR')}""", "value > 10", "1 HOUR", "4 HOUR", gaps=False))
+def stream_held_backlog(spark, d):
+    delta = F.when(F.col("event_id") % 3 == 0, -1).otherwise(1)
+    s = AL.held_backlog(event_stream(spark, d), "event_type", "ts", delta, 10, "1 hour", "4 hours")
+    return _ntz(_closed(spark, s, "held").withColumn("value", F.round("value", 6)), "window_start")
+
+
+@query("stream_consumer_lag", """WITH e AS (SELECT event_type AS queue, time_bucket(INTERVAL 1 DAY, ts) AS window_start, ts, event_id % 3 <> 0 AND ts + to_hours(event_id % 20) <= (SELECT max(ts) FROM events) AS acked FROM events)
+SELECT queue, window_start, count(*) AS published, count(*) FILTER (acked) AS acked, count(*) FILTER (NOT acked) AS open FROM e GROUP BY ALL
+HAVING window_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 25 HOUR""")
+def stream_consumer_lag(spark, d):
+    """Two thirds of the messages are acknowledged, within twenty hours, if that comes before the last event."""
+    e = event_stream(spark, d).select(F.col("event_type").alias("queue"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"))
+    last = table(spark, d, "events").agg(F.max("ts").cast("timestamp")).first()[0]
+    acked = e.withColumn("acked_at", F.expr("ts + make_dt_interval(0, cast(id % 20 as int))")).filter((F.col("id") % 3 != 0) & (F.col("acked_at") <= F.lit(last)))
+    s = AL.consumer_lag_windows(e, acked, "1 day", "10 minutes")
+    return _ntz(_closed(spark, s, "lag"), "window_start").filter(F.col("window_start") <= F.lit(last).cast("timestamp_ntz") - F.expr("interval 49 hours"))
+
+
+@query("stream_stalled", """WITH e AS (SELECT user_id, ts, event_type = 'click' AS busy, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type <> 'click') AS next FROM events)
+SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) AS started_us FROM e
+WHERE busy AND CASE WHEN next IS NULL THEN ts + INTERVAL 1 DAY < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE ELSE next - ts > INTERVAL 1 DAY END""")
+def stream_stalled(spark, d):
+    """A user's clicks with nothing after them for a day."""
+    status = F.when(F.col("event_type") == "click", "processing").otherwise("completed")
+    updates = event_stream(spark, d).select("user_id", "ts", status.alias("status"))
+    return _closed(spark, ST.stalled_stream(updates, "user_id", "ts", 86_400_000), "stalled")

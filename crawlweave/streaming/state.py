@@ -8,11 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from crawlweave.operators.limits import TokenBucket
 from crawlweave.operators.source_health import KEEP, response_ema
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def ema_stream(
     requests: DataFrame, order: list[str], out: str, checkpoint: str, every: str | None = None
@@ -81,32 +83,52 @@ def token_bucket_stream(requests: DataFrame, key: str, ts: str, rate: float = 10
     )
 
 
-def stalled_stream(updates: DataFrame, key: str, ts: str, after_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
-    """(key, started_at) of tasks that stay in processing for longer than ``after_ms`` of event time."""
+class Stalled(StatefulProcessor):
+    """Per task: since when it has been processing. Updates are taken in the order of their times, so micro-batches don't matter."""
 
-    def step(k, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            started = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"key": [k[0]], "started_us": [started]})
-            return
-        last = None
-        for b in batches:
-            top = b.loc[b["t"].idxmax()]
-            if last is None or top["t"] >= last["t"]:
-                last = top
-        if last is None:
-            return
-        if last["status"] == "processing":
-            state.update((int(last["t"]),))
-            due = int(last["t"]) // 1000 + after_ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
+    def __init__(self, after: int):
+        self.after = after
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.started = handle.getValueState("started", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        started, found = self.started.get()[0] if self.started.exists() else None, []
+        updates = pd.concat([b[["t", "busy"]] for b in rows]).sort_values(["t", "busy"], ascending=[True, False])
+        for t, busy in zip(updates["t"].tolist(), updates["busy"].tolist(), strict=True):
+            if started is not None and t - started > self.after:
+                found.append(started)
+            started = t if busy else None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if started is None:
+            self.started.clear()
+        else:
+            self.started.update((started,))
+            self.handle.registerTimer(max((started + self.after) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._rows(key, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._rows(key, [self.started.get()[0]] if self.started.exists() else [])
+        self.started.clear()
 
+    @staticmethod
+    def _rows(key, found: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(found), dtype="object"), "started_us": pd.Series(found, dtype="int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def stalled_stream(updates: DataFrame, key: str, ts: str, after_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
+    """(key, started_us) of tasks that stay in processing for longer than ``after_ms`` of event time, each time they do.
+
+    State is one instant for each task in processing and its timer; both go when the task is done or reported.
+    """
+    updates.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     timed = updates.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    return (
-        timed.select(F.col(key).cast("string").alias("key"), ts, F.unix_micros(ts).alias("t"), "status")
-        .groupBy("key")
-        .applyInPandasWithState(step, "key string, started_us long", "started long", "append", "EventTimeTimeout")
+    rows = timed.select(F.col(key).cast("string").alias("key"), ts, F.unix_micros(ts).alias("t"), (F.col("status") == "processing").alias("busy"))
+    return rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=Stalled(after_ms * 1000), outputStructType="key string, started_us long", outputMode="Append", timeMode="EventTime"
     )

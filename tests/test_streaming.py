@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from crawlweave.session import fresh_path
+from crawlweave.operators import messages as MS
+from crawlweave.streaming import alerts as AL
 from crawlweave.streaming import queue as QU
 from crawlweave.streaming import state as ST
 from crawlweave.streaming import windows as WI
@@ -88,3 +90,53 @@ def test_flow_can_be_replayed(spark, many_files):
     n = {k: spark.read.parquet(f"{out}/{k}").count() for k in ("ok", "retry", "dead")}
     cold = sum(r[2] == "cold" for r in rows)
     assert n == {"ok": 500 - cold, "retry": cold, "dead": 0}
+
+
+def test_held_alerts_over_batches_and_a_restart(spark, tmp_path):
+    """Windows of 10 seconds with gaps and runs, one file a micro-batch; the query stops in the middle and starts again."""
+    rnd = random.Random(8)
+    rows = []
+    for m in range(120):
+        for key in ("a", "b"):
+            if (m // 7 + (key == "b")) % 5:  # some stretches have no event
+                rows.append((START + timedelta(seconds=10 * m + rnd.random() * 9), key, rnd.random() < (0.9 if m // 11 % 2 else 0.02)))
+    src = tmp_path / "in"
+    schema = "ts timestamp, key string, bad boolean"
+
+    def put(part):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+
+    cuts = [0, len(rows) // 4, len(rows) // 3, len(rows) // 2, len(rows)]
+    out, ck = fresh_path(spark, "held"), fresh_path(spark, "ck")
+    for a, b in zip(cuts, cuts[1:]):
+        put(rows[a:b])
+        stream = QU.read_stream(spark, str(src), schema, files_per_batch=1)
+        held = AL.held_errors(stream, "ts", F.col("bad"), 0.1, "20 seconds", "10 seconds", "30 seconds", F.col("key"), "10 seconds")
+        WI.to_table(held, out, ck).awaitTermination()
+    got = {(r.key, r.window_start, round(r.value, 6), r.alert) for r in spark.read.parquet(out).collect()}
+    windows = MS.error_windows(spark.read.schema(schema).parquet(str(src)), "ts", F.col("bad"), "20 seconds", "10 seconds", ["key"])
+    twin = MS.held_for(windows, F.col("error_rate") > 0.1, "window_start", "10 seconds", "30 seconds", ["key"])
+    closed = max(r[0] for r in rows) - timedelta(seconds=10)
+    want = {(r.key, r.window_start, round(r.error_rate, 6), r.alert) for r in twin.collect() if r.window_start + timedelta(seconds=20) <= closed}
+    assert got == want and len({x[3] for x in want}) == 2
+
+
+def test_stalled_tasks_do_not_depend_on_batches(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(START + timedelta(minutes=rnd.randrange(4) + 3 * i), f"t{rnd.randrange(12)}", rnd.choice(["processing", "completed"])) for i in range(300)]
+    schema = "ts timestamp, id string, status string"
+    for i in range(0, 300, 60):
+        spark.createDataFrame(rows[i : i + 60], schema).coalesce(1).write.mode("append").parquet(str(tmp_path))
+    found = []
+    for files in (1, None):
+        stream = QU.read_stream(spark, str(tmp_path), schema, files_per_batch=files)
+        out = fresh_path(spark, "stalled")
+        WI.to_table(ST.stalled_stream(stream, "id", "ts", 3_600_000, "10 minutes"), out, fresh_path(spark, "ck")).awaitTermination()
+        found.append(sorted((r.key, r.started_us) for r in spark.read.parquet(out).collect()))
+    end, want = max(r[0] for r in rows) - timedelta(minutes=10), []
+    for key in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[0], r[2] != "processing"))
+        for a, b in zip(own, [*own[1:], None]):
+            if a[2] == "processing" and ((b[0] - a[0]) if b else (end - a[0])) > timedelta(hours=1):
+                want.append((key, int(a[0].timestamp() * 1_000_000)))
+    assert found[0] == found[1] == sorted(want) and want
