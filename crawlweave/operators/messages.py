@@ -33,6 +33,18 @@ def retry_schedule(messages: DataFrame, ts: str = "ts") -> DataFrame:
     )
 
 
+def with_outcome(messages: DataFrame, failed: Column, service: str, as_of: Column) -> DataFrame:
+    """Each message with its ``outcome`` and the columns of ``split_outcomes``, null where they don't apply."""
+    bad, spent = F.coalesce(failed, F.lit(False)), F.col("retry_count") >= F.col("max_retries")
+    outcome = F.when(~bad, "ok").when(spent, "dead").otherwise("retry")
+    again, dead = bad & ~spent, bad & spent
+    return messages.withColumns({
+        "outcome": outcome, "retry_count": F.when(again, F.col("retry_count") + 1).otherwise(F.col("retry_count")),
+        "delay_seconds": F.when(again, retry_delay(F.col("retry_count") + 1)), "service": F.when(dead, F.lit(service)),
+        "failed_at": F.when(dead, as_of), "error": F.when(dead, F.lit("Max retries exceeded")),
+    })
+
+
 def split_outcomes(messages: DataFrame, failed: Column, service: str, as_of: Column) -> dict[str, DataFrame]:
     """ok, retry and dead tables of one batch. Retries carry their count, so the limit is reached."""
     spent = F.col("retry_count") >= F.col("max_retries")

@@ -8,6 +8,7 @@ from crawlweave.operators import messages as MS
 from crawlweave.plans import views as V
 from crawlweave.plans.registry import query, table
 from crawlweave.session import fresh_path
+from crawlweave.sources import versioned as VT
 from crawlweave.streaming import alerts as AL
 from crawlweave.streaming import queue as QU
 from crawlweave.streaming import state as ST
@@ -75,10 +76,8 @@ def stream_job_progress(spark, d):
         .when(F.col("event_type") == "click", "processing").otherwise("pending").alias("status"),
         F.col("value").alias("duration_seconds"), F.col("ts").alias("completed_at"))
     out = fresh_path(spark, "progress")
-    WI.refresh(WI.progress(t, V.as_of()), out, fresh_path(spark, "ck")).awaitTermination()
-    versions = spark.read.parquet(out)
-    newest = versions.agg(F.max("batch")).first()[0]
-    return versions.filter(F.col("batch") == newest).select("job_id", "total_tasks", "completed_tasks", "failed_tasks")
+    VT.merge_stream(WI.progress(t, V.as_of()), out, "job_id", fresh_path(spark, "ck")).awaitTermination()
+    return VT.read_table(spark, out).select("job_id", "total_tasks", "completed_tasks", "failed_tasks")
 
 
 @query("stream_message_flow", f"""WITH {V.MESSAGES_SQL} SELECT CASE WHEN queue <> 'error' THEN 'ok' WHEN retry_count >= max_retries THEN 'dead' ELSE 'retry' END AS outcome,
@@ -88,11 +87,7 @@ def stream_message_flow(spark, d):
         F.col("event_id").alias("id"), F.col("event_type").alias("queue"), (F.col("event_id") % 4).cast("int").alias("retry_count"), F.lit(3).alias("max_retries"))
     out = fresh_path(spark, "flow")
     QU.run_flow(m, out, fresh_path(spark, "ck"), F.col("queue") == "error", "scraper", V.as_of()).awaitTermination()
-    parts = None
-    for name in ("ok", "retry", "dead"):
-        part = spark.read.parquet(f"{out}/{name}").groupBy("retry_count").agg(F.count("*").alias("n")).select(F.lit(name).alias("outcome"), "retry_count", "n")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+    return QU.read_flow(spark, out).groupBy("outcome", "retry_count").agg(F.count("*").alias("n"))
 
 
 @query("stream_first_in_ttl", "SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id")

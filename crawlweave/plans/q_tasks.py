@@ -10,6 +10,8 @@ from crawlweave.operators import messages as MS
 from crawlweave.operators import task_jobs as T
 from crawlweave.plans import views as V
 from crawlweave.plans.registry import query, table
+from crawlweave.session import fresh_path
+from crawlweave.sources import versioned as VT
 
 NOW = f"TIMESTAMP '{V.AS_OF}'"
 PROGRESS = f"""
@@ -276,10 +278,13 @@ def latest_status(spark, d):
     return out.select("user_id", F.col("event_type").alias("last_type"), F.col("value").alias("last_value"))
 
 
-@query("merge_rows", """WITH ch AS (SELECT event_id % 20000 AS id, event_id, event_type, value FROM events WHERE event_id % 3 = 0),
+MERGE_SQL = """WITH ch AS (SELECT event_id % 20000 AS id, event_id, event_type, value FROM events WHERE event_id % 3 = 0),
 newest AS (SELECT id, arg_max(event_type, event_id) AS kind, arg_max(value, event_id) AS v FROM ch GROUP BY id),
 base AS (SELECT o_orderkey AS id, o_orderpriority AS name FROM orders)
-SELECT b.id, name FROM base b WHERE id NOT IN (SELECT id FROM newest) UNION ALL SELECT id, 'set ' || kind FROM newest WHERE kind <> 'error'""")
+SELECT b.id, name FROM base b WHERE id NOT IN (SELECT id FROM newest) UNION ALL SELECT id, 'set ' || kind FROM newest WHERE kind <> 'error'"""
+
+
+@query("merge_rows", MERGE_SQL)
 def merge_rows(spark, d):
     base = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
     changes = table(spark, d, "events").filter("event_id % 3 = 0").select(
@@ -288,6 +293,23 @@ def merge_rows(spark, d):
     return M.merge_rows(base, changes, "id", "version")
 
 
+@query("merge_bucketed", """WITH ch AS (SELECT event_id % 20000 AS id, event_id, event_type FROM events),
+newest AS (SELECT id, arg_max(event_type, event_id) AS kind FROM ch GROUP BY id)
+SELECT o_orderkey AS id, o_orderpriority AS name FROM orders WHERE o_orderkey NOT IN (SELECT id FROM newest) UNION ALL SELECT id, 'set ' || kind FROM newest WHERE kind <> 'error'""")
+def merge_bucketed(spark, d):
+    """Three batches of changes to a bucketed table, the second merged twice; then its newest version."""
+    path = fresh_path(spark, "bucketed")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
+    VT.create_table(orders, path, "id", 16)
+    changes = table(spark, d, "events").select(
+        (F.col("event_id") % 20000).alias("id"), F.concat(F.lit("set "), "event_type").alias("name"), (F.col("event_type") == "error").alias("deleted"),
+        F.col("event_id").alias("version"), F.col("event_id").alias("_at"))
+    top = changes.agg(F.max("_at")).first()[0] or 0
+    for batch, (low, high) in enumerate(((-1, top // 3), (top // 3, top // 2), (top // 3, top // 2), (top // 2, top)), 1):
+        VT.merge_bucketed(changes.filter((F.col("_at") > low) & (F.col("_at") <= high)).drop("_at"), path, "id", "version", max(1, batch - (batch > 2)))
+    return VT.read_table(spark, path)
+
+
 @query("apply_commands", f"""WITH {V.JOBS_SQL} SELECT action, ok, count(*) AS n FROM (
   SELECT CASE job_id % 6 WHEN 0 THEN 'cancel' WHEN 1 THEN 'pause' WHEN 2 THEN 'resume' WHEN 3 THEN 'rename' ELSE 'delete' END AS action,
     CASE job_id % 6 WHEN 0 THEN status <> 'completed' WHEN 1 THEN status = 'processing' WHEN 2 THEN FALSE ELSE TRUE END AS ok

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from crawlweave.operators.messages import split_outcomes
+from crawlweave.operators.messages import with_outcome
 
 
 def read_stream(
@@ -29,22 +29,29 @@ def run_flow(
     messages: DataFrame, out: str, checkpoint: str, failed: Column, service: str, as_of: Column | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Split every micro-batch into ok / retry / dead tables below ``out``.
+    """Write every micro-batch below ``out``, with ``outcome`` (ok, retry, dead) as a partition; ``read_flow`` reads it.
 
-    A batch is written under its own number and overwritten when replayed, so a restart
-    after a failure neither loses nor doubles messages.
+    The source is scanned once for a batch. It is written under its number and its number is committed afterwards, so readers
+    see a batch as a whole or not at all, and a replay after a failure overwrites what was not committed.
     """
     now = as_of if as_of is not None else F.current_timestamp()
 
     def write(batch: DataFrame, number: int) -> None:
-        for name, part in split_outcomes(batch, failed, service, now).items():
-            part.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        with_outcome(batch, failed, service, now).write.mode("overwrite").partitionBy("outcome").parquet(f"{out}/data/batch={number}")
+        batch.sparkSession.range(number, number + 1).write.mode("overwrite").parquet(f"{out}/commits/batch={number}")
 
     w = messages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=every) if every else w.trigger(availableNow=True)
     return w.start()
 
 
+def read_flow(spark: SparkSession, out: str) -> DataFrame:
+    """All committed messages with ``outcome`` and ``batch``; a filter on ``outcome`` reads only its folders."""
+    done = spark.read.parquet(f"{out}/commits").select(F.col("batch").alias("_done"))  # a row a batch
+    rows = spark.read.option("basePath", f"{out}/data").parquet(f"{out}/data")
+    return rows.join(F.broadcast(done), F.col("batch") == F.col("_done"), "left_semi")
+
+
 def first_in_ttl(requests: DataFrame, key: str, ts: str, ttl: str = "1 hour") -> DataFrame:
     """Requests that pass: the first of a key, and each that comes a time-to-live or more after the last that passed.
 
