@@ -221,6 +221,9 @@ def language_by_words(c: Column) -> Column:
     return F.when(hits > 5, "en").otherwise("unknown")
 
 
+LETTER_LANGUAGES = tuple(sorted({code for code, _ in K.LANGUAGE_LETTERS} | {"en", "unknown"}))
+
+
 def language_by_letters(c: Column) -> Column:
     """First rule with one of its letters in the text; plain ASCII text skips the rules."""
     out = F.when(F.length(_s(c)) < 100, "unknown").when(F.octet_length(c) == F.length(c), "en")

@@ -126,8 +126,13 @@ def pause_resume(jobs: DataFrame, commands: DataFrame, as_of: Column | None = No
 
 
 def rename_jobs(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """``updates`` has job_id with new name / description; null means unchanged."""
-    u = updates.select("job_id", F.col("name").alias("_name"), F.col("description").alias("_description"))
+    """``updates`` has job_id with new name / description and may have ``version``; null means unchanged.
+
+    Of several updates of a job, each field's newest value counts (of equal versions the alphabetically last).
+    """
+    version = F.col("version") if "version" in updates.columns else F.lit(0)
+    newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(version, F.col(c)))).alias(f"_{c}")
+    u = updates.groupBy("job_id").agg(newest("name"), newest("description"))
     return (
         jobs.join(u, "job_id", "left")
         .withColumn("name", F.coalesce("_name", "name"))

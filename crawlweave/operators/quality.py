@@ -112,7 +112,7 @@ def process_records(records: DataFrame, source: str = "cleaned", as_of: Column |
 
 
 def domain_report(records: DataFrame) -> DataFrame:
-    """Pages, average scores, links, copies and top content type per domain.
+    """Pages, average scores, links, copies, top content type and languages per domain.
 
     Rows are first summed per (domain, text hash), which spreads a domain with a third of
     all pages over many tasks; the domain level then sums those sums. Types are few and
@@ -126,9 +126,13 @@ def domain_report(records: DataFrame) -> DataFrame:
         F.size("links").alias("links"),
         *[(F.col("content_analysis.content_type") == k).cast("int").alias(k) for k in kinds],
         X.content_hash(F.col("content")).alias("hash"),
+        X.language_by_letters(F.col("content")).alias("language"),
+    )
+    sums, languages = ("q", "d", "links", *kinds), [f"_{code}" for code in X.LETTER_LANGUAGES]
+    scored = scored.withColumns({f"_{code}": (F.col("language") == code).cast("int") for code in X.LETTER_LANGUAGES})
+    per_text = scored.groupBy("domain", "hash").agg(
+        F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in languages]
     )
-    sums = ("q", "d", "links", *kinds)
-    per_text = scored.groupBy("domain", "hash").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
     top = F.greatest(*[F.sum(k) for k in kinds])
     return per_text.groupBy("domain").agg(
         F.sum("n").alias("pages"),
@@ -137,6 +141,7 @@ def domain_report(records: DataFrame) -> DataFrame:
         F.sum("links").alias("links"),
         F.sum(F.col("n") - 1).alias("copies"),
         F.coalesce(*[F.when(F.sum(k) == top, F.lit(k)) for k in kinds]).alias("top_type"),
+        F.concat_ws(",", *[F.when(F.max(c) == 1, F.lit(c[1:])) for c in languages]).alias("languages"),
     )
 
 

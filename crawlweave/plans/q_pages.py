@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crawlweave.functions import html as H
 from crawlweave.operators import page_jobs as P
 from crawlweave.operators import page_tree as T
 from crawlweave.operators import search as SR
@@ -43,6 +44,14 @@ def page_headings(spark, d):
     return P.headings_long(table(spark, d, "pages"))
 
 
+@query("page_headings_fixed", f"""SELECT page_id, len(hs) AS n_h1, array_to_string(hs, '|') AS h1, 3 AS levels FROM (
+  SELECT page_id, list_transform({S.all_of(S.sub('html', S.HIDDEN), '(?is)<h1(?:' + chr(92) + 's[^>]*)?>(.*?)</h1' + chr(92) + 's*>', 1)}, lambda h: {S.page_text('h')}) AS hs FROM pages)""")
+def page_headings_fixed(spark, d):
+    """The levels h1 to h3, there even where a page has none."""
+    p = table(spark, d, "pages").withColumn("live", H.live_markup(F.col("html"))).withColumn("m", H.heading_map_fixed(F.col("live")))
+    return p.select("page_id", F.size(F.col("m")["h1"]).alias("n_h1"), F.array_join(F.col("m")["h1"], "|").alias("h1"), F.size("m").alias("levels"))
+
+
 @query("page_stats", f"""WITH {S.LINKS_SQL},
 n AS (SELECT page_id, count(*) AS n_links FROM links GROUP BY page_id)
 SELECT p.page_id, length({S.page_title('html')}) AS title_length, length({S.page_text('html')}) AS content_length,

@@ -12,6 +12,7 @@ from crawlweave.functions import urls as U
 from crawlweave.operators import page_jobs as P
 from crawlweave.operators import quality as Q
 from crawlweave.plans import sqltext as S
+from crawlweave.plans.q_text import LANG_LETTERS
 from crawlweave.plans.registry import query, table
 
 TYPE_COLUMNS = f"""{S.hits('c', K.PRODUCT_WORDS)} AS hp, {S.hits('c', K.CONTACT_WORDS)} AS hc, {S.hits('c', K.NEWS_WORDS)} AS hn"""
@@ -140,13 +141,13 @@ base AS (SELECT p.page_id, {S.domain('p.url')} AS domain, p.url, {S.page_title('
   FROM pages p LEFT JOIN n ON p.page_id = n.page_id),
 c AS (SELECT *, {S.clean_content('text')} AS t FROM base),
 m AS (SELECT page_id, domain, url, title, text, n_links, t AS c, len({S.word_list('t')}) AS words, {S.entity_size_columns('t')} FROM c),
-s AS (SELECT domain, n_links, {TYPE_COLUMNS}, sha256(lower({S.clean_text('text')})) AS h,
+s AS (SELECT domain, n_links, {LANG_LETTERS} AS language, {TYPE_COLUMNS}, sha256(lower({S.clean_text('text')})) AS h,
   (least(words / 100.0, 1.0) + least(n_keywords / 10.0, 1.0) + CASE WHEN n_emails > 0 OR n_phone_numbers > 0 THEN 1.0 ELSE 0.0 END + least(n_links / 5.0, 1.0)) / 4 AS q,
   (CASE WHEN {S.valid('url')} THEN 0.2 ELSE 0 END) + (CASE WHEN length(title) > 10 THEN 0.3 ELSE 0 END) + (CASE WHEN length(text) > 100 THEN 0.5 ELSE 0 END) AS dq FROM m),
-k AS (SELECT domain, {TYPE} AS kind, n_links, h, q, dq FROM s),
+k AS (SELECT domain, {TYPE} AS kind, n_links, h, q, dq, language FROM s),
 best AS (SELECT domain, kind FROM (SELECT domain, kind, row_number() OVER (PARTITION BY domain ORDER BY count(*) DESC, kind) AS r FROM k GROUP BY domain, kind) WHERE r = 1)
 SELECT k.domain, count(*) AS pages, round(avg(q), 5) AS avg_quality, round(avg(dq), 5) AS avg_data_quality, CAST(sum(n_links) AS BIGINT) AS links,
-  count(*) - count(DISTINCT h) AS copies, any_value(best.kind) AS top_type
+  count(*) - count(DISTINCT h) AS copies, any_value(best.kind) AS top_type, string_agg(DISTINCT language, ',' ORDER BY language) AS languages
 FROM k JOIN best ON k.domain = best.domain GROUP BY k.domain"""
 
 

@@ -205,3 +205,25 @@ def word_search(spark, d):
   SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({S.all_of('lower(text)', K.TOKEN)}) AS term FROM documents) GROUP BY ALL) GROUP BY term""")
 def token_table(spark, d):
     return SR.token_table(docs(spark, d)).groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+
+
+# every text with two URLs and three places after it, which the given texts lack
+PLANTED = (
+    "concat(coalesce(text, ''), ' see http://', source, '.org/d/', doc_id, '?q=a+b, (https://x', doc_id, '.net/%41) in Springfield, IL 62704 or New York, NY and ', "
+    "lang, ' 10', 100 + doc_id % 900, ' end')"
+)
+PLANTED_DOCS = f"(SELECT doc_id, {PLANTED} AS text FROM documents)"
+
+
+def planted(spark, d):
+    return docs(spark, d).withColumn("text", F.expr(PLANTED))
+
+
+@query("text_urls_planted", f"SELECT DISTINCT doc_id, unnest({S.all_of('text', K.TEXT_URL)}) AS value FROM {PLANTED_DOCS}")
+def text_urls_planted(spark, d):
+    return C.entities_long(planted(spark, d), ["urls"]).select("doc_id", "value")
+
+
+@query("locations_planted", f"SELECT DISTINCT doc_id, unnest({PLACES}) AS value FROM {PLANTED_DOCS}")
+def locations_planted(spark, d):
+    return C.entities_long(planted(spark, d), ["locations"]).select("doc_id", "value")

@@ -280,3 +280,30 @@ def extraction_config_check(spark, d):
     )
     rows = table(spark, d, "pages").select("page_id", F.from_json(cfg, R.CONFIG).alias("config"))
     return FR.check_configs(rows).select("page_id", "reason", "valid")
+
+
+@query("same_domain", f"""SELECT a.page_id, {S.domain('a.url')} = {S.domain('b.url')} AND {S.domain('a.url')} <> '' AS same
+FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 + a.page_id % 3""")
+def same_domain(spark, d):
+    """Each page with a later one."""
+    p = table(spark, d, "pages")
+    other = p.select((F.col("page_id")).alias("other"), F.upper(F.col("url")).alias("other_url"))
+    pairs = p.join(other, F.col("other") == F.col("page_id") + 1 + F.col("page_id") % 3)
+    return pairs.select("page_id", U.is_same_domain(F.col("url"), F.col("other_url")).alias("same"))
+
+
+@query("task_message_bodies", f"""SELECT page_id AS id, {QUEUE.format(w="CASE page_id % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'headless' ELSE 'crawl4ai' END")} AS queue, page_id % 5 + 1 AS priority,
+  '{{"task_id":' || page_id || ',"job_id":' || page_id % 7 || ',"url":' || to_json(url)::VARCHAR || ',"worker_type":"' || CASE page_id % 3 WHEN 0 THEN 'http' WHEN 1 THEN 'headless' ELSE 'crawl4ai' END
+  || '","priority":' || page_id % 5 + 1 || CASE WHEN page_id % 4 = 0 THEN '' ELSE ',"config":{{"timeout":' || CASE page_id % 4 WHEN 1 THEN 30 ELSE 10 END || ',"retries":' || CASE page_id % 4 WHEN 2 THEN 0 ELSE 3 END
+  || ',"user_agent":"u","headers":{{}},"follow_redirects":' || CASE page_id % 4 WHEN 3 THEN 'false' ELSE 'true' END || '}}' END || '}}' AS data FROM pages""")
+def task_message_bodies(spark, d):
+    """Queue messages with their whole bodies; missing settings are filled, a task without settings has none."""
+    m = F.col("page_id") % 4
+    given = F.when(m > 0, F.struct(
+        F.when(m > 1, F.lit(10)).alias("timeout"), F.when(m == 2, F.lit(0)).alias("retries"), F.lit("u").alias("user_agent"),
+        F.lit(None).cast("map<string,string>").alias("headers"), F.when(m == 3, F.lit(False)).alias("follow_redirects")))
+    kind = F.when(F.col("page_id") % 3 == 0, "http").when(F.col("page_id") % 3 == 1, "headless").otherwise("crawl4ai")
+    tasks = table(spark, d, "pages").withColumn("given", given).select(
+        F.col("page_id").alias("task_id"), (F.col("page_id") % 7).alias("job_id"), "url", kind.alias("worker_type"), (F.col("page_id") % 5 + 1).alias("priority"),
+        R.task_config(F.col("given")).alias("config"), F.lit(3).alias("max_retries"))
+    return FR.task_messages(tasks).select("id", "queue", "priority", "data")
