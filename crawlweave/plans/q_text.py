@@ -8,8 +8,10 @@ from crawlweave.functions import fixed as K
 from crawlweave.functions import text as X
 from crawlweave.operators import corpus as C
 from crawlweave.operators import search as SR
+from crawlweave.operators import word_index as WX
 from crawlweave.plans import sqltext as S
 from crawlweave.plans.registry import query, table
+from crawlweave.session import fresh_path
 
 
 def docs(spark, d):
@@ -227,3 +229,19 @@ def text_urls_planted(spark, d):
 @query("locations_planted", f"SELECT DISTINCT doc_id, unnest({PLACES}) AS value FROM {PLANTED_DOCS}")
 def locations_planted(spark, d):
     return C.entities_long(planted(spark, d), ["locations"]).select("doc_id", "value")
+
+
+@query("word_search_indexed", f"""SELECT doc_id, len(h) AS hits FROM (SELECT doc_id, list_filter({S.all_of('lower(text)', K.TOKEN)}, lambda t: t IN ('the', 'with', 'and')) AS h FROM documents)
+WHERE len(list_distinct(h)) = 3""")
+def word_search_indexed(spark, d):
+    path = fresh_path(spark, "word-index")
+    WX.build_index(docs(spark, d), path)
+    return WX.search(spark, path, ["the", "With", "and"])
+
+
+@query("phrase_search", f"""WITH t AS (SELECT doc_id, {S.all_of('lower(text)', K.TOKEN)} AS w FROM documents),
+h AS (SELECT doc_id, len([i for i in range(1, len(w)) if w[i] = 'the' AND w[i + 1] = 'of']) AS hits FROM t) SELECT doc_id, hits FROM h WHERE hits > 0""")
+def phrase_search(spark, d):
+    path = fresh_path(spark, "word-index")
+    WX.build_index(docs(spark, d), path)
+    return WX.phrase_search(spark, path, ["the", "of"])
