@@ -59,6 +59,27 @@ def percentiles(
     )
 
 
+SKETCH_K = 1_000
+RANK_ERROR = 0.01  # of a sketch with SKETCH_K, whatever the number of values
+
+
+def percentile_sketches(df: DataFrame, ts: str, labels: Sequence[str], value: str, every: str = "hour") -> DataFrame:
+    """(labels, period, n, sketch): one mergeable quantile sketch for each label and period, to be stored and rolled up later."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*labels, F.date_trunc(every, ts).alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(SKETCH_K)).alias("sketch")
+    )
+
+
+def percentiles_of_sketches(
+    sketches: DataFrame, labels: Sequence[str], points: Sequence[float] = (0.5, 0.95, 0.99), start: Column | None = None, end: Column | None = None
+) -> DataFrame:
+    """Percentiles of all values from ``start`` up to ``end``, from stored sketches alone, each within ``RANK_ERROR`` of its rank."""
+    for bound in (None if start is None else F.col("period") >= start, None if end is None else F.col("period") < end):
+        sketches = sketches if bound is None else sketches.filter(bound)
+    merged = sketches.groupBy(*labels).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(SKETCH_K)).alias("_all"))
+    return merged.select(*labels, "n", *[F.kll_sketch_get_quantile_double("_all", F.lit(p).cast("double")).alias(f"p{round(p * 100)}") for p in points])
+
+
 def success_rate(df: DataFrame, ts: str, ok: Column, window: str = "5 minutes", slide: str | None = None) -> DataFrame:
     """Requests, success and error percentage per time window."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)

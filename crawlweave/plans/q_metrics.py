@@ -10,8 +10,10 @@ from crawlweave.operators import messages as MS
 from crawlweave.operators import metrics as M
 from crawlweave.operators import ordered as O
 from crawlweave.operators import source_health as H
+from crawlweave.operators.skew import join_lookup
 from crawlweave.plans import views as V
 from crawlweave.plans.registry import query, table
+from crawlweave.session import fresh_path
 
 NOW = f"TIMESTAMP '{V.AS_OF}'"
 FAILED = F.col
@@ -55,6 +57,24 @@ def percentiles(spark, d):
     return p.withColumns({c: F.round(c, 6) for c in ("p50", "p95", "p99")})
 
 
+@query("percentiles_rollup", """SELECT event_type, count(*) AS n, TRUE AS p50_near, TRUE AS p95_near, TRUE AS p99_near FROM events
+WHERE value IS NOT NULL AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20 13:00:00' GROUP BY event_type""")
+def percentiles_rollup(spark, d):
+    """Hourly sketches are stored and rolled up to a range; each percentile's place among the raw values is within the stated error."""
+    path = fresh_path(spark, "sketches")
+    e = events(spark, d)
+    M.percentile_sketches(e, "ts", ["event_type"], "value").write.parquet(path)
+    start, end = F.lit("2024-01-05").cast("timestamp_ntz"), F.lit("2024-01-20 13:00:00").cast("timestamp_ntz")
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = M.percentiles_of_sketches(spark.read.parquet(path), ["event_type"], list(points.values()), start, end)
+    raw = e.filter(F.col("value").isNotNull() & (F.col("ts") >= start) & (F.col("ts") < end)).select("event_type", "value")
+    places = join_lookup(raw, found, ["event_type"], "inner").groupBy("event_type", "n").agg(
+        *[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(f"le_{p}") for p in points], *[F.avg((F.col("value") < F.col(p)).cast("double")).alias(f"lt_{p}") for p in points]
+    )
+    near = lambda p, x: ((F.col(f"lt_{p}") <= x + M.RANK_ERROR) & (F.col(f"le_{p}") >= x - M.RANK_ERROR)).alias(f"{p}_near")
+    return places.select("event_type", "n", *[near(p, x) for p, x in points.items()])
+
+
 @query("success_rate", """SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS total, count(*) FILTER (event_type <> 'error') AS ok,
   round(count(*) FILTER (event_type <> 'error') / count(*) * 100, 6) AS success_pct, round(count(*) FILTER (event_type = 'error') / count(*) * 100, 6) AS error_pct
 FROM events GROUP BY 1""")
