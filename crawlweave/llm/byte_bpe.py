@@ -23,17 +23,18 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlweave.llm.columns import packed
-from crawlweave.llm.words import mix
+from crawlweave.llm.words import mix, tidy
 
 VOCAB_BYTES = 64 << 20
-SLICE_CHARS = 1 << 20
-CACHED_MISSES = 400_000  # in each of two generations
+SLICE_CHARS = 1 << 18
+CACHED_MISSES = 60_000  # in each of two generations
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -233,14 +234,12 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(shared.value, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy().astype(np.int64))
             lo = 0
-            while lo < len(texts):  # ids of a slice only are held at a time
-                hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= 4 * SLICE_CHARS):
-                    chars += len(texts[hi])
-                    hi += 1
-                ids = codec.encode(texts[lo:hi])
+            while lo < batch.num_rows:  # texts and ids of a slice only are held at a time
+                before = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + 2 * SLICE_CHARS, "right")))
+                ids = codec.encode([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()])
                 raw = [x.astype("<u4").tobytes() for x in ids]
                 columns = [
                     pa.array([len(x) for x in ids], pa.int64()),
@@ -252,7 +251,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str, text: str = "te
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), *columns], names=schema.fieldNames())
                 lo = hi
 
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(tidy(run), schema)
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "text") -> DataFrame:
