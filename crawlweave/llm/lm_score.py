@@ -1,14 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are words (A-Z lower-cased, cut at ``[\\x20\\x09-\\x0D]``) and one end per text. Exact counts of all training
-tokens and token pairs are gathered by hash range. The filter holds every n-gram, those seen once too: one of count c
-is entered at levels 1 to 1 + floor(log2(c)), and a reader probes level after level until one is missing, which gives
-the count to a power of two. The filter grows with the measured number of entries. It is cut by hash into parts of at
-most ``MAX_BITS`` bits, each broadcast by itself; a task that meets several parts asks ``HOLD`` tokens or so of each
-part in turn and has one part in memory at a time. So scores don't depend on the size of the corpus, and memory doesn't
-either.
-
-p(w | v) = (1 - MIX) (c(w) + 1) / (N + V + 1) + MIX c(v w) / c(v), with counts read from the filter.
+tokens and token pairs are gathered by hash range, and each range makes its part of the filter where its counts are. The
+filter holds every n-gram, those seen once too: one of count c is entered at levels 1 to q, the last whose threshold is at
+most c. Thresholds are exact up to ``EXACT`` and grow by ``STEP`` then. A reader probes for levels, which are
+nested, by doubling and halving until it has the last one there, which bounds the count from both sides. Ranges are packed into broadcasts of about ``PART_BYTES``; a task asks each
+for ``HOLD`` tokens at a time and has one in memory. So neither the scores nor the memory depend on the size of the corpus;
+the number of broadcasts does.
+
+p(w | v) = (1 - MIX) p(w) + MIX min(c(v w), c(v), c(w)) / (c(v) + e), p(w) = (c(w) + 1) / (N + V + 1), and p(w) alone after a
+v that was never seen. Counts of w and v w are read from below and c(v) in the divisor from above, and e is more than the
+followers that false positives may give a context (probes of the first level grow with the corpus, so e is small). So
+what the model gives to all words after a context adds up to 1 at most.
 
 The base score uses exact counts: the ``COMMON`` most frequent tokens are broadcast, all others are joined, so neither
 a hot token nor the vocabulary meets one task.
@@ -29,19 +32,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlweave.llm import counting
-from crawlweave.llm.words import U64, mix, split_words, tidy
+from crawlweave.llm.words import U64, give_back, mix, split_words, tidy
 from crawlweave.session import materialize
 
 MIX = 0.3
-PROBES = 4
-MAX_BITS = 1 << 29
-SEGMENT_BITS = 1 << 22
-PIECE = 1 << 17
-HOLD = 2_000_000
+EXACT, STEP = 8, 1.2
+MORE_PROBES = 12  # at the second level and further
+PART_BYTES = 16 << 20
+PIECE = 1 << 15
+HOLD = 1_000_000
 COMMON = 1_000_000
 START, END = U64(0x5374617274000001), U64(0x456E640000000003)
 TOP = U64(1 << 63)
-SLICE = 600
+SLICE = 200
+
+
+def _thresholds() -> np.ndarray:
+    found = list(range(1, EXACT + 1))
+    while found[-1] < 1 << 61:
+        found.append(max(found[-1] + 1, int(found[-1] * STEP)))
+    return np.array(found, np.int64)
+
+
+THRESHOLDS = _thresholds()
+LOW = np.append(0, THRESHOLDS)  # by level, 0 for n-grams that are not in the filter
+HIGH = np.append(0, np.append(THRESHOLDS[1:], 1 << 62) - 1)
 
 
 @dataclass
@@ -63,9 +78,43 @@ def tokens_of(column: pa.Array) -> Tokens:
     return Tokens(h, words.first + np.arange(len(words.first)))
 
 
-def gather_counts(training: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (bucket, n, hashes, counts): the lower half of the buckets holds tokens, the upper half pairs."""
-    ranges = 2 * counting.hash_ranges(training, text)
+def first_probes(tokens: float) -> int:
+    """Probes of the first level: one more whenever the corpus doubles, so that false followers of a context stay few."""
+    return max(8, int(np.ceil(np.log2(max(tokens, 1)))) - 12)
+
+
+def levels(counts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(THRESHOLDS, counts, "right")
+
+
+def _pair_of_hashes(hashes: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stride of an n-gram's places at a level."""
+    x = mix(hashes + np.asarray(level, U64) * U64(0xA24BAED4963EE407))
+    return x, ((x ^ (x >> U64(29))) * U64(0xBF58476D1CE4E5B9)) | U64(1)
+
+
+def _place(x: np.ndarray, y: np.ndarray, probe: int, bits: np.ndarray | int) -> np.ndarray:
+    return (((x + U64(probe) * y) >> U64(32)) * np.asarray(bits, U64)) >> U64(32)
+
+
+def make_filter(hashes: np.ndarray, counts: np.ndarray, probes: int) -> tuple[int, bytes]:
+    """Number of bits, about half of them set, and the bits."""
+    level = levels(counts)
+    many = len(hashes) * probes + int((level - 1).sum()) * MORE_PROBES
+    size = int(many / np.log(2)) + 64
+    bitmap = np.zeros(size, bool)
+    for q in range(1, int(level.max(initial=0)) + 1):
+        x, y = _pair_of_hashes(hashes[level >= q], q)
+        for i in range(probes if q == 1 else MORE_PROBES):
+            bitmap[_place(x, y, i, size)] = True
+    return size, np.packbits(bitmap, bitorder="little").tobytes()
+
+
+def gather_counts(training: DataFrame, ranges: int, probes: int, text: str = "text") -> DataFrame:
+    """Per bucket of hashes: number, total, size and bits of its filter, and how many n-grams each level has.
+
+    The lower half of the buckets holds tokens, with their hashes and counts; the upper half holds pairs.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts():
@@ -79,141 +128,150 @@ def gather_counts(training: DataFrame, text: str = "text") -> DataFrame:
 
     def add(table: pa.Table) -> pa.Table:
         h, n = counting.gathered(table)
+        size, bits = make_filter(h, n, probes)
+        pairs = bool(len(h) and h[0] >= TOP)
+        give_back()
         return pa.table({
-            "pairs": pa.array([bool(len(h) and h[0] >= TOP)]), "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()),
-            "hashes": pa.array([counting.pack_sorted(h)], pa.binary()), "counts": pa.array([n.astype(np.min_scalar_type(n.max(initial=0))).tobytes()], pa.binary()),
+            "bucket": table["bucket"].slice(0, 1), "pairs": pa.array([pairs]), "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(n.sum())], pa.int64()),
+            "size": pa.array([size], pa.int64()), "bits": pa.array([bits], pa.binary()), "levels": pa.array([np.bincount(levels(n)).tolist()], pa.list_(pa.int64())),
+            "hashes": pa.array([None if pairs else counting.pack_sorted(h)], pa.binary()), "counts": pa.array([None if pairs else n.tobytes()], pa.binary()),
         })
 
     sent = training.select(text).mapInArrow(tidy(send), counting.LIST_SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(add, "pairs boolean, n long, total long, hashes binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(
+        add, "bucket int, pairs boolean, n long, total long, size long, bits binary, levels array<long>, hashes binary, counts binary"
+    )
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+@dataclass
+class Filter:
+    """The filter of all buckets in broadcasts; ``where`` gives each bucket's broadcast, first bit and size."""
+
+    edges: np.ndarray
+    where: np.ndarray
+    parts: list[Broadcast]
+    probes: int
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The level of each n-gram, 0 where it is missing."""
+        keys, back = np.unique(hashes, return_inverse=True)  # in the order of the buckets, so that probes stay close together
+        cuts = np.concatenate([[0], np.searchsorted(keys, self.edges), [len(keys)]])
+        bucket = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        level, part = np.zeros(len(keys), np.int16), self.where[0, bucket]
+        for k, shared in enumerate(self.parts):
+            at = np.flatnonzero((part == k) & (self.where[2, bucket] > 0))
+            if not len(at):
+                continue
+            data = shared.value
+            for lo in range(0, len(at), PIECE):
+                some = at[lo : lo + PIECE]
+                level[some] = self._levels(data, keys[some], self.where[1, bucket[some]], self.where[2, bucket[some]].astype(U64))
+            if len(self.parts) > 1:  # it stays in the executor's file and is read again when asked again
+                del data
+                vars(shared).pop("_value", None)
+        return level[back]
+
+    def _levels(self, data: np.ndarray, hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Levels are nested, so they are searched by doubling, then by halving."""
+
+        def has(at: np.ndarray, level: np.ndarray | int, probes: int) -> np.ndarray:
+            x, y = _pair_of_hashes(hashes[at], level)
+            n, start, here = size[at], first[at], np.arange(len(at))
+            for i in range(probes):
+                place = _place(x, y, i, n).astype(np.int64) + start
+                ok = (data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                if not ok.all():
+                    x, y, n, start, here = x[ok], y[ok], n[ok], start[ok], here[ok]
+            out = np.zeros(len(at), bool)
+            out[here] = True
+            return out
+
+        low = has(np.arange(len(hashes)), 1, self.probes).astype(np.int16)
+        high, live, q = low + 1, np.flatnonzero(low), 2
+        while len(live):
+            ok = has(live, q, MORE_PROBES)
+            high[live[~ok]] = q
+            live = live[ok]
+            low[live], q = q, 2 * q
+        live = np.flatnonzero(high - low > 1)
+        while len(live):
+            middle = (low[live] + high[live]) // 2
+            ok = has(live, middle, MORE_PROBES)
+            low[live[ok]], high[live[~ok]] = middle[ok], middle[~ok]
+            live = live[high[live] - low[live] > 1]
+        return low
+
+
+def share_filter(counts: DataFrame, ranges: int, probes: int) -> Filter:
+    """Buckets packed into broadcasts, in order; the driver holds one broadcast at a time."""
+    sc, parts, held, size = counts.sparkSession.sparkContext, [], [], 0
+    where = np.zeros((3, ranges), np.int64)
+
+    def close() -> None:
+        parts.append(sc.broadcast(np.frombuffer(b"".join(held), np.uint8)))
+
+    for row in counts.select("bucket", "size", "bits").orderBy("bucket").toLocalIterator():
+        if held and size + len(row["bits"]) > PART_BYTES:
+            close()
+            held, size = [], 0
+        where[:, row["bucket"]] = len(parts), 8 * size, row["size"]
+        held.append(row["bits"])
+        size += len(row["bits"])
+    if held:
+        close()
+    return Filter((np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(U64), where, parts, probes)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
-        for i in range(batch.num_rows):
-            row = batch.slice(i, 1).to_pylist()[0]
-            n = row["n"]
-            yield row["pairs"], counting.unpack_sorted(row["hashes"], n), np.frombuffer(row["counts"], f"<u{len(row['counts']) // max(n, 1) or 1}").astype(np.int64)
-
-
-def _levels(counts: np.ndarray) -> np.ndarray:
-    return np.frexp(counts)[1]
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1).to_pylist()[0]
+            yield counting.unpack_sorted(one["hashes"], one["n"]), np.frombuffer(one["counts"], np.int64)
 
 
-def _owner(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """The part of the filter that holds an n-gram."""
-    return (mix(hashes ^ U64(0x5061727400000005)) >> U64(32)) % U64(parts)
+def spare_mass(distinct: int, probes: int) -> float:
+    """More than the number of words that a context gets by false positives: their mean and three deviations."""
+    false = distinct * 2.0**-probes
+    return 1 + false + 3 * false**0.5
 
 
-def _places(hashes: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
-    return mix(hashes + U64((level * PROBES + probe) * 0xA24BAED4963EE407 % (1 << 64))) & U64(bits - 1)
-
-
-def build_filter(counts: DataFrame, histogram: dict[int, int]) -> tuple[list[Broadcast], int]:
-    """The parts of the filter and the bits of each. Segments are set in parallel; the driver holds one part at a time."""
-    sizes, numbers = np.array(sorted(histogram), np.int64), np.array([histogram[c] for c in sorted(histogram)], np.int64)
-    need = int((_levels(sizes) * numbers).sum() * PROBES / np.log(2))
-    bits = min(MAX_BITS, max(SEGMENT_BITS, 1 << max(need - 1, 1).bit_length()))
-    parts = max(1, -(-need // bits))
-    each = bits // SEGMENT_BITS
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges = np.arange(0, parts * bits + 1, SEGMENT_BITS).astype(U64)
-        for _, all_h, all_n in _unpacked(batches):
-            for lo in range(0, len(all_h), PIECE):
-                h, level = all_h[lo : lo + PIECE], _levels(all_n[lo : lo + PIECE])
-                start, found = _owner(h, parts) * U64(bits), []
-                for q in range(1, int(level.max()) + 1):
-                    ok = level >= q
-                    found += [start[ok] + _places(h[ok], q, i, bits) for i in range(PROBES)]
-                places = np.concatenate(found)
-                places.sort()
-                cuts = np.searchsorted(places, edges)
-                spans = [(k, cuts[k], cuts[k + 1]) for k in np.flatnonzero(np.diff(cuts)).tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in spans], pa.int32()), pa.array([b - a for _, a, b in spans], pa.int32()),
-                     pa.array([(places[a:b] - edges[k]).astype("<u4").tobytes() for k, a, b in spans], pa.binary())],
-                    names=["segment", "n", "places"],
-                )
-
-    def fill(table: pa.Table) -> pa.Table:
-        bitmap = np.zeros(SEGMENT_BITS, bool)
-        for raw in table["places"]:
-            bitmap[np.frombuffer(raw.as_buffer(), "<u4")] = True
-        return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
-
-    segments = counts.mapInArrow(tidy(send), "segment int, n int, places binary").groupBy("segment").applyInArrow(fill, "segment int, bits binary")
-    segments = materialize(segments, "ngram-filter")
-    sc, shared, out = counts.sparkSession.sparkContext, [], np.zeros(bits // 8, np.uint8)
-    for row in segments.orderBy("segment").toLocalIterator():
-        part, lo = row["segment"] // each, row["segment"] % each * (SEGMENT_BITS // 8)
-        while len(shared) < part:
-            shared.append(sc.broadcast(out))
-            out = np.zeros(bits // 8, np.uint8)
-        out[lo : lo + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
-    while len(shared) < parts:
-        shared.append(sc.broadcast(out))
-        out = np.zeros(bits // 8, np.uint8)
-    return shared, bits
-
-
-def read_counts(hashes: np.ndarray, parts: list[Broadcast], bits: int) -> np.ndarray:
-    """Approximate count of each n-gram: 0, or the middle of its power of two."""
-    level = np.zeros(len(hashes), np.int64)
-    owner = _owner(hashes, len(parts))
-    for k, part in enumerate(parts):
-        live = np.flatnonzero(owner == U64(k))
-        data, q = part.value, 1
-        while len(live):
-            for i in range(PROBES):
-                at = _places(hashes[live], q, i, bits)
-                live = live[(data[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(live):
-                    break
-            level[live] = q
-            q += 1
-        if len(parts) > 1:  # it stays in the executor's file and is read again when asked again
-            del data
-            vars(part).pop("_value", None)
-    return np.where(level > 0, 2.0 ** (level - 0.5), 0.0)
+def smoothed(word: np.ndarray, pair: np.ndarray, before: np.ndarray, before_high: np.ndarray, mass: int, spare: float) -> np.ndarray:
+    """p(w | v) from counts read from below (``word``, ``pair``, ``before``) and from above (``before_high``)."""
+    alone = (word + 1) / mass
+    return np.where(before_high > 0, (1 - MIX) * alone + MIX * np.minimum(np.minimum(pair, before), word) / (before_high + spare), alone)
 
 
 def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row of ``docs``."""
     spark = docs.sparkSession
-    counts = materialize(gather_counts(training, text), "ngram-counts")
-    facts = counts.filter("not pairs").agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
+    ranges = 2 * counting.hash_ranges(training, text)
+    about = training.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) / 6).first()[0]
+    counts = materialize(gather_counts(training, ranges, first_probes(about), text), "ngram-counts")
+    single = counts.filter("not pairs")
+    facts = single.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v")).first()
     total, distinct = int(facts["n"]), int(facts["v"])
-
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pairs, _, n in _unpacked(batches):
-            c, k = np.unique(n, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([pairs] * len(c)), pa.array(c), pa.array(k)], names=["pairs", "c", "k"])
-
-    rows = counts.mapInArrow(tidy(histogram), "pairs boolean, c long, k long").groupBy("pairs", "c").agg(F.sum("k").alias("k")).collect()
-    all_counts: dict[int, int] = {}
-    for r in rows:
-        all_counts[r["c"]] = all_counts.get(r["c"], 0) + r["k"]
-    cut, room = 1, COMMON
-    for r in sorted((r for r in rows if not r["pairs"]), key=lambda r: -r["c"]):
-        room -= r["k"]
+    spread = single.select(F.posexplode("levels").alias("q", "k")).groupBy("q").agg(F.sum("k").alias("k"))
+    cut, room = int(THRESHOLDS[-1]), COMMON
+    for row in spread.filter("q > 0").orderBy(F.desc("q")).collect():  # at most one row a level
+        room -= row["k"]
         if room < 0:
-            cut = r["c"] + 1
             break
+        cut = int(LOW[row["q"]])
 
     def flat(low: int, high: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for _, h, n in _unpacked(batches):
+            for h, n in _unpacked(batches):
                 ok = (n >= low) & (n < high)
                 yield pa.RecordBatch.from_arrays([pa.array(h[ok].view(np.int64)), pa.array(n[ok])], names=["hash", "c"])
 
-        return counts.filter("not pairs").mapInArrow(tidy(run), "hash long, c long")
+        return single.select("n", "hashes", "counts").mapInArrow(tidy(run), "hash long, c long")
 
     common = flat(cut, 1 << 62).toArrow().sort_by("hash")
     known = (common["hash"].to_numpy().view(U64), common["c"].to_numpy())
-    parts, bits = build_filter(counts, all_counts)
+    grams = share_filter(counts, ranges, first_probes(about))
     model = spark.sparkContext.broadcast(known)
-    n_texts = float(training.count())
+    n_texts = training.count()
+    spare = spare_mass(distinct, grams.probes)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes = model.value
@@ -225,14 +283,14 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
                 one, back = np.unique(t.hashes, return_inverse=True)
                 held.append((part.column(0), t, one, back))
                 size += len(t.hashes)
-                if len(parts) == 1 or size >= HOLD:
+                if len(grams.parts) == 1 or size >= HOLD:
                     yield from answer(held, names, sizes)
                     held, size = [], 0
         if held:
             yield from answer(held, names, sizes)
 
     def answer(held: list, names: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = read_counts(np.concatenate([x for _, t, one, _ in held for x in (one, t.pairs())]), parts, bits)
+        found = grams.levels(np.concatenate([x for _, t, one, _ in held for x in (one, t.pairs())]))
         spot = 0
         for ids, t, one, back in held:
             about, both = found[spot : spot + len(one)], found[spot + len(one) : spot + len(one) + len(back)]
@@ -241,12 +299,11 @@ def score_texts(docs: DataFrame, training: DataFrame, text: str = "text", key: s
             if len(names):
                 at = np.minimum(np.searchsorted(names, one), len(names) - 1)
                 exact = np.where(names[at] == one, sizes[at], 0)
-            c = about[back]
-            before = np.empty(len(c))
-            before[1:] = c[:-1]
-            before[t.first[:-1]] = n_texts
-            ratio = np.where(before > 0, np.minimum(both / np.maximum(before, 1), 1), 0)
-            p = (1 - MIX) * (np.maximum(c, 0.5) + 1) / (total + distinct + 1) + MIX * ratio
+            q = about[back]
+            before_low, before_high = np.empty(len(q), np.int64), np.empty(len(q), np.int64)
+            before_low[1:], before_high[1:] = LOW[q[:-1]], HIGH[q[:-1]]
+            before_low[t.first[:-1]] = before_high[t.first[:-1]] = n_texts
+            p = smoothed(LOW[q], LOW[both], before_low, before_high, total + distinct + 1, spare)
             own = exact[back]
             sums = [np.add.reduceat(x, t.first[:-1]) for x in (np.log10(p), np.log10(own + 1.0), (own > 0).astype(np.int64))]
             rare = np.flatnonzero(own == 0)

@@ -60,7 +60,8 @@ def test_suffix_dedup_equals_brute_force(spark, window, gram, first, cell):
 
 
 def test_suffix_dedup_null_ids_repeated_rows_and_empty_tables(spark):
-    t = "".join(random.Random(3).choice("pqrst") for _ in range(300))
+    rnd = random.Random(3)
+    t = "".join(rnd.choice("pqrst") for _ in range(300))
     df = spark.createDataFrame([(None, t), (2, t), (2, t), (None, None), (1, "short")], "doc_id long, text string")
     rows = suffix_dedup.remove_repeats(df).collect()
     assert sorted((-1 if r["id"] is None else r["id"], r["n_bytes"], r["n_removed"]) for r in rows) == [(-1, 0, 0), (-1, 300, 300), (1, 5, 0), (2, 300, 0), (2, 300, 300)]
