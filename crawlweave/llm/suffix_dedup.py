@@ -249,16 +249,13 @@ class Doubling:
         return keys
 
 
-def _tail(table: pa.Table, work: list[tuple]) -> pa.Table:
-    give_back()
-    return _messages(work)
-
-
 def _send_samples(table: pa.Table, ranges: int, window: int, gram: int, first: int) -> pa.Table:
     cell = Cell(table, window)
     keys = Doubling(cell, ranges, gram, first)
     at = keys.samples.lo[keys.sample_keys.first]
-    return _tail(table, keys.sample_keys.rows(cell.number, 0, True, cell.places(at)))
+    rows = keys.sample_keys.rows(cell.number, 0, True, cell.places(at))
+    give_back()
+    return _messages(rows)
 
 
 def _send_ranks(table: pa.Table, answers: pa.Table, step: int, ranges: int, window: int, gram: int, first: int) -> pa.Table:
@@ -270,7 +267,8 @@ def _send_ranks(table: pa.Table, answers: pa.Table, step: int, ranges: int, wind
     keys = rounds.rank({r: given.get(r, {}) for r in range(step)})
     last = step == len(rounds.lengths)
     rows = keys.rows(cell.number, step, step > 1, cell.places(rounds.at[keys.first]) if last else None)
-    return _tail(table, rows + _passed_on(answers, cell.number))
+    give_back()
+    return _messages(rows + _passed_on(answers, cell.number))
 
 
 def _sorted_keys(table: pa.Table, second: bool, places: bool):
