@@ -8,10 +8,12 @@ from crawlweave.functions import html as H
 from crawlweave.operators import page_jobs as P
 from crawlweave.operators import page_tree as T
 from crawlweave.operators import search as SR
+from crawlweave.operators import vector_index as VX
 from crawlweave.operators.strategies import extract
 from crawlweave.plans import sqltext as S
 from crawlweave.plans import views as V
 from crawlweave.plans.registry import query, table
+from crawlweave.session import fresh_path
 
 
 @query("page_title", f"SELECT page_id, {S.page_title('html')} AS title FROM pages")
@@ -245,6 +247,19 @@ def semantic_topk(spark, d):
     return out.select("vec_id", "label", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
+@query("semantic_topk_indexed", """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, 1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))
+   / (sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))) AS distance
+   FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, round(distance, 6) + 0 AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), vec_id) AS rank FROM s) WHERE rank <= 5""")
+def semantic_topk_indexed(spark, d):
+    """The five nearest of every twentieth vector, through the index, exact."""
+    path = fresh_path(spark, "vector-index")
+    e = table(spark, d, "embeddings")
+    VX.build_index(e, path)
+    found = VX.search(spark, path, e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
+
+
 BLOCKS = f"""
 blocks AS (SELECT page_id, block_no, block FROM (
   SELECT page_id, unnest(range(len(bs))) AS block_no, unnest(bs) AS block FROM (
