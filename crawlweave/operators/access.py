@@ -62,11 +62,12 @@ def by_id(df: DataFrame, key: str, value) -> DataFrame:
 def jobs_with_tasks(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
     """Left join, written as inner join plus the jobs without tasks.
 
-    In an inner join AQE may split a job with very many tasks; in a left join it may not.
+    In an inner join AQE may split a job with very many tasks; in a left join it may not. Jobs are
+    hashed and tasks stream past them, so no task of the job sorts or holds its part of all tasks.
     """
     t = tasks.select(*[F.col(c).alias(c if c == "job_id" else f"task_{c.removeprefix('task_')}") for c in tasks.columns])
-    idle = jobs.join(tasks.select("job_id").distinct(), "job_id", "left_anti")
-    return jobs.join(t, "job_id").unionByName(idle, allowMissingColumns=True)
+    idle = jobs.join(tasks.select("job_id").distinct().hint("shuffle_hash"), "job_id", "left_anti")
+    return jobs.hint("shuffle_hash").join(t, "job_id").unionByName(idle, allowMissingColumns=True)
 
 
 def tasks_with_results(tasks: DataFrame, results: DataFrame) -> DataFrame:
