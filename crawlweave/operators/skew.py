@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 HOT_ROWS = 1_000_000
+PART_ROWS = 500_000
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -28,14 +29,18 @@ def join_lookup(
 
     Broadcast when that table is measured to be small. Otherwise facts are salted and the
     table is repeated per salt, so a key with a third of all facts is shared by ``salts``
-    tasks (AQE's own skew split does not apply when a side is an aggregate).
+    tasks (AQE's own skew split does not apply when a side is an aggregate). A task hashes
+    its part of the table, at most about ``PART_ROWS`` rows, and streams the facts past it,
+    so facts as wide as whole texts are never sorted or held.
     """
     on = list(keys)
     if is_small(lookup, max_rows):
         return facts.join(F.broadcast(lookup), on, how)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    parts = max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), lookup.count() * salts // PART_ROWS + 1)
+    salted, repeated = salted.repartition(parts, *on, "_salt"), repeated.repartition(parts, *on, "_salt")
+    return salted.join(repeated.hint("shuffle_hash"), [*on, "_salt"], how).drop("_salt")
 
 
 def join_groups(
