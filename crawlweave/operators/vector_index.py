@@ -60,18 +60,31 @@ def build_index(vectors: DataFrame, path: str, key: str = "vec_id", vector: str
     split.select("id", "unit", "cell", "part").hint("rebalance", "cell", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, without a Python number for each value."""
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]).reshape(len(vectors), -1)
+
+
+def _least(ids: np.ndarray, distance: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` smallest distances, ties by id; only those up to the k-th distance are sorted."""
+    if len(ids) <= k:
+        return np.lexsort((ids, distance))
+    near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])
+    return near[np.lexsort((ids[near], distance[near]))[:k]]
+
+
 def _probe(rows: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(query_id, id, distance): the ``k`` nearest of each part that a query asks."""
 
     def nearest(here: pa.Table, asked: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if here.num_rows and asked.num_rows:
-            ids, unit = here["id"].to_numpy(), np.array(here["unit"].to_pylist())
+            ids, unit = here["id"].to_numpy(), _matrix(here["unit"])
             for lo in range(0, asked.num_rows, QUERY_SLICE):
                 some = asked.slice(lo, QUERY_SLICE)
-                far = np.round(1 - np.array(some["q"].to_pylist()) @ unit.T, 12)
+                far = np.round(1 - _matrix(some["q"]) @ unit.T, 12)
                 for query, d in zip(some["query_id"].to_pylist(), far, strict=True):
-                    best = np.lexsort((ids, d))[:k]
+                    best = _least(ids, d, k)
                     found.append((np.full(len(best), query, np.int64), ids[best], d[best]))
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table(dict(zip(("query_id", "id", "distance"), columns, strict=True)))
