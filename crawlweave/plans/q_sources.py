@@ -96,7 +96,10 @@ def read_url_json_errors(spark, d):
     path = fresh_path(spark, "url-json")
     u = F.concat(F.lit('["'), "url", F.lit('"]'))
     body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("oops "), u)).otherwise(u)
-    table(spark, d, "pages").select(body.alias("value"), F.col("page_id").alias("f")).write.partitionBy("f").text(path)
+    # one file a page, in one folder: a folder each would be made, listed and renamed one by one; a task's pages of one id share a file
+    lines = F.array_join(F.collect_list(F.coalesce(body, F.lit(""))), "\n").alias("value")
+    files = table(spark, d, "pages").withColumn("task", F.spark_partition_id()).groupBy("task", "page_id").agg(lines).select("value")
+    files.write.option("maxRecordsPerFile", 1).text(path)
     return UF.read_url_json(spark, path, glob="*.txt").groupBy(F.col("error").isNotNull().alias("bad")).agg(F.count("*").alias("n"))
 
 
