@@ -99,9 +99,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``id``, ``n``, ``digest`` of the set, ``prefix`` (8 bytes a token), ``grp``, ``sketch`` and ``wide`` of each row.
+    """``id``, ``n``, ``digest`` of the set, ``prefix`` (8 bytes a token), ``grp`` and ``wide`` of each row.
 
-    ``wide`` is a sketch with at least two bits for each token; ``sketch`` is the same folded to a fixed size.
+    ``wide`` is a parity sketch with at least two bits for each token; ``_sketch`` folds it to a fixed size where groups meet.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs, size, text))
 
@@ -114,7 +114,7 @@ def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text",
                 for s in text_sets(part.column(1), size):
                     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if not len(s):
-                        rows.append((0, digest, b"", digest, None, None))
+                        rows.append((0, digest, b"", digest, None))
                         continue
                     order = np.zeros(len(s), np.int64)
                     if len(known):
@@ -127,18 +127,17 @@ def describe_sets(docs: DataFrame, size: int, percent: int, text: str = "text",
                         longs *= 2
                     bits = np.bincount((s >> U64(20)).astype(np.int64) & (64 * longs - 1), minlength=64 * longs) & 1
                     wide = np.packbits(bits.astype(np.uint8)).view(np.int64)
-                    sketch = np.bitwise_xor.reduce(wide.reshape(-1, SKETCH_LONGS), axis=0)
                     group = hashlib.blake2b(len(s).to_bytes(8, "little") + prefix, digest_size=16).digest()
-                    rows.append((len(s), digest, prefix, group, sketch.tolist(), wide.tolist()))
-                n, digest, prefix, group, sketch, wides = zip(*rows, strict=True)
+                    rows.append((len(s), digest, prefix, group, wide.tolist()))
+                n, digest, prefix, group, wides = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(prefix, pa.binary()),
-                     pa.array(group, pa.binary()), pa.array(sketch, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64()))],
-                    names=["id", "n", "digest", "prefix", "grp", "sketch", "wide"],
+                     pa.array(group, pa.binary()), pa.array(wides, pa.list_(pa.int64()))],
+                    names=["id", "n", "digest", "prefix", "grp", "wide"],
                 )
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"id {kind}, n long, digest binary, prefix binary, grp binary, sketch array<long>, wide array<long>"
+    schema = f"id {kind}, n long, digest binary, prefix binary, grp binary, wide array<long>"
     return docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInArrow(tidy(run), schema)
 
 
@@ -157,6 +156,13 @@ def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
+def _sketch(wide: Column) -> Column:
+    """A wide sketch folded to ``SKETCH_LONGS``; it differs in no more bits than the wide ones do."""
+    parts = F.sequence(F.lit(0), (F.size(wide) / SKETCH_LONGS).cast("int") - 1)
+    fold = lambda i: F.aggregate(parts, F.lit(0).cast("long"), lambda x, k: x.bitwiseXOR(wide[k * SKETCH_LONGS + i]))
+    return F.array(*[fold(i) for i in range(SKETCH_LONGS)])
+
+
 def _bits_apart(a: str, b: str) -> Column:
     total = F.lit(0)
     for i in range(SKETCH_LONGS):
@@ -164,12 +170,14 @@ def _bits_apart(a: str, b: str) -> Column:
     return total
 
 
-def _may_link(percent: int, a: str = "a", b: str = "b") -> Column:
+def _sizes_may_link(percent: int) -> Column:
+    return F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+
+
+def _may_link(percent: int) -> Column:
     """False only where sizes or sketches prove that the sets do not link; a null sketch proves nothing."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    sizes = F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-    apart = F.coalesce(_bits_apart(f"{a}.sketch", f"{b}.sketch"), F.lit(0))
-    return sizes & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+    apart = F.coalesce(_bits_apart("a.sketch", "b.sketch"), F.lit(0))
+    return _sizes_may_link(percent) & (apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent))
 
 
 def _wide_may_link(percent: int) -> Column:
@@ -191,9 +199,12 @@ def _may_share(percent: int) -> Column:
     return (room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent) & _may_link(percent)
 
 
-def shared_entries(sets: DataFrame) -> DataFrame:
-    """(token, gid, left, c): prefix tokens that at least two groups have, and how many have them."""
-    groups = sets.groupBy("grp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+def shared_entries(rows: DataFrame) -> DataFrame:
+    """(token, gid, left, c): prefix tokens that at least two groups have, and how many have them.
+
+    Rows of equal sets are of one group, so groups are made from the rows and prefixes are shuffled once.
+    """
+    groups = rows.groupBy("grp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     tokens = groups.select("gid", "n", "prefix").mapInArrow(tidy(_prefix_tokens), "token long, gid long, left long")
     return tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
 
@@ -205,9 +216,9 @@ def _crowded(entries: DataFrame) -> DataFrame:
 
 def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Group pairs (ga, gb) as pairs of member digests that may link and are not of one class."""
-    member = sets.select("gid", F.struct("digest", "n", "sketch", "wide", "label").alias("m"))
+    member = sets.select("gid", F.struct("digest", "n", "wide", "label").alias("m"))  # the wide sketch proves all that the folded one does
     left, right = member.select(F.col("gid").alias("ga"), F.col("m").alias("a")), member.select(F.col("gid").alias("gb"), F.col("m").alias("b"))
-    found = pairs.join(left, "ga").join(right, "gb").filter(_may_link(percent) & (F.col("a.label") != F.col("b.label")))
+    found = pairs.join(left, "ga").join(right, "gb").filter(_sizes_may_link(percent) & (F.col("a.label") != F.col("b.label")))
     # sets of up to five sixths the size differ by one doubling at most, so one fold is enough
     found = found.filter(_wide_may_link(percent))
     return found.select(F.least("a.digest", "b.digest").alias("a"), F.greatest("a.digest", "b.digest").alias("b")).distinct()
@@ -216,7 +227,7 @@ def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _facts(sets: DataFrame) -> DataFrame:
     """Per group: size, and the sketch and class of its member if it has only one."""
     one = F.count(F.lit(1)) == 1
-    return sets.groupBy("gid").agg(
+    return sets.select("gid", "n", "label", _sketch(F.col("wide")).alias("sketch")).groupBy("gid").agg(
         F.first("n").alias("n"), F.when(one, F.first("sketch")).alias("sketch"), F.when(one, F.xxhash64(F.first("label"))).alias("label")
     )
 
@@ -248,11 +259,11 @@ def remaining_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFr
     side = lambda name: own.select("token", F.struct("gid", "n", "left", "sketch", "label").alias(name))
     pairs = side("a").join(side("b"), "token").filter((F.col("a.gid") < F.col("b.gid")) & _labels_differ() & _may_share(percent))
     across = _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
-    member = sets.select("gid", F.struct("digest", "n", "sketch", "wide", "label").alias("m"))
+    member = sets.select("gid", F.struct("digest", "n", "wide", "label").alias("m"))
     several = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
     within = member.join(several, "gid", "left_semi")
     inside = within.withColumnRenamed("m", "a").join(within.withColumnRenamed("m", "b"), "gid").filter(
-        (F.col("a.digest") < F.col("b.digest")) & (F.col("a.label") != F.col("b.label")) & _may_link(percent) & _wide_may_link(percent)
+        (F.col("a.digest") < F.col("b.digest")) & (F.col("a.label") != F.col("b.label")) & _sizes_may_link(percent) & _wide_may_link(percent)
     )
     return across.unionByName(inside.select("a.digest", F.col("b.digest").alias("other")).toDF("a", "b"))
 
@@ -327,19 +338,18 @@ def joined_classes(known: DataFrame, links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each input row: ``id``, ``n`` (set size) and ``class_id``, the smallest id of its class."""
     described = materialize(describe_sets(docs, size, percent, text, key), "jaccard-sets")
-    full = described.filter("n > 0")
-    sets = full.groupBy("digest").agg(
-        F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("grp").alias("grp"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")
-    ).withColumn("gid", F.xxhash64("grp"))
-    entries = materialize(shared_entries(sets), "jaccard-entries")
-    slim = materialize(sets.join(entries.select("gid").distinct(), "gid", "left_semi").unionByName(_several(sets)).select("digest", "gid", "n", "sketch", "wide").dropDuplicates(["digest"]), "jaccard-members")
+    full = described.filter("n > 0").withColumn("gid", F.xxhash64("grp"))
+    entries = materialize(shared_entries(full), "jaccard-entries")
+    paired = entries.select("gid").unionByName(_several(full)).distinct()
+    sets = full.groupBy("digest").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("wide").alias("wide"))
+    slim = materialize(sets.join(paired, "gid", "left_semi").select("digest", "gid", "n", "wide"), "jaccard-members")
     apart = slim.withColumn("label", F.col("digest"))
     reps = materialize(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
     near = materialize(neighbour_pairs(entries, apart, percent), "jaccard-near")
     known = connected(verified_links(docs, reps, near, size, percent, text, key))
 
     def classed() -> DataFrame:
-        return slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "sketch", "wide", F.coalesce("label", "digest").alias("label"))
+        return slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "wide", F.coalesce("label", "digest").alias("label"))
 
     for turn in range(1, MIXED_TURNS + 1):
         near = materialize(neighbour_pairs(entries, classed(), percent, turn), "jaccard-near")
@@ -355,10 +365,9 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
     return placed.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("class_id")))
 
 
-def _several(sets: DataFrame) -> DataFrame:
-    """The sets of groups with more than one."""
-    many = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
-    return sets.join(many, "gid", "left_semi")
+def _several(rows: DataFrame) -> DataFrame:
+    """The groups of more than one set."""
+    return rows.select("gid", "digest").distinct().groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
