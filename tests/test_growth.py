@@ -1,9 +1,20 @@
 """Steps whose memory, shuffles or files used to grow faster than their input."""
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
+from crawlweave.llm import jaccard_join as J
+from crawlweave.operators import access as AC
+from crawlweave.operators import page_tree as PT
+from crawlweave.operators import skew as SK
+from crawlweave.operators import vector_index as VX
 from crawlweave.operators import word_index as WX
+from crawlweave.plans import q_sources
+from crawlweave.sources import url_files as UF
 from crawlweave.session import fresh_path
 
 
@@ -28,3 +39,74 @@ def test_index_of_repeated_and_missing_ids(spark, monkeypatch):
     assert got == want | {("the", None): [0, 1], ("of", None): [0, 1, 2]}
     stored = spark.read.parquet(path)
     assert stored.count() == stored.select("term", "block").distinct().count()
+
+
+def test_pages_are_parsed_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["u"] * 300), pa.array(["x" * 1_000_000 if i < 10 else None for i in range(300)])], names=["page_id", "url", "html"])
+    parts = list(PT._slices(batch, 2))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows <= PT.SLICE_PAGES and sum(len(x.as_py() or "") for x in p.column(2)) <= PT.SLICE_BYTES for p in parts)
+
+
+def test_page_trees_stay_in_arrow(spark):
+    pages = spark.createDataFrame([(i, "u", "<ul><li>a</li></ul>" if i % 3 else None) for i in range(200)], "page_id long, url string, html string")
+    trees = PT.page_trees(pages, ["lists", "markdown"])
+    assert "MapInArrow" in trees._jdf.queryExecution().executedPlan().toString()
+    got = {r["page_id"]: (r["lists"], r["markdown"]) for r in trees.collect()}
+    assert len(got) == 200 and got[3] == ([], "") and got[1] == ([("ul", ["a"])], "- a")
+
+
+def test_a_large_lookup_does_not_sort_the_facts(spark):
+    facts = spark.createDataFrame([(i % 20 if i % 21 else None, i, "t") for i in range(500)], "k int, i int, text string")
+    lookup = spark.createDataFrame([(k, k * 2) for k in range(0, 40, 2)], "k int, v int")
+    for how in ("inner", "left"):
+        joined = SK.join_lookup(facts, lookup, ["k"], how, max_rows=5)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort " not in plan
+        want = facts.join(lookup, ["k"], how)
+        assert sorted(joined.collect(), key=str) == sorted(want.select(joined.columns).collect(), key=str)
+
+
+def test_nearest_places_equal_a_full_sort():
+    rnd = np.random.default_rng(1)
+    for n in (1, 4, 5, 6, 300):
+        ids, far = rnd.permutation(n), rnd.integers(0, 4, n) / 4
+        calls = VX._least(ids, far, 5)
+        assert calls.tolist() == np.lexsort((ids, far))[:5].tolist()
+
+
+def test_one_file_a_page_without_folders(spark, sf):
+    seen, read = [], UF.read_url_json
+
+    def look(session, path, **kw):
+        seen.append([x for x in Path(path).iterdir() if x.is_dir()])
+        return read(session, path, **kw)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(UF, "read_url_json", look)
+        got = {r["bad"]: r["n"] for r in q_sources.read_url_json_errors(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    assert seen == [[]] and got == {True: pages.filter("page_id % 3 = 0").count(), False: pages.filter("page_id % 3 <> 0").count()}
+
+
+def test_jobs_with_tasks_do_not_sort_the_tasks(spark):
+    jobs = spark.createDataFrame([(i, "s") for i in (1, 2, 2, 3, None)], "job_id int, status string")
+    tasks = spark.createDataFrame([(10, 1), (11, 2), (12, 2), (13, None), (14, 9)], "task_id int, job_id int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = AC.jobs_with_tasks(jobs, tasks)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        got = sorted(((r["job_id"], r["task_id"]) for r in joined.collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("ShuffledHashJoin") == 2 and "SortMergeJoin" not in plan
+    assert got == sorted([(1, 10), (2, 11), (2, 12), (2, 11), (2, 12), (3, None), (None, None)], key=str)
+
+
+def test_only_wide_sketches_are_stored(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(700))), (2, "a b c d"), (3, None)], "doc_id long, text string")
+    rows = J.describe_sets(docs, 3, 90)
+    assert "sketch" not in rows.columns
+    for r in rows.filter("n > 0").withColumn("sketch", J._sketch(F.col("wide"))).collect():
+        want = np.bitwise_xor.reduce(np.array(r["wide"], np.int64).reshape(-1, J.SKETCH_LONGS), axis=0)
+        assert r["sketch"] == want.tolist()
