@@ -24,12 +24,13 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
 
 
-WS_RUN = f"(?:[{K.WS_ODD_SET}][{K.WS_SET}]*| [{K.WS_SET}]+)"
+# the range rejects letters at once, the look-behind then tests the whole class on few characters
+WS_ODD = f"[^ -~](?<=[{K.WS_ODD_SET}])"
 
 
 def collapse_ws(c: Column) -> Column:
     """Whitespace runs to one space; single plain spaces are left alone, not rewritten."""
-    return F.regexp_replace(c, WS_RUN, " ")
+    return F.regexp_replace(F.regexp_replace(c, WS_ODD, " "), "  +", " ")
 
 
 def clean_text(c: Column) -> Column:
@@ -39,7 +40,12 @@ def clean_text(c: Column) -> Column:
 
 def clean_content(c: Column) -> Column:
     """Keep words, whitespace and basic punctuation; a run of .!? becomes its last mark."""
-    kept = F.regexp_replace(collapse_ws(_s(c)), K.CONTENT_DROP, "")
+    return clean_flat(collapse_ws(_s(c)))
+
+
+def clean_flat(flat: Column) -> Column:
+    """``clean_content`` of a text whose whitespace is collapsed."""
+    kept = F.regexp_replace(flat, K.CONTENT_DROP, "")
     return F.trim(F.regexp_replace(kept, r"([.!?]){2,}", "$1"))
 
 
@@ -134,7 +140,7 @@ def keyword_tokens(c: Column) -> Column:
     Look-around makes this one pass of the pattern, without a test per token.
     """
     stop = f"(?!(?:{'|'.join(w for w in K.STOP_WORDS if len(w) > 2)}){K.WORD_END})"
-    return find_all(F.lower(_s(c)), f"(?=[a-z]){K.WORD_START}{stop}[a-z]{{3,}}{K.WORD_END}")
+    return find_all(F.lower(_s(c)), f"(?<![a-z])(?=[a-z]){K.WORD_START}{stop}[a-z]{{3,}}{K.WORD_END}")
 
 
 def keywords(c: Column, limit: int = K.KEYWORD_LIMIT) -> Column:
@@ -205,7 +211,12 @@ def entities(c: Column, limit: int = K.ENTITY_LIMIT) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(collapse_ws(_s(c)), F.lit("[^ ]+"))
+    return flat_word_count(collapse_ws(_s(c)))
+
+
+def flat_word_count(flat: Column) -> Column:
+    """``word_count`` of a text whose whitespace is collapsed."""
+    return F.regexp_count(flat, F.lit("[^ ]+"))
 
 
 def paragraph_count(c: Column) -> Column:
@@ -217,7 +228,12 @@ def reading_minutes(c: Column, words: Column) -> Column:
 
 
 def language_by_words(c: Column) -> Column:
-    hits = F.size(F.array_intersect(F.split(F.lower(_s(c)), K.WS + "+"), _words(K.ENGLISH_WORDS)))
+    return flat_language(collapse_ws(_s(c)))
+
+
+def flat_language(flat: Column) -> Column:
+    """``language_by_words`` of a text whose whitespace is collapsed."""
+    hits = F.size(F.array_intersect(F.split(F.lower(flat), " "), _words(K.ENGLISH_WORDS)))
     return F.when(hits > 5, "en").otherwise("unknown")
 
 

@@ -31,16 +31,21 @@ def with_quality(
     Needs ``content`` and ``links``. Entities come from the cleaned text unless
     ``source='raw'``; their values are only built with ``keep_entities``.
     """
+    return _scored(records, source, content, keep_entities).drop("_flat")
+
+
+def _scored(records: DataFrame, source: str, content: str, keep_entities: bool) -> DataFrame:
+    """``with_quality`` and the text with its whitespace collapsed as ``_flat``."""
     raw = F.coalesce(F.col(content), F.lit(""))
     body = F.col("clean_content") if source == "cleaned" else raw
-    out = records.withColumn("clean_content", X.clean_content(raw))
+    out = records.withColumn("_flat", X.collapse_ws(raw)).withColumn("clean_content", X.clean_flat(F.col("_flat")))
     if keep_entities:
         out = out.withColumn("extracted_entities", X.entities(body))
     sizes = F.transform_values("extracted_entities", lambda _, v: F.size(v)) if keep_entities else _entity_sizes(body)
     # values used more than once are columns of their own: Spark then computes them once
     return (
         classify_text(out, "clean_content")
-        .withColumns({"entity_sizes": sizes, "_words": X.word_count(F.col("clean_content"))})
+        .withColumns({"entity_sizes": sizes, "_words": X.flat_word_count(F.col("clean_content"))})
         .withColumn(
             "quality",
             S.quality_metrics(
@@ -61,7 +66,8 @@ def classify_text(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def enhancements(url: Column, content: Column, words: Column, sizes: Column) -> Column:
+def enhancements(url: Column, content: Column, words: Column, sizes: Column, flat: Column | None = None) -> Column:
+    """``flat``: the content with its whitespace collapsed, if that is known."""
     return F.struct(
         F.when(
             F.coalesce(url, F.lit("")) != "",
@@ -79,7 +85,7 @@ def enhancements(url: Column, content: Column, words: Column, sizes: Column) ->
             X.reading_minutes(content, words).alias("reading_time_minutes"),
         ).alias("content_stats"),
         sizes.alias("entity_stats"),
-        X.language_by_words(content).alias("language"),
+        (X.language_by_words(content) if flat is None else X.flat_language(flat)).alias("language"),
     )
 
 
@@ -92,7 +98,7 @@ def process_records(records: DataFrame, source: str = "cleaned", as_of: Column |
     ok = F.col("url").isNotNull()
     raw = F.coalesce(F.col("content"), F.lit(""))
     keep = [c for c in ("page_id", "job_id", "task_id", "doc_id") if c in records.columns]
-    out = with_quality(records, source, keep_entities=True).withColumn("_raw_words", X.word_count(raw))
+    out = _scored(records, source, "content", keep_entities=True).withColumn("_raw_words", X.flat_word_count(F.col("_flat")))
     size = F.length(F.to_json(F.struct(*[F.col(c) for c in records.columns])))
     return out.select(
         *keep,
@@ -102,7 +108,7 @@ def process_records(records: DataFrame, source: str = "cleaned", as_of: Column |
         F.when(ok, F.col("extracted_entities")).alias("extracted_entities"),
         F.when(ok, F.col("content_analysis")).alias("content_analysis"),
         F.when(ok, F.col("quality")).alias("quality_metrics"),
-        F.when(ok, enhancements(F.col("url"), raw, F.col("_raw_words"), F.col("entity_sizes"))).alias("enhancements"),
+        F.when(ok, enhancements(F.col("url"), raw, F.col("_raw_words"), F.col("entity_sizes"), F.col("_flat"))).alias("enhancements"),
         size.alias("original_data_size"),
         F.when(ok, F.length("clean_content")).otherwise(0).alias("processed_data_size"),
         (as_of if as_of is not None else F.lit(None).cast("timestamp")).alias("processing_timestamp"),

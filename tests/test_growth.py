@@ -1,5 +1,6 @@
 """Steps whose memory, shuffles or files used to grow faster than their input."""
 
+import re
 from pathlib import Path
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from crawlweave.llm import jaccard_join as J
 from crawlweave.operators import access as AC
 from crawlweave.operators import page_tree as PT
+from crawlweave.operators import quality as Q
 from crawlweave.operators import skew as SK
 from crawlweave.operators import vector_index as VX
 from crawlweave.operators import word_index as WX
@@ -110,3 +112,20 @@ def test_only_wide_sketches_are_stored(spark):
     for r in rows.filter("n > 0").withColumn("sketch", J._sketch(F.col("wide"))).collect():
         want = np.bitwise_xor.reduce(np.array(r["wide"], np.int64).reshape(-1, J.SKETCH_LONGS), axis=0)
         assert r["sketch"] == want.tolist()
+
+
+def test_whitespace_of_a_text_is_collapsed_once(spark):
+    texts = ["The  and\u2003or\t\tbut in\non at", " the and or * * but in on", "A\x85b\xa0 c ..  !? d é", "x", "", None, " \n ", "Of of OF the * the\u3000by with at on in to for"]
+    rows = spark.createDataFrame([(i, "https://a.example.com/x", "t", t, ["l"]) for i, t in enumerate(texts)], "doc_id int, url string, title string, content string, links array<string>")
+    done = Q.process_records(rows)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(content") == 1  # three times before, the cleaned text's not counted
+    assert "_flat" not in Q.with_quality(rows).columns
+    got = {r["doc_id"]: (r["enhancements"]["content_stats"]["word_count"], r["enhancements"]["language"], r["cleaned_content"], r["processed_data_size"]) for r in done.collect()}
+    clean = rows.select("doc_id", Q.X.clean_content(F.col("content")).alias("c"), F.col("content").alias("t")).collect()
+    spaces = r"[\s\x0b\x1c-\x1f\x85\xa0\u2003\u3000]+"
+    english = set("the and or but in on at to for of with by".split())
+    for r in clean:
+        words = [w for w in re.split(spaces, r["t"] or "") if w]
+        language = "en" if len(english & {w.lower() for w in words}) > 5 else "unknown"
+        assert got[r["doc_id"]] == (len(words), language, r["c"], len(r["c"]))
