@@ -53,8 +53,8 @@ def totals(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes[first], np.add.reduceat(counts, first)
 
 
-def lists(parts: Iterable[tuple[np.ndarray, np.ndarray]], ranges: int) -> Iterator[pa.RecordBatch]:
-    """Rows of ``LIST_SCHEMA`` from (hashes, counts) pairs; at most about ``FLUSH`` hashes are held."""
+def lists(parts: Iterable[tuple[np.ndarray, np.ndarray]], ranges: int, most: int = FLUSH) -> Iterator[pa.RecordBatch]:
+    """Rows of ``LIST_SCHEMA`` from (hashes, counts) pairs; at most about ``most`` hashes are held."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     edges = (np.arange(1, ranges, dtype=object) * (1 << 64) // ranges).astype(np.uint64)
@@ -75,7 +75,7 @@ def lists(parts: Iterable[tuple[np.ndarray, np.ndarray]], ranges: int) -> Iterat
     for hashes, counts in parts:
         held.append((hashes, counts))
         size += len(hashes)
-        if size >= FLUSH:
+        if size >= most:
             yield flush()
             held, size = [], 0
     if size:

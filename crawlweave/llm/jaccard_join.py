@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from crawlweave.llm import counting
 from crawlweave.llm.words import U64, Words, split_words, tidy, windows
 from crawlweave.operators.skew import join_groups
-from crawlweave.session import materialize
+from crawlweave.session import materialize, small_batches
 
 FREQUENT = 200_000
 SKETCH_LONGS = 8
@@ -42,6 +42,8 @@ NEIGHBOURS = 8
 MIXED_TURNS = 2
 COUNT_MASK = U64(0xFFFFFFFFFF000000)  # counts only order the tokens, so 40 bits tell them apart well enough
 HOT_SHARE = 2_000
+HELD_SHINGLES = 300_000  # shingles are mostly distinct, so holding more of them in a task saves little
+BATCH_ROWS = 1_000  # a batch of texts or sets is held by Spark and by a Python worker at once
 BROADCAST_IDS = 1_000_000
 
 
@@ -72,7 +74,7 @@ def frequent_shingles(docs: DataFrame, size: int, text: str = "text") -> tuple[n
                     h, n = np.unique(np.concatenate(found) & COUNT_MASK, return_counts=True)
                     yield h, n.astype(np.int64)
 
-        yield from counting.lists(parts(), ranges)
+        yield from counting.lists(parts(), ranges, HELD_SHINGLES)
 
     def common(table: pa.Table) -> pa.Table:
         h, n = counting.gathered(table)
@@ -337,6 +339,11 @@ def joined_classes(known: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each input row: ``id``, ``n`` (set size) and ``class_id``, the smallest id of its class."""
+    with small_batches(docs.sparkSession, BATCH_ROWS):
+        return _classes(docs, size, percent, text, key)
+
+
+def _classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     described = materialize(describe_sets(docs, size, percent, text, key), "jaccard-sets")
     full = described.filter("n > 0").withColumn("gid", F.xxhash64("grp"))
     entries = materialize(shared_entries(full), "jaccard-entries")

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from crawlweave.llm import counting
 from crawlweave.llm import jaccard_join as J
 from crawlweave.operators import access as AC
 from crawlweave.operators import page_tree as PT
@@ -129,3 +130,21 @@ def test_whitespace_of_a_text_is_collapsed_once(spark):
         words = [w for w in re.split(spaces, r["t"] or "") if w]
         language = "en" if len(english & {w.lower() for w in words}) > 5 else "unknown"
         assert got[r["doc_id"]] == (len(words), language, r["c"], len(r["c"]))
+
+
+def test_near_copies_are_found_in_small_batches(spark, monkeypatch):
+    name, held = "spark.sql.execution.arrow.maxRecordsPerBatch", counting.lists
+    before, seen = spark.conf.get(name), []
+    monkeypatch.setattr(J, "materialize", lambda df, label, f=J.materialize: (seen.append(int(spark.conf.get(name))), f(df, label))[1])
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i j k l m n {i // 2}") for i in range(40)], "doc_id long, text string")
+    spark.conf.set(name, "10000")
+    try:
+        got = {r["id"]: r["class_id"] for r in J.classes(docs, 2, 80).collect()}
+        assert spark.conf.get(name) == "10000"
+    finally:
+        spark.conf.set(name, before)
+    assert set(seen) == {J.BATCH_ROWS} and got == {i: 0 for i in range(40)}
+    parts = [(np.arange(k, k + 50, dtype=np.uint64), np.ones(50, np.int64)) for k in range(0, 500, 25)]
+    assert all(sum(b.column(1).to_pylist()) <= 150 for b in held(parts, 8, 100))
+    sums = counting.gathered(pa.Table.from_batches(held(parts, 1, 100)))
+    assert sums[0].tolist() == list(range(525)) and sums[1].sum() == 1000
