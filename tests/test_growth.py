@@ -120,7 +120,7 @@ def test_whitespace_of_a_text_is_collapsed_once(spark):
     rows = spark.createDataFrame([(i, "https://a.example.com/x", "t", t, ["l"]) for i, t in enumerate(texts)], "doc_id int, url string, title string, content string, links array<string>")
     done = Q.process_records(rows)
     plan = done._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_replace(coalesce(content") == 1  # three times before, the cleaned text's not counted
+    assert plan.count("regexp_replace(coalesce(content") == 1  # twice before, and once more for the cleaned text
     assert "_flat" not in Q.with_quality(rows).columns
     got = {r["doc_id"]: (r["enhancements"]["content_stats"]["word_count"], r["enhancements"]["language"], r["cleaned_content"], r["processed_data_size"]) for r in done.collect()}
     clean = rows.select("doc_id", Q.X.clean_content(F.col("content")).alias("c"), F.col("content").alias("t")).collect()
