@@ -13,7 +13,8 @@ shingle). Two documents link when |A & B| / |A | B| reaches the threshold.
 
 Steps 3 and 4 run several times. First every group is only paired with ``NEIGHBOURS`` others at each of its tokens, which
 is linear, complete where no more groups share the token, and joins most of a large cluster of near copies. At the tokens
-left it is paired again, in orders that differ from token to token, so a set meets other members of its cluster at each.
+left, the crowded ones, it is paired again, in orders that differ from token to token, so a set meets other members of its
+cluster at each. Only entries of crowded tokens travel with sketches, and only members of paired groups with wide ones.
 Then all pairs are made there whose sets aren't in one class yet: the classes are those of all links, but a cluster's
 pairs are not listed. Only ids and the sets of such pairs travel, no texts.
 
@@ -151,10 +152,11 @@ def _prefix_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             sizes = np.array([len(p) // 8 for p in prefixes], np.int64)
             at = np.repeat(np.arange(len(sizes)), sizes)
             place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            left = part.column(1).to_numpy()[at] - place  # tokens of the set from this one on
+            n = part.column(1).to_numpy()[at]
+            left = n - place  # tokens of the set from this one on
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.frombuffer(b"".join(prefixes), np.int64)), part.column(0).take(pa.array(at)), pa.array(left)],
-                names=["token", "gid", "left"],
+                [pa.array(np.frombuffer(b"".join(prefixes), np.int64)), part.column(0).take(pa.array(at)), pa.array(n), pa.array(left)],
+                names=["token", "gid", "n", "left"],
             )
 
 
@@ -195,30 +197,55 @@ def _wide_may_link(percent: int) -> Column:
     return apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
 
 
+def _places_may_link(a: Column, b: Column, percent: int) -> Column:
+    """The size and position bounds of two groups (gid, n, left) at a common token."""
+    room = F.least(a["left"], b["left"])  # tokens that can be common from here on
+    sizes = F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
+    return sizes & (room * (100 + percent) >= (a["n"] + b["n"]) * percent)
+
+
 def _may_share(percent: int) -> Column:
     """The size, position and sketch bounds of two groups at a common token."""
-    room = F.least("a.left", "b.left")  # tokens that can be common from here on
-    return (room * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent) & _may_link(percent)
+    return _places_may_link(F.col("a"), F.col("b"), percent) & _may_link(percent)
 
 
-def shared_entries(rows: DataFrame) -> DataFrame:
-    """(token, gid, left, c): prefix tokens that at least two groups have, and how many have them.
+def shared_entries(rows: DataFrame, percent: int) -> DataFrame:
+    """(token, gid, n, left, c, near): prefix tokens that at least two groups have, and how many have them.
 
-    Rows of equal sets are of one group, so groups are made from the rows and prefixes are shuffled once.
+    ``near`` has the groups to pair with at a token that is not crowded; with the pairs made here, tokens are shuffled once
+    and without sketches. Rows of equal sets are of one group, so groups are made from the rows and prefixes are shuffled once.
     """
     groups = rows.groupBy("grp").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    tokens = groups.select("gid", "n", "prefix").mapInArrow(tidy(_prefix_tokens), "token long, gid long, left long")
-    return tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
+    tokens = groups.select("gid", "n", "prefix").mapInArrow(tidy(_prefix_tokens), "token long, gid long, n long, left long")
+    shared = tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
+    own, order = F.struct("gid", "n", "left"), Window.partitionBy("token").orderBy("n", "gid")
+    before = F.array_compact(F.array(*[F.lag(own, k).over(order) for k in range(1, NEIGHBOURS + 1)]))
+    near = F.filter(F.col("_before"), lambda x: (x["gid"] != F.col("gid")) & _places_may_link(F.col("_own"), x, percent))
+    shared = shared.select("token", "gid", "n", "left", "c", own.alias("_own"), before.alias("_before"))
+    return shared.select("token", "gid", "n", "left", "c", F.when(F.col("c") <= NEIGHBOURS + 1, F.transform(near, lambda x: x["gid"])).alias("near"))
+
+
+def _held(ids: DataFrame) -> DataFrame:
+    """Distinct ids, written once; broadcast unless they are many, so that what they pick isn't shuffled before."""
+    ids = materialize(ids.distinct(), "jaccard-ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _crowded(entries: DataFrame) -> DataFrame:
-    """The entries of tokens where the first linear turn leaves pairs of groups out."""
-    return entries.filter(F.col("c") > NEIGHBOURS + 1)
+def _labelled(sets: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``sets`` with the ``label`` of their class; before any class is known, each is a class of its own."""
+    if known is None:
+        return sets.withColumn("label", F.col("digest"))
+    return sets.join(known.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
 
-def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Group pairs (ga, gb) as pairs of member digests that may link and are not of one class."""
-    member = sets.select("gid", F.struct("digest", "n", "wide", "label").alias("m"))  # the wide sketch proves all that the folded one does
+def _expanded(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, percent: int) -> DataFrame:
+    """Group pairs (ga, gb) as pairs of member digests that may link and are not of one class.
+
+    Only the members of these groups are shuffled, with their wide sketches, which prove all that the folded ones do.
+    """
+    pairs = materialize(pairs.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb")).distinct(), "jaccard-pairs")
+    picked = sets.join(_held(pairs.select(F.explode(F.array("ga", "gb")).alias("gid"))), "gid", "left_semi").select("gid", "digest", "n", "wide")
+    member = _labelled(picked, known).select("gid", F.struct("digest", "n", "wide", "label").alias("m"))
     left, right = member.select(F.col("gid").alias("ga"), F.col("m").alias("a")), member.select(F.col("gid").alias("gb"), F.col("m").alias("b"))
     found = pairs.join(left, "ga").join(right, "gb").filter(_sizes_may_link(percent) & (F.col("a.label") != F.col("b.label")))
     # sets of up to five sixths the size differ by one doubling at most, so one fold is enough
@@ -227,47 +254,57 @@ def _expanded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _facts(sets: DataFrame) -> DataFrame:
-    """Per group: size, and the sketch and class of its member if it has only one."""
+    """Per group: the sketch and digest of its member if it has only one."""
     one = F.count(F.lit(1)) == 1
-    return sets.select("gid", "n", "label", _sketch(F.col("wide")).alias("sketch")).groupBy("gid").agg(
-        F.first("n").alias("n"), F.when(one, F.first("sketch")).alias("sketch"), F.when(one, F.xxhash64(F.first("label"))).alias("label")
+    return sets.select("gid", "digest", _sketch(F.col("wide")).alias("sketch")).groupBy("gid").agg(
+        F.when(one, F.first("sketch")).alias("sketch"), F.when(one, F.first("digest")).alias("digest")
     )
 
 
+def _named(facts: DataFrame, known: DataFrame | None) -> DataFrame:
+    """(gid, sketch, label) of groups; those of several sets, and all before any class is known, have no label."""
+    if known is None:
+        return facts.select("gid", "sketch", F.lit(None).cast("long").alias("label"))
+    names = _labelled(facts.filter("digest IS NOT NULL").select("gid", "digest"), known).select("gid", F.xxhash64("label").alias("label"))
+    return facts.select("gid", "sketch").join(names, "gid", "left")
+
+
 def _labels_differ() -> Column:
     """False only where both groups are of one class; groups of several sets have no label."""
     return F.col("a.label").isNull() | F.col("b.label").isNull() | (F.col("a.label") != F.col("b.label"))
 
 
-def neighbour_pairs(entries: DataFrame, sets: DataFrame, percent: int, turn: int = 0) -> DataFrame:
-    """Pairs of sets of different classes whose groups lie close together, or first, among the groups of a token.
+def neighbour_pairs(crowded: DataFrame, facts: DataFrame, percent: int, turn: int = 0) -> DataFrame:
+    """Pairs (ga, gb) of groups of different classes that lie close together, or first, among the groups of a crowded token.
 
-    Turn 0 orders the groups by size, which makes all pairs of a token with up to ``NEIGHBOURS`` + 1 groups; later turns
-    take the other tokens and order each by hashes of its own.
+    Turn 0 orders the groups by size; later turns order those of each token by hashes of its own.
     """
-    own = (_crowded(entries) if turn else entries).join(_facts(sets), "gid")
-    own = own.select("token", F.struct("gid", "n", "left", "sketch", "label").alias("a"))
+    own = crowded.join(facts, "gid").select("token", F.struct("gid", "n", "left", "sketch", "label").alias("a"))
     by = [F.xxhash64("token", "a.gid", F.lit(turn))] if turn else [F.col("a.n")]
     order = Window.partitionBy("token").orderBy(*by, "a.gid")
     near = [F.lag("a", k).over(order) for k in range(1, NEIGHBOURS + 1)] + [F.first("a").over(order)]
     pairs = own.select("a", F.array(*near).alias("_near")).select("a", F.explode(F.array_distinct(F.array_compact("_near"))).alias("b"))
     pairs = pairs.filter((F.col("a.gid") != F.col("b.gid")) & _labels_differ() & _may_share(percent))
-    return _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
+    return pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"))
 
 
-def remaining_pairs(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of sets of different classes that may link and that turn 0 of ``neighbour_pairs`` did not make."""
-    own = _crowded(entries).join(_facts(sets), "gid")
+def remaining_pairs(crowded: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (ga, gb) of groups of different classes that may link at a crowded token."""
+    own = crowded.join(facts, "gid")
     side = lambda name: own.select("token", F.struct("gid", "n", "left", "sketch", "label").alias(name))
     pairs = side("a").join(side("b"), "token").filter((F.col("a.gid") < F.col("b.gid")) & _labels_differ() & _may_share(percent))
-    across = _expanded(pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb")).distinct(), sets, percent)
-    member = sets.select("gid", F.struct("digest", "n", "wide", "label").alias("m"))
+    return pairs.select(F.col("a.gid").alias("ga"), F.col("b.gid").alias("gb"))
+
+
+def pairs_inside(sets: DataFrame, known: DataFrame | None, percent: int) -> DataFrame:
+    """All pairs of sets of one group, but different classes, that may link."""
     several = sets.groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
-    within = member.join(several, "gid", "left_semi")
+    picked = sets.join(_held(several), "gid", "left_semi").select("gid", "digest", "n", "wide")
+    within = _labelled(picked, known).select("gid", F.struct("digest", "n", "wide", "label").alias("m"))
     inside = within.withColumnRenamed("m", "a").join(within.withColumnRenamed("m", "b"), "gid").filter(
         (F.col("a.digest") < F.col("b.digest")) & (F.col("a.label") != F.col("b.label")) & _sizes_may_link(percent) & _wide_may_link(percent)
     )
-    return across.unionByName(inside.select("a.digest", F.col("b.digest").alias("other")).toDF("a", "b"))
+    return inside.select("a.digest", F.col("b.digest").alias("other")).toDF("a", "b")
 
 
 def verified_links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, size: int, percent: int, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -346,23 +383,23 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text
 def _classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> DataFrame:
     described = materialize(describe_sets(docs, size, percent, text, key), "jaccard-sets")
     full = described.filter("n > 0").withColumn("gid", F.xxhash64("grp"))
-    entries = materialize(shared_entries(full), "jaccard-entries")
-    paired = entries.select("gid").unionByName(_several(full)).distinct()
-    sets = full.groupBy("digest").agg(F.first("gid").alias("gid"), F.first("n").alias("n"), F.first("wide").alias("wide"))
-    slim = materialize(sets.join(paired, "gid", "left_semi").select("digest", "gid", "n", "wide"), "jaccard-members")
-    apart = slim.withColumn("label", F.col("digest"))
-    reps = materialize(full.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-reps")
-    near = materialize(neighbour_pairs(entries, apart, percent), "jaccard-near")
-    known = connected(verified_links(docs, reps, near, size, percent, text, key))
-
-    def classed() -> DataFrame:
-        return slim.join(known, F.col("digest") == F.col("node"), "left").select("digest", "gid", "n", "wide", F.coalesce("label", "digest").alias("label"))
-
+    entries = materialize(shared_entries(full, percent), "jaccard-entries")
+    facts = [F.first(c).alias(c) for c in ("gid", "n", "wide")]
+    sets = materialize(full.groupBy("digest").agg(*facts, F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-members")
+    reps = sets.select("digest", "rep", "copies")
+    crowded = entries.filter(F.col("c") > NEIGHBOURS + 1).select("token", "gid", "n", "left")
+    groups = materialize(_facts(sets.join(_held(crowded.select("gid")), "gid", "left_semi")), "jaccard-groups")
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return verified_links(docs, reps, pairs, size, percent, text, key)
+
+    pairs = entries.select(F.col("gid").alias("ga"), F.explode("near").alias("gb")).unionByName(neighbour_pairs(crowded, _named(groups, None), percent))
+    known = connected(links(materialize(_expanded(pairs, sets, None, percent), "jaccard-near")))
     for turn in range(1, MIXED_TURNS + 1):
-        near = materialize(neighbour_pairs(entries, classed(), percent, turn), "jaccard-near")
-        known = joined_classes(known, verified_links(docs, reps, near, size, percent, text, key))
-    rest = materialize(remaining_pairs(entries, classed(), percent), "jaccard-rest")
-    known = joined_classes(known, verified_links(docs, reps, rest, size, percent, text, key))
+        pairs = neighbour_pairs(crowded, _named(groups, known), percent, turn)
+        known = joined_classes(known, links(materialize(_expanded(pairs, sets, known, percent), "jaccard-near")))
+    rest = _expanded(remaining_pairs(crowded, _named(groups, known), percent), sets, known, percent)
+    known = joined_classes(known, links(materialize(rest.unionByName(pairs_inside(sets, known, percent)), "jaccard-rest")))
     named = reps.join(known, F.col("digest") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("label", "digest").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     final = named.join(least, "label").select("digest", "copies", "class_id")
@@ -372,11 +409,6 @@ def _classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> D
     return placed.unionByName(rows.filter("n = 0").select("id", "n", F.col("id").alias("class_id")))
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """The groups of more than one set."""
-    return rows.select("gid", "digest").distinct().groupBy("gid").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("gid")
-
-
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows whose id names their class, with the columns of the input; rows without an id stay."""
     gone = classes(docs, size, percent, text, key).filter(F.col("id") != F.col("class_id")).select(F.col("id").alias("_gone")).distinct()

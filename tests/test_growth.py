@@ -148,3 +148,43 @@ def test_near_copies_are_found_in_small_batches(spark, monkeypatch):
     assert all(sum(b.column(1).to_pylist()) <= 150 for b in held(parts, 8, 100))
     sums = counting.gathered(pa.Table.from_batches(held(parts, 1, 100)))
     assert sums[0].tolist() == list(range(525)) and sums[1].sum() == 1000
+
+
+def test_shared_tokens_are_paired_where_they_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(J, "NEIGHBOURS", 2)
+    prefixes = {g: [*range(g, g + 4), 100 + g % 2, *([999] if g < 3 else [])] for g in range(12)}
+    sizes = {g: 50 + 3 * g for g in prefixes}
+    rows = [(g.to_bytes(2, "big"), g, sizes[g], np.array(p, np.int64).tobytes()) for g, p in prefixes.items()]
+    entries = J.shared_entries(spark.createDataFrame(rows + rows[:2], "grp binary, gid long, n long, prefix binary"), 90).collect()
+    want, holders = {}, {}
+    for g, p in prefixes.items():
+        for i, t in enumerate(p):
+            holders.setdefault(t, {})[g] = sizes[g] - i
+    for t, left in holders.items():
+        for g, x in left.items():
+            if len(left) > 1:
+                fits = lambda o: 10 * min(sizes[g], sizes[o]) >= 9 * max(sizes[g], sizes[o]) and 190 * min(x, left[o]) >= 90 * (sizes[g] + sizes[o])  # noqa: B023, E731
+                want[t, g] = (sizes[g], x, len(left), sorted(o for o in left if o < g and fits(o)) if len(left) <= 3 else None)
+    assert {(r["token"], r["gid"]): (r["n"], r["left"], r["c"], r["near"] if r["near"] is None else sorted(r["near"])) for r in entries} == want
+    assert len(entries) == len(want) and any(v[3] for v in want.values()) and any(v[3] is None for v in want.values())
+
+
+def test_only_members_of_paired_groups_are_shuffled_with_their_sketches(spark, monkeypatch):
+    plans = []
+
+    def look(df, label, f=J.materialize):
+        if label in ("jaccard-near", "jaccard-rest"):
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df, label)
+
+    monkeypatch.setattr(J, "materialize", look)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}-{k}" for k in range(40)) + f" x{i}") for i in range(20)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["id"]: r["class_id"] for r in J.classes(docs, 3, 90).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {i: i // 2 * 2 for i in range(20)}
+    assert len(plans) == J.MIXED_TURNS + 2
+    for plan in plans:  # members are picked where they are read; sketches of the other sets stay there
+        assert re.search(r"BroadcastHashJoin .*LeftSemi", plan) and "Window" not in plan
