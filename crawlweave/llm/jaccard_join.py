@@ -11,9 +11,9 @@ shingle). Two documents link when |A & B| / |A | B| reaches the threshold.
    differs in no more bits than the sets differ in tokens, so a larger distance proves that there is no link.
 4. Pairs of groups, and of members of a group, are expanded to pairs of sets and verified on the whole sets.
 
-Steps 3 and 4 run several times. First every group is only paired with ``NEIGHBOURS`` others at each of its tokens, which
-is linear, complete where no more groups share the token, and joins most of a large cluster of near copies. At the tokens
-left, the crowded ones, it is paired again, in orders that differ from token to token, so a set meets other members of its
+Steps 3 and 4 run several times. First all groups of a token are paired if they are few (three times ``NEIGHBOURS`` and one),
+else every group with ``NEIGHBOURS`` others, which is linear and joins most of a large cluster of near copies. At these
+crowded tokens it is paired again, in orders that differ from token to token, so a set meets other members of its
 cluster at each. Only entries of crowded tokens travel with sketches, and only members of paired groups with wide ones.
 Then all pairs are made there whose sets aren't in one class yet: the classes are those of all links, but a cluster's
 pairs are not listed. Only ids and the sets of such pairs travel, no texts.
@@ -209,6 +209,14 @@ def _may_share(percent: int) -> Column:
     return _places_may_link(F.col("a"), F.col("b"), percent) & _may_link(percent)
 
 
+def _uncrowded() -> int:
+    """Most groups of a token that are all paired where they are counted.
+
+    Three times the neighbours: tokens of ten or so groups, mostly met by chance, grow faster than the input.
+    """
+    return 3 * NEIGHBOURS + 1
+
+
 def shared_entries(rows: DataFrame, percent: int) -> DataFrame:
     """(token, gid, n, left, c, near): prefix tokens that at least two groups have, and how many have them.
 
@@ -219,10 +227,10 @@ def shared_entries(rows: DataFrame, percent: int) -> DataFrame:
     tokens = groups.select("gid", "n", "prefix").mapInArrow(tidy(_prefix_tokens), "token long, gid long, n long, left long")
     shared = tokens.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("c > 1")
     own, order = F.struct("gid", "n", "left"), Window.partitionBy("token").orderBy("n", "gid")
-    before = F.array_compact(F.array(*[F.lag(own, k).over(order) for k in range(1, NEIGHBOURS + 1)]))
+    before = F.array_compact(F.array(*[F.lag(own, k).over(order) for k in range(1, _uncrowded())]))
     near = F.filter(F.col("_before"), lambda x: (x["gid"] != F.col("gid")) & _places_may_link(F.col("_own"), x, percent))
     shared = shared.select("token", "gid", "n", "left", "c", own.alias("_own"), before.alias("_before"))
-    return shared.select("token", "gid", "n", "left", "c", F.when(F.col("c") <= NEIGHBOURS + 1, F.transform(near, lambda x: x["gid"])).alias("near"))
+    return shared.select("token", "gid", "n", "left", "c", F.when(F.col("c") <= _uncrowded(), F.transform(near, lambda x: x["gid"])).alias("near"))
 
 
 def _held(ids: DataFrame) -> DataFrame:
@@ -387,7 +395,7 @@ def _classes(docs: DataFrame, size: int, percent: int, text: str, key: str) -> D
     facts = [F.first(c).alias(c) for c in ("gid", "n", "wide")]
     sets = materialize(full.groupBy("digest").agg(*facts, F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "jaccard-members")
     reps = sets.select("digest", "rep", "copies")
-    crowded = entries.filter(F.col("c") > NEIGHBOURS + 1).select("token", "gid", "n", "left")
+    crowded = entries.filter(F.col("c") > _uncrowded()).select("token", "gid", "n", "left")
     groups = materialize(_facts(sets.join(_held(crowded.select("gid")), "gid", "left_semi")), "jaccard-groups")
 
     def links(pairs: DataFrame) -> DataFrame:
