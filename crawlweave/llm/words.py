@@ -52,10 +52,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-def give_back() -> None:
-    """Return freed memory to the system, since a Python worker outlives its task and the next one may run elsewhere."""
+def give_back(cycles: bool = True) -> None:
+    """Return freed memory to the system, since a Python worker outlives its task and the next one may run elsewhere.
+
+    Looking for ``cycles`` takes 40 ms; what only makes arrays, and is called for each of many groups, has none."""
     _powers.clear()
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

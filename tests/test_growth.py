@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from crawlweave.llm import counting
 from crawlweave.llm import jaccard_join as J
+from crawlweave.llm import suffix_dedup as SD
 from crawlweave.operators import access as AC
 from crawlweave.operators import page_tree as PT
 from crawlweave.operators import quality as Q
@@ -188,3 +189,37 @@ def test_only_members_of_paired_groups_are_shuffled_with_their_sketches(spark, m
     assert len(plans) == J.MIXED_TURNS + 2
     for plan in plans:  # members are picked where they are read; sketches of the other sets stay there
         assert re.search(r"BroadcastHashJoin .*LeftSemi", plan) and "Window" not in plan
+
+
+def shuffled(plan):
+    """Rows that the exchanges of a finished plan wrote."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled(plan.executedPlan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if name == "Exchange" else 0
+    inner = [plan.plan()] if name.endswith("QueryStage") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return own + sum(shuffled(x) for x in inner)
+
+
+def test_cells_and_ranges_of_suffix_dedup_exchange_few_messages(spark):
+    rnd = np.random.default_rng(5)
+    texts = ["".join(rnd.choice(list("abcdefgh \n"), 1_000)) for _ in range(200)]
+    texts += [t[:400] + "#" + t[400:] for t in texts[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = SD.remove_repeats(df, cell_bytes=10_000)
+    rows = out.collect()
+    cells = 250_000 // 10_000
+    assert len(rows) == 250 and sum(r["n_removed"] for r in rows) == 50 * 1_000
+    # two rounds after that of the samples, each asked and answered; answers aren't sent along to later rounds
+    assert 250 < shuffled(out._jdf.queryExecution().executedPlan()) < 6 * cells * (cells / 2 + 2) + 250
+
+
+def test_suffix_dedup_of_far_apart_and_negative_ids(spark):
+    rnd = np.random.default_rng(6)
+    word = lambda n: "".join(rnd.choice(list("abcdefgh"), n))
+    line = word(130)
+    ids = [2**62, -(2**63), -5, None, 0, 70_000, 2**40]
+    df = spark.createDataFrame([(i, word(70 + k) + str(k) + line + "PQRSTUV"[k] + word(70_000 if k == 2 else 90)) for k, i in enumerate(ids)], "doc_id long, text string")
+    for cell in (200, 10**6):
+        got = {r["id"]: r["n_removed"] for r in SD.remove_repeats(df, cell_bytes=cell).collect()}
+        assert got == {i: 0 if i == -(2**63) else 130 for i in ids}
